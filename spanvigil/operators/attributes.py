@@ -53,7 +53,8 @@ def attribute_counts(split_spans: DataFrame, services: DataFrame) -> DataFrame:
     error = error_value(F.col("error_attribute"))
     rows = (
         split_spans.join(services.select("service", "error_attribute"), "service", "left")
-        .select("service", "half", error.alias("error"), F.explode(attribute_entries()).alias("e"))
+        .select("service", "half", error.alias("error"), attribute_entries().alias("entries"))
+        .select("service", "half", "error", F.explode("entries").alias("e"))
         .where(F.col("e.value").isNotNull())
         .select("service", "half", "error", "e.attr", "e.value")
         .withColumn("x", safe_double(F.col("value")))

@@ -92,7 +92,7 @@ def categorical_psi(counts: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def _positions(q: int) -> Column:
-    return F.array(*[F.lit(FRACTIONS.index(i / q) + 1) for i in range(q + 1)])
+    return F.expr(f"array({', '.join(str(FRACTIONS.index(i / q) + 1) for i in range(q + 1))})")
 
 
 def inner_edges(n_distinct: Column, quantile_array: Column) -> Column:

@@ -21,7 +21,7 @@ SKETCH_ACCURACY = 1000
 
 def _range_of(cuts: Column, value: Column) -> Column:
     """How many cuts lie below the value: a binary search in the sorted cuts."""
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(RANGE_BITS))])
+    steps = F.expr(f"array({', '.join(str(1 << bit) for bit in reversed(range(RANGE_BITS)))})")
     return F.aggregate(
         steps,
         F.lit(0),
@@ -30,7 +30,7 @@ def _range_of(cuts: Column, value: Column) -> Column:
 
 
 def _literals(numbers: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(number)) for number in numbers])
+    return F.expr(f"array({', '.join(f'{float(number)!r}D' for number in numbers)})")
 
 
 def weighted_quantiles(
@@ -52,10 +52,9 @@ def weighted_quantiles(
     ).where("_x IS NOT NULL AND _w > 0")
 
     n_ranges = 1 << RANGE_BITS
+    shares = ", ".join(f"{i / n_ranges!r}D" for i in range(1, n_ranges))
     cuts = rows.groupBy(*keys).agg(
-        F.percentile_approx(
-            "_x", [i / n_ranges for i in range(1, n_ranges)], SKETCH_ACCURACY
-        ).alias("_cuts")
+        F.expr(f"percentile_approx(_x, array({shares}), {SKETCH_ACCURACY})").alias("_cuts")
     )
     ranged = rows.join(cuts, keys).select(
         *keys, "_x", "_w", _range_of(F.col("_cuts"), F.col("_x")).alias("_r")

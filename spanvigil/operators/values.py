@@ -22,7 +22,6 @@ def attribute_value(name: Column) -> Column:
 
 
 def error_value(name: Column) -> Column:
-    """The configured error attribute of a span as a number."""
-    key = F.regexp_replace(name, r"^eval\.", "")
-    measured = F.nanvl(F.try_element_at("evals", key), F.lit(None).cast("double"))
-    return F.when(F.startswith(name, F.lit("eval.")), measured).otherwise(safe_double(attribute_value(name)))
+    """The configured error attribute of a span, one of its evals, as a number."""
+    measured = F.try_element_at("evals", F.regexp_replace(name, r"^eval\.", ""))
+    return F.nanvl(measured, F.lit(None).cast("double"))

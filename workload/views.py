@@ -64,12 +64,23 @@ def stamp(column: Column | str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
+_SETTINGS: dict[tuple[int, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, name: str, build) -> DataFrame:
+    """Settings are local relations; one per session is enough."""
+    key = (id(spark._jsparkSession), name)
+    if key not in _SETTINGS:
+        _SETTINGS[key] = build()
+    return _SETTINGS[key]
+
+
 def services(spark: SparkSession) -> DataFrame:
-    return st.services_frame(spark, SERVICES)
+    return _once(spark, "services", lambda: st.services_frame(spark, SERVICES))
 
 
 def specs(spark: SparkSession) -> DataFrame:
-    return st.metric_specs_frame(spark, SPECS)
+    return _once(spark, "specs", lambda: st.metric_specs_frame(spark, SPECS))
 
 
 def event_spans(events: DataFrame) -> DataFrame:
