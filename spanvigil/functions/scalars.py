@@ -11,15 +11,16 @@ from spanvigil.settings import HIGHER, PSI_FLOOR
 
 # --- fixed values -------------------------------------------------------------
 STATUS_RANKS = {"HEALTHY": 0, "MONITOR": 0, "WARNING": 1, "CRITICAL": 2}
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 MEANINGLESS_PATTERNS = ("overall", "prediction_volume", "all", "none")
 # -------------------------------------------------------------------------------
 
 
 def safe_double(value: Column) -> Column:
-    """Number or NULL: unparsable text, NaN and Java-style ``1d`` become NULL."""
+    """Number or NULL.  Text is checked by pattern first: a failing parse costs an
+    exception per row, and ``1d``, NaN and infinities are not wanted as numbers."""
     text = value.cast("string")
-    suffixed = F.lower(F.right(text, F.lit(1))).isin("d", "f")
-    return F.when(~suffixed, F.nanvl(text.try_cast("double"), F.lit(None).cast("double")))
+    return F.when(F.rlike(text, F.lit(NUMBER)), text.try_cast("double"))
 
 
 def segment_key(value: Column, number: Column | None = None) -> Column:

@@ -8,40 +8,51 @@ the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanvigil.functions.scalars import safe_double, segment_key
-from spanvigil.operators.values import error_value
+from spanvigil.operators.values import error_keys, error_value
 
-ENTRY = "array<struct<attr:string,value:string>>"
+def exploded_attributes(spans: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns, attr, value: one row per populated attribute of a span,
+    its latency and model version included.
 
-
-def _entries(column: str, prefix: str, keep_value: bool = True) -> Column:
-    return F.transform(
-        F.map_entries(column),
-        lambda e: F.struct(
-            F.concat(F.lit(prefix), e["key"]).alias("attr"),
-            (e["value"] if keep_value else F.when(e["value"].isNotNull(), "")).alias("value"),
-        ),
-    )
-
-
-def attribute_entries() -> Column:
-    """Array of (attr, value) of a span: inputs and outputs with their value,
-    evals by presence only (their values are measures, not categories), and the
-    span's own latency and model version."""
+    The maps are exploded together; the position tells which map an entry is
+    from.
+    """
     own = F.array(
-        F.struct(F.lit("latency_ms").alias("attr"), F.col("latency_ms").cast("string").alias("value")),
-        F.struct(F.lit("model_version").alias("attr"), F.col("model_version").alias("value")),
+        F.struct(F.lit("latency_ms").alias("key"), F.col("latency_ms").cast("string").alias("value")),
+        F.struct(F.lit("model_version").alias("key"), F.col("model_version").alias("value")),
+    )
+    empty = "CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRING>>)"
+    maps = [
+        F.coalesce(F.map_entries(F.col(name).cast("map<string,string>")), F.expr(empty))
+        for name in ("inputs", "outputs", "evals")
+    ]
+    sized = spans.select(
+        *keep,
+        F.coalesce(F.size("inputs"), F.lit(0)).alias("_to_outputs"),
+        (F.coalesce(F.size("inputs"), F.lit(0)) + F.coalesce(F.size("outputs"), F.lit(0))).alias("_to_evals"),
+        F.size(F.concat(*maps)).alias("_to_own"),
+        F.concat(*maps, own).alias("_entries"),
+    )
+    at = F.col("_at")
+    prefix = (
+        F.when(at < F.col("_to_outputs"), "input.")
+        .when(at < F.col("_to_evals"), "output.")
+        .when(at < F.col("_to_own"), "eval.")
+        .otherwise("")
     )
-    empty = F.array().cast(ENTRY)
-    parts = (
-        _entries("inputs", "input."),
-        _entries("outputs", "output."),
-        _entries("evals", "eval.", False),
+    return (
+        sized.select("*", F.posexplode("_entries").alias("_at", "_e"))
+        .where(F.col("_e.value").isNotNull())
+        .select(
+            *keep,
+            F.concat(prefix, F.col("_e.key")).alias("attr"),
+            F.col("_e.value").alias("value"),
+        )
     )
-    return F.concat(*[F.coalesce(part, empty) for part in parts], own)
 
 
 def attribute_counts(split_spans: DataFrame, services: DataFrame) -> DataFrame:
@@ -50,13 +61,9 @@ def attribute_counts(split_spans: DataFrame, services: DataFrame) -> DataFrame:
 
     Equal numbers share one row, so (service, attr, x) is unique where x is set.
     """
-    error = error_value(F.col("error_attribute"))
+    measured = split_spans.join(error_keys(services), "service", "left").withColumn("error", error_value())
     rows = (
-        split_spans.join(services.select("service", "error_attribute"), "service", "left")
-        .select("service", "half", error.alias("error"), attribute_entries().alias("entries"))
-        .select("service", "half", "error", F.explode("entries").alias("e"))
-        .where(F.col("e.value").isNotNull())
-        .select("service", "half", "error", "e.attr", "e.value")
+        exploded_attributes(measured, "service", "half", "error")
         .withColumn("x", safe_double(F.col("value")))
         .withColumn("value", segment_key(F.col("value"), F.col("x")))
     )

@@ -1,4 +1,8 @@
-"""User-declared metrics: all specs of all services in one pass."""
+"""User-declared metrics: all specs of all services in one pass.
+
+Specs without a segment are computed from the attribute count table, without
+another look at the spans; specs with one read the spans once.
+"""
 
 from __future__ import annotations
 
@@ -7,111 +11,128 @@ from pyspark.sql import functions as F
 
 from spanvigil.functions.scalars import safe_double, with_segment_key, worse_ratio
 from spanvigil.operators.quantiles import weighted_quantiles
-from spanvigil.operators.values import attribute_value
+from spanvigil.operators.values import attribute_value, split_name
 
 KEYS = ["service", "name", "segment"]
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
-KNOWN = ("mean", "sum", "count", "rate", "null_rate", *PERCENTILES)
 
 
-def _long(split_spans: DataFrame, specs: DataFrame) -> DataFrame:
-    """One row per (span, spec of its service) with the attribute's value."""
-    wanted = specs.select("service", "name", "attribute", "agg", "segment_by")
-    segment = F.when(F.col("segment_by").isNull(), "").otherwise(attribute_value(F.col("segment_by")))
+def segmented_counts(split_spans: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counted values and span totals of the specs that have a segment, in the
+    shapes of ``plain_counts`` and ``plain_totals``."""
+    wanted = split_name(
+        split_name(specs.where("segment_by IS NOT NULL").select("service", "name", "attribute", "segment_by"), "attribute"),
+        "segment_by",
+    )
     rows = (
         split_spans.join(wanted, "service")
-        .select("service", "name", "agg", "half", segment.alias("segment"), attribute_value(F.col("attribute")).alias("raw"))
+        .select("service", "name", "half", attribute_value("segment_by").alias("segment"), attribute_value("attribute").alias("raw"))
         .where("segment IS NOT NULL")
     )
-    return with_segment_key(rows, "segment").withColumn("x", safe_double(F.col("raw")))
-
-
-def _simple(rows: DataFrame) -> DataFrame:
-    """Mergeable aggregates for the whole window and the earlier half."""
-
-    def value(part: Column) -> Column:
-        seen = F.col("raw").isNotNull() & part
-        x = F.when(part, F.col("x"))
-        agg = F.col("agg")
-        nonzero = F.when(seen, F.when(F.coalesce(F.col("x"), F.lit(0.0)) != 0, 1.0).otherwise(0.0))
-        n = F.count_if(part)
-        return (
-            F.when(agg == "count", F.when(n > 0, n.cast("double")))
-            .when(agg == "null_rate", F.when(n > 0, (n - F.count_if(seen)) / n))
-            .when(agg == "rate", F.avg(nonzero))
-            .when(agg == "sum", F.sum(x))
-            .otherwise(F.avg(x))
-        )
+    counted = with_segment_key(rows, "segment").groupBy(*KEYS, "raw").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("half") == "earlier").alias("n_earlier")
+    )
+    values = counted.where("raw IS NOT NULL").select(*KEYS, safe_double(F.col("raw")).alias("x"), "n", "n_earlier")
+    totals = counted.groupBy(*KEYS).agg(F.sum("n").alias("spans"), F.sum("n_earlier").alias("spans_earlier"))
+    return values, totals
 
-    return (
-        rows.where(~F.col("agg").isin(*PERCENTILES))
-        .groupBy(*KEYS, "agg")
-        .agg(
-            value(F.lit(True)).alias("value"),
-            value(F.coalesce(F.col("half") == "earlier", F.lit(False))).alias("earlier_value"),
-            F.count("raw").alias("present"),
-        )
-        # An attribute no span of the service carries is skipped, except by count.
-        .where("present > 0 OR agg = 'count'")
-        .select(*KEYS, "value", "earlier_value")
+
+def plain_counts(counts: DataFrame, specs: DataFrame) -> DataFrame:
+    wanted = specs.where("segment_by IS NULL").select("service", "name", F.lit("").alias("segment"), F.col("attribute").alias("attr"))
+    return counts.join(wanted, ["service", "attr"]).select(*KEYS, "x", "n", "n_earlier")
+
+
+def plain_totals(profile: DataFrame, specs: DataFrame) -> DataFrame:
+    return profile.join(specs.where("segment_by IS NULL").select("service", "name"), "service").select(
+        "service", "name", F.lit("").alias("segment"), F.col("n_spans").alias("spans"), F.col("n_earlier").alias("spans_earlier")
     )
 
 
-def _percentile(rows: DataFrame) -> DataFrame:
-    counts = (
-        rows.where(F.col("agg").isin(*PERCENTILES) & F.col("x").isNotNull())
-        .groupBy(*KEYS, "agg", "x")
-        .agg(F.count(F.lit(1)).alias("whole"), F.count_if(F.col("half") == "earlier").alias("earlier"))
-        .select(*KEYS, "agg", "x", F.explode(F.create_map(F.lit("whole"), F.col("whole"), F.lit("earlier"), F.col("earlier"))).alias("part", "w"))
+def _moments(values: DataFrame) -> DataFrame:
+    """Weights, numeric weights, non-zero weights and sums, whole and earlier."""
+    numeric = F.col("x").isNotNull()
+    columns = []
+    for suffix, weight in (("", F.col("n")), ("_earlier", F.col("n_earlier"))):
+        columns += [
+            F.sum(weight).alias(f"present{suffix}"),
+            F.sum(F.when(numeric, weight)).alias(f"numeric{suffix}"),
+            F.sum(F.when(F.col("x") != 0, weight).otherwise(0)).alias(f"nonzero{suffix}"),
+            F.sum(F.when(weight > 0, F.col("x") * weight)).alias(f"total{suffix}"),
+        ]
+    return values.groupBy(*KEYS).agg(*columns)
+
+
+def _quantiles(values: DataFrame, specs: DataFrame) -> DataFrame:
+    asked = specs.where(F.col("agg").isin(*PERCENTILES)).select("service", "name", "agg")
+    both = F.create_map(F.lit("whole"), "n", F.lit("earlier"), "n_earlier")
+    weighted = values.where("x IS NOT NULL").join(asked.drop("agg"), ["service", "name"], "left_semi").select(
+        *KEYS, "x", F.explode(both).alias("part", "w")
     )
-    exact = weighted_quantiles(counts, [*KEYS, "agg", "part"], "x", "w", list(PERCENTILES.values()))
+    exact = weighted_quantiles(weighted, [*KEYS, "part"], "x", "w", list(PERCENTILES.values()))
     names = F.array(*[F.lit(name) for name in PERCENTILES])
     picked = F.element_at("quantiles", F.array_position(names, F.col("agg")).cast("int"))
-    return exact.groupBy(*KEYS).agg(
-        F.max(F.when(F.col("part") == "whole", picked)).alias("value"),
-        F.max(F.when(F.col("part") == "earlier", picked)).alias("earlier_value"),
+    return exact.join(asked, ["service", "name"]).groupBy(*KEYS).agg(
+        F.max(F.when(F.col("part") == "whole", picked)).alias("quantile"),
+        F.max(F.when(F.col("part") == "earlier", picked)).alias("quantile_earlier"),
+    )
+
+
+def _value(suffix: str) -> Column:
+    of = lambda name: F.col(f"{name}{suffix}")
+    agg = F.col("agg")
+    return (
+        F.when(agg == "count", F.when(of("spans") > 0, of("spans").cast("double")))
+        .when(agg == "null_rate", F.try_divide(of("spans") - of("present"), of("spans")))
+        .when(agg == "rate", F.try_divide(of("nonzero"), of("present")))
+        .when(agg == "sum", of("total"))
+        .when(agg.isin(*PERCENTILES), of("quantile"))
+        .otherwise(F.try_divide(of("total"), of("numeric")))
     )
 
 
-def custom_metrics(split_spans: DataFrame, specs: DataFrame) -> DataFrame:
-    """service, name, segment, position, value, baseline, ratio, status, severity.
+def custom_metrics(split_spans: DataFrame, counts: DataFrame, profile: DataFrame, specs: DataFrame) -> DataFrame:
+    """service, name, segment, agg, value, baseline, ratio, status, severity.
 
     Without an explicit baseline the earlier half is the baseline; without
-    either the value is reported as HEALTHY with a NULL ratio.
+    either the value is reported as HEALTHY with a NULL ratio.  An attribute
+    that no span of the service carries is skipped, except by ``count``.
     """
-    rows = _long(split_spans, specs)
-    values = _simple(rows).unionByName(_percentile(rows)).where("value IS NOT NULL")
+    segment_values, segment_totals = segmented_counts(split_spans, specs)
+    values = plain_counts(counts, specs).unionByName(segment_values)
+    totals = plain_totals(profile, specs).unionByName(segment_totals)
+
+    measured = (
+        totals.join(_moments(values), KEYS, "left")
+        .join(_quantiles(values, specs), KEYS, "left")
+        .join(specs.drop("attribute", "segment_by"), ["service", "name"])
+        .where("present > 0 OR agg = 'count'")
+        .select(*specs.drop("attribute", "segment_by").columns, "segment", _value("").alias("value"), _value("_earlier").alias("earlier_value"))
+        .where("value IS NOT NULL")
+    )
     halved = F.col("agg").isin("count", "sum") & (F.col("baseline_scale") == "rate")
     from_half = F.when(halved, 2 * F.col("earlier_value")).otherwise(F.col("earlier_value"))
-    ratio = F.when(
-        F.col("base").isNotNull(), worse_ratio(F.col("value"), F.col("base"), F.col("direction"))
+    rated = measured.withColumn("base", F.coalesce("baseline", from_half)).withColumn(
+        "ratio", F.when(F.col("base").isNotNull(), worse_ratio(F.col("value"), F.col("base"), F.col("direction")))
     )
-    scaled = F.col("ratio") / (2 * F.col("critical_ratio"))
     status = (
         F.when(F.col("ratio") >= F.col("critical_ratio"), "CRITICAL")
         .when(F.col("ratio") >= F.col("warn_ratio"), "WARNING")
         .otherwise("HEALTHY")
     )
+    scaled = F.col("ratio") / (2 * F.col("critical_ratio"))
     severity = (
         F.when(F.col("status") == "CRITICAL", F.least(F.lit(1.0), scaled))
         .when(F.col("status") == "WARNING", F.least(F.lit(0.6), scaled))
         .otherwise(0.0)
     )
-    return (
-        values.join(specs.drop("attribute", "segment_by"), ["service", "name"])
-        .withColumn("base", F.coalesce("baseline", from_half))
-        .withColumn("ratio", ratio)
-        .withColumn("status", status)
-        .withColumn("severity", F.round(severity, 2))
-        .select(
-            *KEYS,
-            "agg",
-            F.round("value", 3).alias("value"),
-            F.round("base", 3).alias("baseline"),
-            "ratio",
-            "status",
-            "severity",
-        )
+    return rated.withColumn("status", status).select(
+        *KEYS,
+        "agg",
+        F.round("value", 3).alias("value"),
+        F.round("base", 3).alias("baseline"),
+        "ratio",
+        "status",
+        F.round(severity, 2).alias("severity"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanvigil.functions.scalars import segment_attribute, segment_value, with_segment_key
-from spanvigil.operators.attributes import attribute_entries
+from spanvigil.operators.attributes import exploded_attributes
 
 
 def anomaly_spans(spans: DataFrame, anomalies: DataFrame) -> DataFrame:
@@ -20,9 +20,7 @@ def anomaly_spans(spans: DataFrame, anomalies: DataFrame) -> DataFrame:
         .where("attr IS NOT NULL")
         .distinct()
     )
-    entries = spans.select(
-        "service", "start_time", "request_id", "evals", F.explode(attribute_entries()).alias("e")
-    ).select("service", "start_time", "request_id", "evals", "e.attr", "e.value")
+    entries = exploded_attributes(spans, "service", "start_time", "request_id", "evals")
     return with_segment_key(entries, "value").join(wanted, ["service", "attr", "value"])
 
 

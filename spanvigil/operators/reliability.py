@@ -19,7 +19,7 @@ from spanvigil.functions.scalars import (
 from spanvigil.operators import drift
 from spanvigil.operators.attributes import feature_counts
 from spanvigil.operators.quantiles import weighted_quantiles
-from spanvigil.operators.values import error_value
+from spanvigil.operators.values import error_keys, error_value
 from spanvigil.settings import DEFAULT_CHECKS
 
 SIGNAL = "struct<check:string,status:string,severity:double,detail:string,current_value:double>"
@@ -30,8 +30,8 @@ def half_profile(split_spans: DataFrame, services: DataFrame) -> DataFrame:
     last span."""
     earlier, recent = F.col("half") == "earlier", F.col("half") == "recent"
     return (
-        split_spans.join(services.select("service", "error_attribute"), "service")
-        .withColumn("error", error_value(F.col("error_attribute")))
+        split_spans.join(error_keys(services), "service")
+        .withColumn("error", error_value())
         .groupBy("service")
         .agg(
             F.count(F.lit(1)).alias("n_spans"),

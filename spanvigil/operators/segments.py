@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanvigil.functions.scalars import worse_ratio
-from spanvigil.operators.values import error_value
+from spanvigil.operators.values import error_keys, error_value
 
 
 def headline(spans: DataFrame, services: DataFrame) -> DataFrame:
     """service, n_spans, n_errors, metric (unrounded mean, NULL without values)."""
     return (
-        spans.join(services.select("service", "error_attribute"), "service")
-        .withColumn("error", error_value(F.col("error_attribute")))
+        spans.join(error_keys(services), "service")
+        .withColumn("error", error_value())
         .groupBy("service")
         .agg(
             F.count(F.lit(1)).alias("n_spans"),

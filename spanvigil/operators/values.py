@@ -1,27 +1,43 @@
-"""Access to a span's attributes by dotted name."""
+"""Access to a span's attributes by dotted name.
+
+Names come from settings.  They are taken apart on the settings' side of the
+join, once per setting, so that rows only do map look-ups.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanvigil.functions.scalars import safe_double
+
+def split_name(settings: DataFrame, column: str) -> DataFrame:
+    """Add ``<column>_kind`` (input, output, eval or own) and ``<column>_key``."""
+    name = F.col(column)
+    kind = F.regexp_extract(name, r"^(input|output|eval)\.", 1)
+    return settings.withColumns(
+        {
+            f"{column}_kind": F.when(kind == "", "own").otherwise(kind),
+            f"{column}_key": F.regexp_replace(name, r"^(input|output|eval)\.", ""),
+        }
+    )
 
 
-def attribute_value(name: Column) -> Column:
-    """A span's value for a dotted attribute name, as text; NULL when absent."""
-    key = F.regexp_replace(name, r"^(input|output|eval)\.", "")
+def attribute_value(column: str) -> Column:
+    """The named attribute of a span as text; NULL when absent."""
+    kind, key = F.col(f"{column}_kind"), F.col(f"{column}_key")
     return (
-        F.when(F.startswith(name, F.lit("input.")), F.try_element_at("inputs", key))
-        .when(F.startswith(name, F.lit("output.")), F.try_element_at("outputs", key))
-        .when(F.startswith(name, F.lit("eval.")), F.try_element_at("evals", key).cast("string"))
-        .when(name == "latency_ms", F.col("latency_ms").cast("string"))
-        .when(name == "status_code", F.col("status_code"))
-        .when(name == "model_version", F.col("model_version"))
+        F.when(kind == "input", F.try_element_at("inputs", key))
+        .when(kind == "output", F.try_element_at("outputs", key))
+        .when(kind == "eval", F.try_element_at("evals", key).cast("string"))
+        .when(key == "latency_ms", F.col("latency_ms").cast("string"))
+        .when(key == "model_version", F.col("model_version"))
     )
 
 
-def error_value(name: Column) -> Column:
-    """The configured error attribute of a span, one of its evals, as a number."""
-    measured = F.try_element_at("evals", F.regexp_replace(name, r"^eval\.", ""))
-    return F.nanvl(measured, F.lit(None).cast("double"))
+def error_keys(services: DataFrame) -> DataFrame:
+    """service, error_key: the configured error attribute, one of the evals."""
+    return services.select("service", F.regexp_replace("error_attribute", r"^eval\.", "").alias("error_key"))
+
+
+def error_value() -> Column:
+    return F.nanvl(F.try_element_at("evals", F.col("error_key")), F.lit(None).cast("double"))

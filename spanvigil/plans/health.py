@@ -76,7 +76,7 @@ def health_tables(
             segments.live_version(counts), baselines.select("service", "baseline_version")
         )
     )
-    metrics = materialise(cm.custom_metrics(split, specs))
+    metrics = materialise(cm.custom_metrics(split, counts, profile, specs))
 
     facts = (
         services.select(

@@ -26,10 +26,10 @@ def decode(messages: DataFrame, column: str = "value") -> DataFrame:
     """
     parsed = F.from_json(F.col(column).cast("string"), MESSAGE)
     scalars = F.map_filter(parsed, lambda _, v: ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)"))
-    return (
-        messages.withColumn("msg", F.transform_values(scalars, lambda _, v: F.try_variant_get(v, "$", "string")))
-        .where("msg IS NOT NULL")
-    )
+    texts = F.transform_values(scalars, lambda _, v: F.try_variant_get(v, "$", "string"))
+    # Exploding zero or one map drops what did not parse and parses each value once;
+    # a filter on the map would be pushed down and parse it again.
+    return messages.withColumn("msg", F.explode(F.array_compact(F.array(texts))))
 
 
 def peek_latest(messages: DataFrame, n: int = 10) -> DataFrame:

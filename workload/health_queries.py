@@ -300,7 +300,10 @@ def worst_signal(spark, d):
 
 @query("custom_metrics", sql("SELECT * FROM metrics", "metrics"))
 def custom_metrics(spark, d):
-    return cm.custom_metrics(split(spark, d), views.specs(spark))
+    rows = split(spark, d)
+    table = materialise(attribute_counts(rows, views.services(spark)))
+    totals = reliability.half_profile(rows, views.services(spark))
+    return cm.custom_metrics(rows, table, totals, views.specs(spark))
 
 
 @query("anomalies", sql("""

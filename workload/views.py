@@ -95,16 +95,14 @@ def event_spans(events: DataFrame) -> DataFrame:
     service = F.when(moved, "svc3").otherwise(F.concat(F.lit("svc"), third.cast("string")))
     channel = F.when(new & F.col("event_type").isin("click", "view"), "app").otherwise("web")
     error = F.when(~failed, F.abs(F.col("value") - k.cast("double")))
-    inputs = F.map_filter(
-        F.create_map(
-            F.lit("event_type"), F.col("event_type"),
-            F.lit("k"), k,
-            F.lit("user_bucket"), (F.col("user_id") % 10).cast("string"),
-            F.lit("channel"), channel,
-            F.lit("legacy"), F.when(~new, F.col("event_type")),
-            F.lit("amount"), (F.col("value") * F.when(new, 1.5).otherwise(1.0)).cast("string"),
-        ),
-        lambda _, v: v.isNotNull(),
+    # A NULL value means the span does not carry the attribute.
+    inputs = F.create_map(
+        F.lit("event_type"), F.col("event_type"),
+        F.lit("k"), k,
+        F.lit("user_bucket"), (F.col("user_id") % 10).cast("string"),
+        F.lit("channel"), channel,
+        F.lit("legacy"), F.when(~new, F.col("event_type")),
+        F.lit("amount"), (F.col("value") * F.when(new, 1.5).otherwise(1.0)).cast("string"),
     )
     return events.select(
         service.alias("service"),
@@ -115,12 +113,9 @@ def event_spans(events: DataFrame) -> DataFrame:
         F.when(new, "v2").otherwise("v1").alias("model_version"),
         inputs.alias("inputs"),
         F.create_map(F.lit("prediction"), F.col("value").cast("string")).alias("outputs"),
-        F.map_filter(
-            F.create_map(
-                F.lit("error"), error,
-                F.lit("hit"), F.when(error < 25, 1.0).when(error >= 25, 0.0),
-            ),
-            lambda _, v: v.isNotNull(),
+        F.create_map(
+            F.lit("error"), error,
+            F.lit("hit"), F.when(error < 25, 1.0).when(error >= 25, 0.0),
         ).alias("evals"),
         (F.col("value") * F.when(new & (service == "svc1"), 2.0).otherwise(1.0)).alias("latency_ms"),
     )
