@@ -11,8 +11,15 @@ from spanvigil.settings import NUMERIC_SHARE, PSI_BINS, PSI_CRITICAL, PSI_FLOOR,
 
 KEYS = ["service", "attr"]
 
-# All fractions i/q for 2 <= q <= PSI_BINS, so that one call serves every q.
-FRACTIONS = sorted({i / q for q in range(2, PSI_BINS + 1) for i in range(q + 1)})
+
+
+def bin_fractions(q: int) -> list[float]:
+    """q + 1 evenly spaced fractions, with the rounding of a repeated step."""
+    return [i * (1.0 / q) for i in range(q)] + [1.0]
+
+
+# The fractions of every 2 <= q <= PSI_BINS, so that one call serves all of them.
+FRACTIONS = sorted({f for q in range(2, PSI_BINS + 1) for f in bin_fractions(q)})
 
 
 def single_value_psi(counts: DataFrame, attribute_baselines: DataFrame) -> DataFrame:
@@ -92,7 +99,7 @@ def categorical_psi(counts: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def _positions(q: int) -> Column:
-    return F.expr(f"array({', '.join(str(FRACTIONS.index(i / q) + 1) for i in range(q + 1))})")
+    return F.expr(f"array({', '.join(str(FRACTIONS.index(f) + 1) for f in bin_fractions(q))})")
 
 
 def inner_edges(n_distinct: Column, quantile_array: Column) -> Column:

@@ -115,9 +115,11 @@ def weighted_quantiles(
     )
 
     def interpolated(f: Column) -> Column:
+        # Measured from the nearer neighbour, as numpy does.
         at = f * (F.col("n") - 1)
-        low = F.element_at("_at", F.floor(at))
-        return low + (F.element_at("_at", F.ceil(at)) - low) * (at - F.floor(at))
+        part = at - F.floor(at)
+        low, high = F.element_at("_at", F.floor(at)), F.element_at("_at", F.ceil(at))
+        return F.when(part < 0.5, low + (high - low) * part).otherwise(high - (high - low) * (1 - part))
 
     # Two order statistics per fraction, so the collected map is small and fixed.
     return (

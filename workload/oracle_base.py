@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanvigil.operators.drift import FRACTIONS
+from spanvigil.operators.drift import bin_fractions
 from workload.views import AS_OF, LOOKBACK, SERVICES, SPECS, SWITCH
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -146,9 +146,8 @@ FROM (SELECT service, attr, value,
 GROUP BY service, attr""")
 
 _BY_Q = " ".join(
-    f"WHEN {q} THEN quantile_cont(x, {doubles(i / q for i in range(q + 1))})" for q in range(2, 11)
+    f"WHEN {q} THEN quantile_cont(x, {doubles(bin_fractions(q))})" for q in range(2, 11)
 )
-assert len(FRACTIONS) == 33
 
 view("edges", "long", "kinds")(f"""
 SELECT service, attr, CASE least(10, count(DISTINCT x)) {_BY_Q} END AS qs
