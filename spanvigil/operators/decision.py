@@ -124,15 +124,15 @@ def escalate(decided: DataFrame, worst: DataFrame) -> DataFrame:
 def anomalies(
     segments: DataFrame,
     psi: DataFrame,
-    decisions: DataFrame,
+    silent: DataFrame,
     signals: DataFrame,
     metrics: DataFrame,
     governance: DataFrame | None = None,
 ) -> DataFrame:
     """One row per anomaly: service, metric, segment, current, baseline, ratio.
 
-    ``segments`` carries baseline and ratio; ``decisions`` n_spans; ``signals``
-    only raised ones; ``metrics`` custom metric rows; ``governance`` service,
+    ``segments`` carries baseline and ratio; ``silent`` the services without spans;
+    ``signals`` only raised ones; ``metrics`` custom metric rows; ``governance`` service,
     model_family, n_warnings.
     """
     number = lambda c: c.cast("double")
@@ -154,7 +154,7 @@ def anomalies(
             F.lit(PSI_WARNING).alias("baseline_value"),
             (F.col("psi") / PSI_WARNING).alias("ratio"),
         ),
-        decisions.where("n_spans = 0").select(
+        silent.select(
             "service",
             F.lit("prediction_volume").alias("metric"),
             F.lit("overall").alias("segment"),

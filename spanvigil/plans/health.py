@@ -23,10 +23,12 @@ class HealthTables:
 
     split: DataFrame
     counts: DataFrame
+    profile: DataFrame
     segments: DataFrame
     psi: DataFrame
     signals: DataFrame
     metrics: DataFrame
+    silent: DataFrame
     snapshot: DataFrame
 
 
@@ -76,7 +78,7 @@ def health_tables(
             segments.live_version(counts), baselines.select("service", "baseline_version")
         )
     )
-    metrics = materialise(cm.custom_metrics(split, counts, profile, specs))
+    metrics = cm.custom_metrics(split, counts, profile, specs)
 
     facts = (
         services.select(
@@ -109,4 +111,5 @@ def health_tables(
         "action",
         "reason",
     )
-    return HealthTables(split, counts, by_segment, psi, signals, metrics, snapshot)
+    silent = services.select("service").join(profile, "service", "left_anti")
+    return HealthTables(split, counts, profile, by_segment, psi, signals, metrics, silent, snapshot)

@@ -202,5 +202,5 @@ def test_snapshot_of_a_fleet(spark, make_spans, now):
     assert (found["gone"]["status"], found["gone"]["n_spans"], found["gone"]["severity"]) == ("CRITICAL", 0, 0.85)
     assert (found["busy"]["status"], found["busy"]["overall_ratio"], found["busy"]["n_bad_segments"]) == ("CRITICAL", 2.67, 1)
     assert found["short"]["n_spans"] == 10
-    anomalies = decision.anomalies(tables.segments, tables.psi, tables.snapshot, tables.signals, tables.metrics).collect()
+    anomalies = decision.anomalies(tables.segments, tables.psi, tables.silent, tables.signals, tables.metrics).collect()
     assert {("busy", "mae", "region=us"), ("gone", "prediction_volume", "overall")} <= {(a["service"], a["metric"], a["segment"]) for a in anomalies}

@@ -316,7 +316,7 @@ UNION ALL SELECT service, name, CASE WHEN segment = '' THEN 'overall' ELSE segme
 """, "segment_ratios", "psi_resolved", "facts", "signals", "metrics"))
 def anomalies(spark, d):
     t = tables(spark, d)
-    return decision.anomalies(t.segments, t.psi, t.snapshot, t.signals, t.metrics).select(
+    return decision.anomalies(t.segments, t.psi, t.silent, t.signals, t.metrics).select(
         "service", "metric", "segment", "current_value", F.round("baseline_value", 4).alias("baseline_value"), F.round("ratio", 4).alias("ratio")
     )
 

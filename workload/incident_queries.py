@@ -49,7 +49,7 @@ SELECT metric, class, count(*) AS n FROM (
   UNION ALL SELECT name, 'custom' FROM metrics WHERE status <> 'HEALTHY') GROUP BY ALL""", "segment_ratios", "psi_resolved", "facts", "signals", "metrics"))
 def hypotheses(spark, d):
     t = hq.tables(spark, d)
-    rows = decision.anomalies(t.segments, t.psi, t.snapshot, t.signals, t.metrics)
+    rows = decision.anomalies(t.segments, t.psi, t.silent, t.signals, t.metrics)
     return rows.withColumn("class", decision.hypothesis_class(F.col("metric"))).groupBy("metric", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -416,7 +416,7 @@ def classification_quality(spark, d):
 
     ok = F.when((F.col("n_chars") > 500) == (F.col("quality") == 1), 1.0).otherwise(0.0)
     rows = views.table(spark, d, "documents").join(views.table(spark, d, "labels"), "doc_id").select(
-        F.lit("quality").alias("service"), F.timestamp_seconds("doc_id").alias("start_time"),
+        F.when(F.col("quality").isNotNull(), "quality").alias("service"), F.timestamp_seconds("doc_id").alias("start_time"),
         F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("inputs"), F.expr("CAST(map() AS MAP<STRING,STRING>)").alias("outputs"),
         F.create_map(F.lit("is_correct"), ok).alias("evals"), F.lit(None).cast("double").alias("latency_ms"), F.lit(None).cast("string").alias("model_version"),
     )

@@ -89,8 +89,7 @@ def training_baseline(spark, d):
 
 def calibrated(spark, d):
     t = hq.tables(spark, d)
-    profile = hq.profile(spark, d)
-    return calibration.calibrate(t.counts, profile, views.services(spark), t.signals)
+    return calibration.calibrate(t.counts, t.profile, views.services(spark), t.signals)
 
 
 view("calibration", "spans", "services", "signals", "live_version", "long")(f"""
