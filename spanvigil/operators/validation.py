@@ -75,35 +75,52 @@ def joined_errors(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
 
 
 def phase_two(
-    errors: DataFrame, fixed_at: Column, bucket: str, group: str, tolerance: float = 0.10
+    errors: DataFrame,
+    fixed_at: Column,
+    group: str,
+    dimensions: list[str],
+    psi: DataFrame | None = None,
+    tolerance: float = 0.10,
+    psi_limit: float = 0.15,
 ) -> DataFrame:
     """Deferred accuracy check per group value (a model family).
 
-    Each bucket's daily errors after the fix are averaged and must lie within the
-    tolerance of its error before; ``errors`` holds time, error and the columns.
+    For every value of every dimension (haul bucket, customer) the daily errors
+    after the fix must stay within the tolerance of those before it, and the
+    drift of the group (``psi``: group, psi) below its limit.  Without actuals
+    after the fix the check is deferred.  ``errors`` holds time, error and the
+    columns.
     """
     after = F.col("time") >= fixed_at
-    daily = errors.groupBy(group, bucket, F.date_trunc("day", "time").alias("day"), after.alias("after")).agg(
-        F.avg("error").alias("mae"), F.count(F.lit(1)).alias("loads")
-    )
-    weighted = lambda side: F.sum(F.when(side, F.col("mae") * F.col("loads"))) / F.sum(F.when(side, F.col("loads")))
-    per_bucket = (
-        daily.groupBy(group, bucket)
-        .agg(
-            weighted(~F.col("after")).alias("before_mae"),
-            weighted(F.col("after")).alias("after_mae"),
-            F.count_if("after").alias("days_after"),
-        )
-        .withColumn("recovered", F.col("after_mae") <= F.col("before_mae") * (1 + tolerance))
+    cells = F.explode(
+        F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
+    )
+    daily = (
+        errors.select(group, "error", F.to_date("time").alias("day"), after.alias("after"), cells.alias("cell"))
+        .groupBy(group, "cell", "day", "after")
+        .agg(F.avg("error").alias("mae"), F.count("error").alias("loads"))
+    )
+
+    def weighted(side: Column) -> Column:
+        return F.sum(F.when(side, F.col("mae") * F.col("loads"))) / F.sum(F.when(side, F.col("loads")))
+
+    per_cell = daily.groupBy(group, "cell").agg(
+        weighted(~F.col("after")).alias("before_mae"), weighted(F.col("after")).alias("after_mae")
     )
-    return per_bucket.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n_buckets"),
-        F.count_if("recovered").alias("n_recovered"),
-        F.when(F.max("after_mae").isNull(), "DEFERRED")
-        .when(F.bool_and(F.coalesce("recovered", F.lit(False))), "PASS")
-        .otherwise("FAIL")
-        .alias("status"),
+    held = F.coalesce(F.col("after_mae") <= F.col("before_mae") * (1 + tolerance), F.lit(False))
+    verdicts = per_cell.withColumn("held", held).groupBy(group).agg(
+        F.count(F.lit(1)).alias("n_cells"),
+        F.count_if("held").alias("n_held"),
+        F.max("after_mae").isNull().alias("unseen"),
+        F.bool_and("held").alias("all_held"),
     )
+    if psi is None:
+        verdicts = verdicts.withColumn("psi", F.lit(None).cast("double"))
+    else:
+        verdicts = verdicts.join(psi.select(group, "psi"), group, "left")
+    settled = F.coalesce(F.col("psi") < psi_limit, F.lit(True))
+    status = F.when(F.col("unseen"), "DEFERRED").when(F.col("all_held") & settled, "PASS").otherwise("FAIL")
+    return verdicts.select(group, "n_cells", "n_held", "psi", status.alias("status"))
 
 
 def feed_checks(

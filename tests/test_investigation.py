@@ -102,3 +102,28 @@ def test_fleet_views(spark):
 def test_decisions_survive_later_writes(spark):
     writes = spark.createDataFrame([("r", 1, 1, None, None), ("r", 2, 2, "APPROVED", "ann"), ("r", 3, 3, None, None), ("q", 1, 1, None, None)], "run_id string, seq int, at int, decision string, by string")
     assert {r["run_id"]: (r["decision"], r["by"], r["n_writes"]) for r in incidents.approval_state(writes).collect()} == {"r": ("APPROVED", "ann", 3), "q": (None, None, 1)}
+
+
+def test_phase_two(spark):
+    rows = []
+    for family, new in (("kept", 10.5), ("worse", 20.0), ("drifted", 10.0)):
+        rows += [(family, "short", day, 10.0 if day < 5 else new) for day in range(1, 9) for _ in range(3)]
+    rows += [("early", "short", day, 10.0) for day in range(1, 4)]
+    errors = spark.createDataFrame(rows, "family string, bucket string, day int, error double").withColumn("time", F.make_timestamp(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0)))
+    psi = spark.createDataFrame([("kept", 0.1), ("drifted", 0.2)], "family string, psi double")
+    fixed = F.to_timestamp(F.lit("2024-01-05"))
+    found = {r["family"]: r["status"] for r in validation.phase_two(errors, fixed, "family", ["bucket"], psi).collect()}
+    assert found == {"kept": "PASS", "worse": "FAIL", "drifted": "FAIL", "early": "DEFERRED"}
+
+
+def test_interval_joins(spark):
+    spans = spark.createDataFrame([("s", d, f"2024-01-{d:02d} 12:00:00") for d in range(1, 29)], "service string, request_id int, at string").withColumn("start_time", F.to_timestamp("at"))
+    runs = spark.createDataFrame([("s", "r1", "2024-01-10 12:00:00", "2024-01-12 12:00:00"), ("s", "r2", "2024-01-20 00:00:00", "2024-01-20 06:00:00")], "service string, run_id string, a string, b string").select("service", "run_id", F.to_timestamp("a").alias("onset"), F.to_timestamp("b").alias("resolved_at"))
+    found = {}
+    for r in validation.incident_snapshots(spans.select("service", "request_id", "start_time"), runs).collect():
+        found.setdefault((r["run_id"], r["phase"]), set()).add(r["request_id"])
+    assert found == {("r1", "pre_drift"): set(range(3, 10)), ("r1", "post_fix"): {12}, ("r2", "pre_drift"): set(range(13, 20)), ("r2", "post_fix"): {20}}
+    commits = spark.createDataFrame([("r", "a", "2024-01-08 11:59:00", ["x"]), ("r", "b", "2024-01-08 12:00:00", ["x"]), ("r", "c", "2024-01-10 12:00:00", ["x", "y"]), ("r", "d", "2024-01-09 00:00:00", ["y"])], "repo string, sha string, d string, files array<string>").withColumn("date", F.to_timestamp("d"))
+    onsets = spark.createDataFrame([("r", "2024-01-10 12:00:00")], "repo string, o string").select("repo", F.to_timestamp("o").alias("onset"))
+    risky = spark.createDataFrame([("r", "x")], "repo string, file string")
+    assert sorted(r["sha"] for r in changes.changes_before_onset(commits, onsets, risky).collect()) == ["b", "c"]

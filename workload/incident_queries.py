@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanvigil.functions.scalars import confidence_band
 from spanvigil.operators import changes as ch
-from spanvigil.operators import decision, incidents, investigation, segments, trends, validation
+from spanvigil.operators import decision, drift, incidents, investigation, segments, trends, validation
 from spanvigil.operators.attributes import attribute_counts
 from spanvigil.operators.halves import with_halves
 from spanvigil.session import materialise
@@ -396,11 +396,20 @@ def drift_onset(spark, d):
 
 
 @query("phase2_actuals", sql("""
-SELECT family, count(*) AS n_buckets, count(*) FILTER (a <= b * 1.1) AS n_recovered,
-       CASE WHEN max(a) IS NULL THEN 'DEFERRED' WHEN bool_and(coalesce(a <= b * 1.1, false)) THEN 'PASS' ELSE 'FAIL' END AS status
-FROM (SELECT family, bucket, avg(error) FILTER (time < TIMESTAMP '2000-01-01') AS b, avg(error) FILTER (time >= TIMESTAMP '2000-01-01') AS a FROM errors GROUP BY ALL) GROUP BY family""", "errors"))
+SELECT c.family, n_cells, n_held, psi, CASE WHEN unseen THEN 'DEFERRED' WHEN all_held AND psi < 0.15 THEN 'PASS' ELSE 'FAIL' END AS status
+FROM (SELECT family, count(*) AS n_cells, count(*) FILTER (a <= b * 1.1) AS n_held, max(a) IS NULL AS unseen, bool_and(coalesce(a <= b * 1.1, false)) AS all_held
+      FROM (SELECT family, dim, avg(error) FILTER (time < TIMESTAMP '2000-01-01') AS b, avg(error) FILTER (time >= TIMESTAMP '2000-01-01') AS a
+            FROM (SELECT family, time, error, 'bucket=' || bucket AS dim FROM errors UNION ALL SELECT family, time, error, 'service=' || service FROM errors) GROUP BY ALL) GROUP BY family) c
+JOIN (SELECT family, round(sum((n - o) * ln(n / o)), 4) AS psi FROM (
+        SELECT family, CASE WHEN new = 0 THEN 0.0001 ELSE new / sum(new) OVER w END AS n, CASE WHEN old = 0 THEN 0.0001 ELSE old / sum(old) OVER w END AS o
+        FROM (SELECT family, floor(predicted / 25000) AS bin, count(*) FILTER (time >= TIMESTAMP '2000-01-01')::DOUBLE AS new, count(*) FILTER (time < TIMESTAMP '2000-01-01')::DOUBLE AS old
+              FROM errors GROUP BY ALL) WINDOW w AS (PARTITION BY family)) GROUP BY family) p USING (family)""", "errors"))
 def phase2_actuals(spark, d):
-    return validation.phase_two(errors(spark, d), F.lit("2000-01-01").cast("timestamp"), "bucket", "family")
+    rows = materialise(errors(spark, d))
+    fixed = F.lit("2000-01-01").cast("timestamp")
+    bins = rows.groupBy("family", F.floor(F.col("predicted") / 25000).alias("bin"), (F.col("time") >= fixed).alias("after")).agg(F.count(F.lit(1)).alias("n"))
+    psi = drift.histogram_psi(bins.where(~F.col("after")), bins.where("after"), ["family"], "bin")
+    return validation.phase_two(rows, fixed, "family", ["bucket", "service"], psi)
 
 
 # --- a score, not an error ----------------------------------------------------------------
