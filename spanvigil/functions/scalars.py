@@ -16,6 +16,16 @@ MEANINGLESS_PATTERNS = ("overall", "prediction_volume", "all", "none")
 # -------------------------------------------------------------------------------
 
 
+def round_to(value: Column | str, digits: int = 0) -> Column:
+    """Round the binary value, as Python does: 0.575 is below the tie and gives
+    0.57.  Spark's own ``round`` works on the printed decimals."""
+    number = F.col(value) if isinstance(value, str) else value
+    if digits == 0:
+        return F.round(number)
+    scale = float(10**digits)
+    return F.round(number * scale) / scale
+
+
 def safe_double(value: Column) -> Column:
     """Number or NULL.  Text is checked by pattern first: a failing parse costs an
     exception per row, and ``1d``, NaN and infinities are not wanted as numbers."""
@@ -58,8 +68,8 @@ def worse_ratio(value: Column, baseline: Column, direction: Column | str) -> Col
     direction = F.lit(direction) if isinstance(direction, str) else direction
     usable = (value != 0) & (baseline != 0)
     return F.coalesce(
-        F.when(usable & (direction == HIGHER), F.round(baseline / value, 2)).when(
-            usable, F.round(value / baseline, 2)
+        F.when(usable & (direction == HIGHER), round_to(baseline / value, 2)).when(
+            usable, round_to(value / baseline, 2)
         ),
         F.lit(0.0),
     )

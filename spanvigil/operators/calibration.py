@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanvigil.functions.scalars import round_to
+
 from spanvigil.operators import segments
 from spanvigil.settings import MIN_BASELINE_SPANS
 
@@ -47,7 +49,7 @@ def calibrate(
     critical = signals.where("status = 'CRITICAL'").groupBy("service").agg(F.count(F.lit(1)).alias("n_critical"))
     return (
         segments.volume_per_hour(profile.select("service", "n_spans"), services)
-        .join(profile.select("service", F.round("metric", 2).alias("metric")), "service")
+        .join(profile.select("service", round_to("metric", 2).alias("metric")), "service")
         .join(segments.live_version(counts), "service", "left")
         .join(modes, "service", "left")
         .join(critical, "service", "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanvigil.functions.scalars import safe_double, with_segment_key, worse_ratio
+from spanvigil.functions.scalars import round_to, safe_double, with_segment_key, worse_ratio
 from spanvigil.operators.quantiles import weighted_quantiles
 from spanvigil.operators.values import attribute_value, split_name
 
@@ -128,11 +128,11 @@ def custom_metrics(split_spans: DataFrame, counts: DataFrame, profile: DataFrame
     return rated.withColumn("status", status).select(
         *KEYS,
         "agg",
-        F.round("value", 3).alias("value"),
-        F.round("base", 3).alias("baseline"),
+        round_to("value", 3).alias("value"),
+        round_to("base", 3).alias("baseline"),
         "ratio",
         "status",
-        F.round(severity, 2).alias("severity"),
+        round_to(severity, 2).alias("severity"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanvigil.functions.scalars import bare_attribute, status_rank
+from spanvigil.functions.scalars import bare_attribute, round_to, status_rank
 from spanvigil.settings import CRITICAL_RATIO, MIN_REVERT_CONFIDENCE, PSI_WARNING, WARNING_RATIO
 
 # --- fixed values: severities of the branches ----------------------------------
@@ -32,7 +32,7 @@ HYPOTHESES = {
 
 
 def _two(number: Column) -> Column:
-    return F.round(number, 2).cast("string")
+    return round_to(number, 2).cast("string")
 
 
 def decide(facts: DataFrame) -> DataFrame:
@@ -60,8 +60,8 @@ def decide(facts: DataFrame) -> DataFrame:
     severity = (
         F.when(silent, F.when(long_window, OUTAGE_SEVERITY).otherwise(QUIET_SEVERITY))
         .when(unmeasured, NO_METRIC_SEVERITY)
-        .when(critical, F.round(strength(1.0, 5.0, 0.5), 2))
-        .when(warning, F.round(strength(0.6, 4.0, 0.4), 2))
+        .when(critical, round_to(strength(1.0, 5.0, 0.5), 2))
+        .when(warning, round_to(strength(0.6, 4.0, 0.4), 2))
         .otherwise(0.0)
     )
     action = (
@@ -103,7 +103,7 @@ def escalate(decided: DataFrame, worst: DataFrame) -> DataFrame:
     return (
         joined.withColumn(
             "severity",
-            F.when(F.col("higher"), F.greatest("severity", F.round("worst.severity", 2))).otherwise(F.col("severity")),
+            F.when(F.col("higher"), F.greatest("severity", round_to("worst.severity", 2))).otherwise(F.col("severity")),
         )
         .withColumn(
             "action",
@@ -142,7 +142,7 @@ def anomalies(
             "service",
             F.lit("mae").alias("metric"),
             F.concat(bare_attribute(F.col("attr")), F.lit("="), "value").alias("segment"),
-            F.round(F.col("metric"), 1).alias("current_value"),
+            round_to(F.col("metric"), 1).alias("current_value"),
             F.col("baseline").alias("baseline_value"),
             "ratio",
         ),

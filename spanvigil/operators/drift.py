@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanvigil.functions.scalars import psi_band, psi_term, segment_key
+from spanvigil.functions.scalars import psi_band, psi_term, round_to, segment_key
 from spanvigil.operators.quantiles import weighted_quantiles
 from spanvigil.settings import NUMERIC_SHARE, PSI_BINS, PSI_CRITICAL, PSI_FLOOR, PSI_WARNING
 
@@ -48,7 +48,7 @@ def single_value_psi(counts: DataFrame, attribute_baselines: DataFrame) -> DataF
             F.max("expected").alias("expected"),
             F.max("n_observed").alias("n_observed"),
             F.max("n_distinct").alias("n_distinct"),
-            F.round(F.sum(term), 4).alias("psi"),
+            round_to(F.sum(term), 4).alias("psi"),
         )
         .withColumn("band", psi_band(F.col("psi"), PSI_WARNING, PSI_CRITICAL))
     )
@@ -93,7 +93,7 @@ def categorical_psi(counts: DataFrame, totals: DataFrame) -> DataFrame:
         counts.where("n_earlier + n_recent > 0")
         .join(totals, KEYS)
         .groupBy(KEYS)
-        .agg(F.round(F.abs(F.sum(term)), 3).alias("psi"))
+        .agg(round_to(F.abs(F.sum(term)), 3).alias("psi"))
         .select(*KEYS, F.lit("categorical").alias("kind"), "psi")
     )
 
@@ -136,7 +136,7 @@ def numeric_psi(counts: DataFrame, totals: DataFrame) -> DataFrame:
         )
     )
     term = psi_term(F.col("n_recent") / F.col("recent"), F.col("n_earlier") / F.col("earlier"))
-    scored = bins.groupBy(KEYS).agg(F.round(F.abs(F.sum(term)), 3).alias("psi"))
+    scored = bins.groupBy(KEYS).agg(round_to(F.abs(F.sum(term)), 3).alias("psi"))
     # Fewer than two distinct earlier values: no bins, index 0.
     return (
         totals.select(*KEYS)
@@ -164,7 +164,7 @@ def histogram_psi(baseline: DataFrame, current: DataFrame, keys: list[str], bin:
         both.join(totals, keys)
         .where("olds > 0 AND news > 0")
         .groupBy(*keys)
-        .agg(F.round(F.sum(term), 4).alias("psi"))
+        .agg(round_to(F.sum(term), 4).alias("psi"))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanvigil.functions.scalars import segment_attribute, segment_value, with_segment_key
+from spanvigil.functions.scalars import round_to, segment_attribute, segment_value, with_segment_key
 from spanvigil.operators.attributes import exploded_attributes
 
 
@@ -45,7 +45,7 @@ def drill_down(matched: DataFrame, error: str = "error", samples: int = 5) -> Da
             F.count(F.lit(1)).alias("n"),
             F.min("start_time").alias("earliest"),
             F.max("start_time").alias("latest"),
-            F.round(F.avg(F.try_element_at("evals", F.lit(error))), 1).alias("mean_error"),
+            round_to(F.avg(F.try_element_at("evals", F.lit(error))), 1).alias("mean_error"),
         )
         .join(ids, keys)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanvigil.functions.scalars import safe_double
+from spanvigil.functions.scalars import round_to, safe_double
 from spanvigil.operators.quantiles import quantiles
 
 TOP_VALUES = 20
@@ -57,7 +57,7 @@ def numeric_profile(
     """
     keys = keys or []
     deviation = F.stddev_samp if sample_std else F.stddev_pop
-    r = lambda c: F.round(c, digits)
+    r = lambda c: round_to(c, digits)
 
     def moments(name: str) -> Column:
         x = F.col(name).cast("double")
@@ -102,7 +102,7 @@ def categorical_profile(frame: DataFrame, columns: list[str], top: int = TOP_VAL
         counts.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top)
         .join(totals, "column")
-        .withColumn("fraction", F.round(F.col("n") / F.col("count"), 4))
+        .withColumn("fraction", round_to(F.col("n") / F.col("count"), 4))
     )
 
 
@@ -118,7 +118,7 @@ def sequence_profile(frame: DataFrame, columns: list[str]) -> DataFrame:
             F.count(name).alias("count"),
             F.min(size).alias("len_min"),
             F.max(size).alias("len_max"),
-            F.round(F.avg(size), 4).alias("len_mean"),
+            round_to(F.avg(size), 4).alias("len_mean"),
         )
 
     return _stacked(frame, {name: lengths(name) for name in columns}, [])
@@ -137,7 +137,7 @@ def datetime_profile(frame: DataFrame, columns: list[str]) -> DataFrame:
 def target_correlation(frame: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Pearson correlation with the target, strongest first; undefined ones left out."""
     pairs = {
-        c: F.struct(F.round(F.corr(F.col(c).cast("double"), F.col(target).cast("double")), 4).alias("correlation"))
+        c: F.struct(round_to(F.corr(F.col(c).cast("double"), F.col(target).cast("double")), 4).alias("correlation"))
         for c in columns
         if c != target
     }

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanvigil.functions.scalars import (
+    round_to,
     drift_severity,
     drift_status,
     is_error_status,
@@ -107,7 +108,7 @@ def _signal(check: str, status: Column, severity: Column, detail: Column, value:
 
 
 def _text(number: Column, digits: int = 0) -> Column:
-    rounded = F.round(number, digits)
+    rounded = round_to(number, digits)
     return (rounded.cast("bigint") if digits == 0 else rounded).cast("string")
 
 
@@ -126,7 +127,7 @@ def volume_drop() -> Column:
         F.col("n_recent").cast("string"), F.lit(" recent spans, "),
         F.col("n_earlier").cast("string"), F.lit(" earlier"),
     )
-    return _signal("volume_drop", status, severity, detail, F.round(ratio, 2))
+    return _signal("volume_drop", status, severity, detail, round_to(ratio, 2))
 
 
 def gap_minutes(as_of: Column) -> Column:
@@ -139,7 +140,7 @@ def silence(as_of: Column) -> Column:
     detail = F.concat(
         F.lit("silent for "), _text(gap), F.lit(" of "), F.col("lookback").cast("string"), F.lit(" minutes")
     )
-    return _signal("silence", status, F.lit(0.55), detail, F.round(gap, 1))
+    return _signal("silence", status, F.lit(0.55), detail, round_to(gap, 1))
 
 
 def error_rate() -> Column:
@@ -152,7 +153,7 @@ def error_rate() -> Column:
     )
     severity = F.when(status == "CRITICAL", F.least(F.lit(1.0), rate * 2)).otherwise(0.5)
     detail = F.concat(_text(rate * 100, 1), F.lit("% of spans failed"))
-    return _signal("error_rate", status, severity, detail, F.round(rate, 3))
+    return _signal("error_rate", status, severity, detail, round_to(rate, 3))
 
 
 def latency_drift() -> Column:
@@ -164,14 +165,14 @@ def latency_drift() -> Column:
     detail = F.concat(
         F.lit("p95 latency "), _text(ratio, 1), F.lit(" times the earlier "), _text(F.col("p95_earlier"))
     )
-    return _signal("latency_drift", status, severity, detail, F.round(ratio, 2))
+    return _signal("latency_drift", status, severity, detail, round_to(ratio, 2))
 
 
 def null_rate() -> Column:
     rate = F.col("n_missing") / F.col("n_spans")
     status = F.when((rate > 0) & (rate < 1) & (rate >= F.col("null_rate_warn")), "WARNING")
     detail = F.concat(_text(rate * 100), F.lit("% of spans carry no error value"))
-    return _signal("null_rate", status, F.lit(0.45), detail, F.round(rate, 3))
+    return _signal("null_rate", status, F.lit(0.45), detail, round_to(rate, 3))
 
 
 def _drift_signal(check: str, attr: str, psi: str) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanvigil.functions.scalars import worse_ratio
+from spanvigil.functions.scalars import round_to, worse_ratio
 from spanvigil.operators.values import error_keys, error_value
 
 
@@ -93,5 +93,5 @@ def volume_per_hour(totals: DataFrame, services: DataFrame) -> DataFrame:
     """``totals``: service, n_spans."""
     hours = F.col("lookback_minutes") / F.lit(60.0)
     return totals.join(services.select("service", "lookback_minutes"), "service").select(
-        "service", "n_spans", F.round(F.col("n_spans") / hours, 1).alias("per_hour")
+        "service", "n_spans", round_to(F.col("n_spans") / hours, 1).alias("per_hour")
     )

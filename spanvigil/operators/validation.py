@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanvigil.functions.scalars import bare_attribute, segment_attribute, segment_value
+from spanvigil.functions.scalars import bare_attribute, round_to, segment_attribute, segment_value
 from spanvigil.operators.decision import recovery_status
 from spanvigil.operators.quantiles import quantiles
 from spanvigil.settings import WARNING_RATIO
@@ -28,7 +28,7 @@ def compare_segments(flagged: DataFrame, current: DataFrame) -> DataFrame:
     )
     return (
         before.join(now, ["service", "attribute", "value"], "left")
-        .withColumn("improvement", F.round(F.col("before_ratio") - F.col("after_ratio"), 2))
+        .withColumn("improvement", round_to(F.col("before_ratio") - F.col("after_ratio"), 2))
         .withColumn("resolved", F.coalesce(F.col("after_ratio") < WARNING_RATIO, F.lit(False)))
         .drop("attribute", "value")
     )
@@ -130,7 +130,7 @@ def feed_checks(
     service, family, mean."""
     stats = feed.join(expected.select("service", F.col("family").alias("expected_family")), "service").groupBy("service").agg(
         F.count(F.lit(1)).alias("count"),
-        F.round(1 - F.count("prediction") / F.count(F.lit(1)), 4).alias("null_rate"),
+        round_to(1 - F.count("prediction") / F.count(F.lit(1)), 4).alias("null_rate"),
         F.avg("prediction").alias("mean"),
         F.min("prediction").alias("min"),
         F.max("prediction").alias("max"),
@@ -149,11 +149,11 @@ def feed_checks(
         .join(expected.select("service", F.col("mean").alias("expected_mean")), "service")
         .select(
             "service", "count", "null_rate",
-            F.round("mean", 2).alias("mean"),
-            F.round(F.element_at("quantiles", 1), 2).alias("p50"),
-            F.round(F.element_at("quantiles", 2), 2).alias("p95"),
-            F.round("min", 2).alias("min"),
-            F.round("max", 2).alias("max"),
+            round_to("mean", 2).alias("mean"),
+            round_to(F.element_at("quantiles", 1), 2).alias("p50"),
+            round_to(F.element_at("quantiles", 2), 2).alias("p95"),
+            round_to("min", 2).alias("min"),
+            round_to("max", 2).alias("max"),
             "identity",
             F.coalesce(passed, F.lit(False)).alias("passed"),
         )

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanvigil.functions.scalars import psi_band, worse_ratio
+from spanvigil.functions.scalars import psi_band, round_to, worse_ratio
 from spanvigil.operators import custom_metrics as cm
 from spanvigil.operators import decision, drift, reliability, segments
 from spanvigil.operators.attributes import attribute_counts
@@ -99,7 +99,7 @@ def health_tables(
         "service",
         "lookback_minutes",
         "n_spans",
-        F.round("metric", 1).alias("metric_value"),
+        round_to("metric", 1).alias("metric_value"),
         "baseline",
         "baseline_source",
         "overall_ratio",

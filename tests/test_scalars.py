@@ -47,3 +47,7 @@ def test_plain_table_names(name):
 def test_other_table_names(name):
     with pytest.raises(ValueError):
         sc.assert_table_identifier(name)
+
+
+def test_rounding_uses_the_binary_value(spark):
+    assert values(spark, sc.round_to(F.col("v"), 2), [(0.575,), (2.675,), (0.125,), (-0.125,), (None,)], "v double") == [0.57, 2.67, 0.13, -0.13, None]

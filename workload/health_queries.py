@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanvigil.functions.scalars import round_to
+
 from spanvigil.operators import baselines as bl
 from spanvigil.operators import custom_metrics as cm
 from spanvigil.operators import decision, drift, reliability, segments
@@ -47,7 +49,7 @@ def training_artifacts(spark: SparkSession, d: str) -> DataFrame:
     week = views.spans(spark, d).where(
         (F.col("start_time") < F.lit("2024-01-08").cast("timestamp")) & F.col("service").isin("svc0", "svc1")
     )
-    metric = week.groupBy("service").agg(F.round(F.avg(F.try_element_at("evals", F.lit("error"))), 4).alias("mae"))
+    metric = week.groupBy("service").agg(round_to(F.avg(F.try_element_at("evals", F.lit("error"))), 4).alias("mae"))
     shares = (
         week.select("service", F.explode(F.map_filter("inputs", lambda k, _: k.isin("channel", "event_type"))).alias("attribute", "value"))
         .groupBy("service", "attribute", "value")
@@ -77,7 +79,7 @@ def calibration_artifacts(spark: SparkSession, d: str) -> DataFrame:
     )
     return days.groupBy("service").agg(
         F.lit("2024-01-12").alias("generated_at"),
-        F.round(F.avg(F.try_element_at("evals", F.lit("error"))), 2).alias("metric"),
+        round_to(F.avg(F.try_element_at("evals", F.lit("error"))), 2).alias("metric"),
         F.lit(None).cast("map<string,string>").alias("attribute_modes"),
         F.min("model_version").alias("model_version"),
     )
@@ -110,7 +112,7 @@ SNAPSHOT = ["service", "n_spans", "metric_value", "baseline", "baseline_source",
 
 @query("health_snapshot", sql("SELECT * FROM snapshot", "snapshot"))
 def health_snapshot(spark, d):
-    return tables(spark, d).snapshot.withColumn("baseline", F.round("baseline", 4)).select(*SNAPSHOT)
+    return tables(spark, d).snapshot.withColumn("baseline", round_to("baseline", 4)).select(*SNAPSHOT)
 
 
 @query("window_halves", sql("""
@@ -127,7 +129,7 @@ def window_halves(spark, d):
 @query("headline_metric", sql("SELECT service, n_spans, n_errors, round(metric, 1) AS metric_value FROM headline", "headline"))
 def headline_metric(spark, d):
     return segments.headline(views.spans(spark, d), views.services(spark)).select(
-        "service", "n_spans", "n_errors", F.round("metric", 1).alias("metric_value")
+        "service", "n_spans", "n_errors", round_to("metric", 1).alias("metric_value")
     )
 
 
@@ -135,7 +137,7 @@ def headline_metric(spark, d):
 def segment_metric(spark, d):
     rows = segments.segment_breakdown(counts(spark, d), views.services(spark))
     return segments.with_ratio(rows, resolved(spark, d)).select(
-        "service", "attr", "value", "n", F.round("metric", 1).alias("metric_value"), "ratio"
+        "service", "attr", "value", "n", round_to("metric", 1).alias("metric_value"), "ratio"
     )
 
 
@@ -203,7 +205,7 @@ def volume_drop(spark, d):
     rows = profile(spark, d).join(limits(spark), "service")
     signal = reliability.volume_drop()
     return rows.where("n_recent > 0 AND n_earlier >= 2").select(
-        "service", "n_earlier", "n_recent", F.round(F.col("n_recent") / F.col("n_earlier"), 2).alias("ratio"),
+        "service", "n_earlier", "n_recent", round_to(F.col("n_recent") / F.col("n_earlier"), 2).alias("ratio"),
         F.coalesce(signal["status"], F.lit("HEALTHY")).alias("status"),
     )
 
@@ -214,7 +216,7 @@ SELECT service, strftime(last_span, '%Y-%m-%d %H:%M:%S.%f') AS last_span, curren
 FROM profile JOIN battery USING (service) WHERE "check" = 'silence'""", "profile", "battery"))
 def silence(spark, d):
     rows = profile(spark, d).join(limits(spark), "service")
-    gap = F.round(reliability.gap_minutes(views.as_of()), 1)
+    gap = round_to(reliability.gap_minutes(views.as_of()), 1)
     return rows.select(
         "service", views.stamp("last_span").alias("last_span"), gap.alias("gap_minutes"),
         F.coalesce(reliability.silence(views.as_of())["status"], F.lit("HEALTHY")).alias("status"),
@@ -227,7 +229,7 @@ SELECT service, n_spans, n_errored, current_value AS rate, status FROM profile J
 def error_rate(spark, d):
     rows = profile(spark, d).join(limits(spark), "service")
     return rows.select(
-        "service", "n_spans", "n_errored", F.round(F.col("n_errored") / F.col("n_spans"), 3).alias("rate"),
+        "service", "n_spans", "n_errored", round_to(F.col("n_errored") / F.col("n_spans"), 3).alias("rate"),
         F.coalesce(reliability.error_rate()["status"], F.lit("HEALTHY")).alias("status"),
     )
 
@@ -238,8 +240,8 @@ FROM profile JOIN battery USING (service) WHERE "check" = 'latency_drift'""", "p
 def latency_drift(spark, d):
     rows = reliability.latency_p95(counts(spark, d)).join(views.services(spark), "service")
     return rows.where("p95_earlier > 0 AND p95_recent IS NOT NULL").select(
-        "service", F.round("p95_earlier", 4).alias("p95_earlier"), F.round("p95_recent", 4).alias("p95_recent"),
-        F.round(F.col("p95_recent") / F.col("p95_earlier"), 2).alias("ratio"),
+        "service", round_to("p95_earlier", 4).alias("p95_earlier"), round_to("p95_recent", 4).alias("p95_recent"),
+        round_to(F.col("p95_recent") / F.col("p95_earlier"), 2).alias("ratio"),
         F.coalesce(reliability.latency_drift()["status"], F.lit("HEALTHY")).alias("status"),
     )
 
@@ -249,7 +251,7 @@ SELECT service, n_missing, current_value AS rate, status FROM profile JOIN batte
 def null_rate(spark, d):
     rows = profile(spark, d).join(limits(spark), "service")
     return rows.select(
-        "service", "n_missing", F.round(F.col("n_missing") / F.col("n_spans"), 3).alias("rate"),
+        "service", "n_missing", round_to(F.col("n_missing") / F.col("n_spans"), 3).alias("rate"),
         F.coalesce(reliability.null_rate()["status"], F.lit("HEALTHY")).alias("status"),
     )
 
@@ -284,7 +286,7 @@ def version_drift(spark, d):
 SELECT service, position, "check", status, round(severity, 4) AS severity, current_value FROM signals""", "signals"))
 def reliability_signals(spark, d):
     return tables(spark, d).signals.select(
-        "service", "position", "check", "status", F.round("severity", 4).alias("severity"), "current_value"
+        "service", "position", "check", "status", round_to("severity", 4).alias("severity"), "current_value"
     )
 
 
@@ -317,18 +319,18 @@ UNION ALL SELECT service, name, CASE WHEN segment = '' THEN 'overall' ELSE segme
 def anomalies(spark, d):
     t = tables(spark, d)
     return decision.anomalies(t.segments, t.psi, t.silent, t.signals, t.metrics).select(
-        "service", "metric", "segment", "current_value", F.round("baseline_value", 4).alias("baseline_value"), F.round("ratio", 4).alias("ratio")
+        "service", "metric", "segment", "current_value", round_to("baseline_value", 4).alias("baseline_value"), round_to("ratio", 4).alias("ratio")
     )
 
 
 @query("rolling_mae", sql("SELECT service, n, round(mae, 2) AS mae, usable FROM rolling", "rolling"))
 def rolling_mae(spark, d):
-    return rolling(spark, d).select("service", "n", F.round("mae", 2).alias("mae"), "usable")
+    return rolling(spark, d).select("service", "n", round_to("mae", 2).alias("mae"), "usable")
 
 
 @query("baseline_resolution", sql("SELECT service, round(baseline, 4) AS baseline, baseline_source, baseline_version FROM resolved", "resolved"))
 def baseline_resolution(spark, d):
-    return resolved(spark, d).select("service", F.round("baseline", 4).alias("baseline"), "baseline_source", "baseline_version")
+    return resolved(spark, d).select("service", round_to("baseline", 4).alias("baseline"), "baseline_source", "baseline_version")
 
 
 @query("expected_values", sql("SELECT * FROM resolved_expected", "resolved_expected"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanvigil.functions.scalars import confidence_band
+from spanvigil.functions.scalars import confidence_band, round_to
 from spanvigil.operators import changes as ch
 from spanvigil.operators import decision, drift, incidents, investigation, segments, trends, validation
 from spanvigil.operators.attributes import attribute_counts
@@ -363,7 +363,7 @@ FROM errors WHERE time >= TIMESTAMP '2001-08-01' - INTERVAL 14 DAY GROUP BY buck
 def daily_trend_rolling(spark, d):
     rows = trends.last_days(errors(spark, d), F.lit("2001-08-01").cast("timestamp"), 14)
     out = trends.rolling_trend(trends.daily_errors(rows, ["bucket"]), ["bucket"])
-    return out.select("bucket", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", F.round("mae", 1).alias("mae"), F.round("rolling_mae", 1).alias("rolling_mae"))
+    return out.select("bucket", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", round_to("mae", 1).alias("mae"), round_to("rolling_mae", 1).alias("rolling_mae"))
 
 
 def _rated(spark, d):
@@ -387,7 +387,7 @@ def day_over_day_volume(spark, d):
 SELECT bucket, len(list_filter(edges, lambda e: e < predicted)) + 1 AS decile, count(*) AS n, round(avg(error), 1) AS mae
 FROM errors JOIN (SELECT bucket, quantile_cont(predicted, [{', '.join(f'{i / 10!r}::DOUBLE' for i in range(1, 10))}]) AS edges FROM errors GROUP BY bucket) USING (bucket) GROUP BY ALL""", "errors"))
 def bucket_decile(spark, d):
-    return trends.bucket_deciles(materialise(errors(spark, d)), "bucket", "predicted").withColumn("mae", F.round("mae", 1))
+    return trends.bucket_deciles(materialise(errors(spark, d)), "bucket", "predicted").withColumn("mae", round_to("mae", 1))
 
 
 @query("drift_onset", sql("SELECT bucket, strftime(min(day), '%Y-%m-%d') AS onset FROM rated WHERE status <> 'HEALTHY' GROUP BY bucket", "rated"))
@@ -431,4 +431,4 @@ def classification_quality(spark, d):
     )
     service = st.services_frame(spark, [st.ServiceSettings("quality", error_attribute="eval.is_correct", direction=st.HIGHER, segments=("input.lang", "input.source"))])
     table = segments.segment_breakdown(attribute_counts(with_halves(rows), service), service)
-    return segments.with_ratio(table, service.withColumn("baseline", F.lit(0.6))).select("attr", "value", "n", F.round("metric", 4).alias("metric"), "ratio")
+    return segments.with_ratio(table, service.withColumn("baseline", F.lit(0.6))).select("attr", "value", "n", round_to("metric", 4).alias("metric"), "ratio")

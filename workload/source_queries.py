@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from spanvigil import settings as st
-from spanvigil.functions.scalars import safe_double
+from spanvigil.functions.scalars import round_to, safe_double
 from spanvigil.operators import profiles
 from spanvigil.sources import messages, spans, tables
 from workload import views
@@ -128,7 +128,7 @@ ORDER BY delivered_at DESC, load_id LIMIT 1000""", "actuals", "predictions"))
 def actuals_for_keys(spark, d):
     keys = views.predictions(spark, d).where("bucket = '1-URGENT'")
     rows = tables.actuals_for(views.actuals(spark, d), keys, F.lit("1996-01-01").cast("timestamp"))
-    return rows.select("load_id", F.round("actual", 1).alias("actual"), F.date_format("delivered_at", "yyyy-MM-dd").alias("day"))
+    return rows.select("load_id", round_to("actual", 1).alias("actual"), F.date_format("delivered_at", "yyyy-MM-dd").alias("day"))
 
 
 @query("table_replay", sql("""
@@ -160,7 +160,7 @@ def tap_default(spark, d):
         "request_id", "model_version", views.stamp("start_time").alias("start_time"), "status_code", "error_type",
         at("inputs", "shipper").alias("shipper"), at("inputs", "api_fetch_limit").alias("api_fetch_limit"),
         F.size("inputs").alias("n_inputs"), safe_double(at("outputs", "prediction")).alias("prediction"),
-        F.col("ground_truth").alias("actual"), F.round(at("evals", messages.DEFAULT_ERROR), 4).alias("error"), "regime",
+        F.col("ground_truth").alias("actual"), round_to(at("evals", messages.DEFAULT_ERROR), 4).alias("error"), "regime",
     )
 
 
@@ -180,7 +180,7 @@ def tap_mapped(spark, d):
         F.array_join(F.array_sort(F.map_keys("inputs")), ",").alias("input_names"),
         safe_double(F.try_element_at("outputs", F.lit("prediction"))).alias("prediction"),
         safe_double(F.col("ground_truth")).alias("actual"),
-        F.round(F.try_element_at("evals", F.lit("error")), 4).alias("error"),
+        round_to(F.try_element_at("evals", F.lit("error")), 4).alias("error"),
         "model_version",
     )
 

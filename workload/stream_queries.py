@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanvigil.functions.scalars import round_to
+
 from spanvigil.operators import reliability
 from spanvigil.operators.attributes import attribute_counts
 from spanvigil.operators.halves import with_halves
@@ -43,7 +45,7 @@ SELECT service, strftime(f, {US}) AS "from", n, round(metric, 4) AS metric, roun
 WHERE f + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""", "spans"))
 def stream_window_metric(spark, d):
     rows = drain(monitor.window_metrics(views.event_spans(stream(spark, d, "events"))))
-    r = lambda c: F.round(c, 4).alias(c)
+    r = lambda c: round_to(c, 4).alias(c)
     return rows.select("service", views.stamp("from").alias("from"), "n", r("metric"), r("error_rate"), r("null_rate"))
 
 
@@ -70,7 +72,7 @@ def stream_battery(spark, d):
 
     rows = monitor.drain_evaluations(views.event_spans(stream(spark, d, "events")), evaluate)
     last = rows.agg(F.max("batch")).scalar()
-    return rows.where(F.col("batch") == last).select("service", "check", "status", F.round("severity", 4).alias("severity"), "current_value")
+    return rows.where(F.col("batch") == last).select("service", "check", "status", round_to("severity", 4).alias("severity"), "current_value")
 
 
 @query("stream_recovery", """

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanvigil.functions.scalars import round_to
+
 from spanvigil.operators import calibration, lineage, profiles, segments
 from spanvigil.settings import RegistryEntry, registry_frame
 from workload import health_queries as hq
@@ -51,7 +53,7 @@ SELECT "column", count(*) AS n_values, round(sum(fraction), 4) AS covered, arg_m
 def attribute_modes(spark, d):
     shares = profiles.attribute_distributions(profiles.categorical_profile(views.table(spark, d, "part"), ["p_name", "p_brand", "p_type"]))
     covered = F.aggregate(F.map_values("distribution"), F.lit(0.0), lambda a, v: a + v)
-    return shares.select("column", F.size("distribution").alias("n_values"), F.round(covered, 4).alias("covered"), "mode")
+    return shares.select("column", F.size("distribution").alias("n_values"), round_to(covered, 4).alias("covered"), "mode")
 
 
 @query("profile_sequence", """
