@@ -17,8 +17,9 @@ MEANINGLESS_PATTERNS = ("overall", "prediction_volume", "all", "none")
 
 
 def round_to(value: Column | str, digits: int = 0) -> Column:
-    """Round the binary value, as Python does: 0.575 is below the tie and gives
-    0.57.  Spark's own ``round`` works on the printed decimals."""
+    """Round the scaled binary value half away from zero: 0.575 scales to just
+    below the tie and gives 0.57, 2.675 to the tie and gives 2.68.  Spark's own
+    ``round`` works on the printed decimals."""
     number = F.col(value) if isinstance(value, str) else value
     if digits == 0:
         return F.round(number)

@@ -49,5 +49,5 @@ def test_other_table_names(name):
         sc.assert_table_identifier(name)
 
 
-def test_rounding_uses_the_binary_value(spark):
-    assert values(spark, sc.round_to(F.col("v"), 2), [(0.575,), (2.675,), (0.125,), (-0.125,), (None,)], "v double") == [0.57, 2.67, 0.13, -0.13, None]
+def test_rounding_of_the_scaled_value(spark):
+    assert values(spark, sc.round_to(F.col("v"), 2), [(0.575,), (2.675,), (0.125,), (-0.125,), (None,)], "v double") == [0.57, 2.68, 0.13, -0.13, None]
