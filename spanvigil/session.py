@@ -44,4 +44,32 @@ def materialise(frame: DataFrame, *partition_by: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     frame.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table._written_to = path
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return table
+
+
+#: Folders of the tables that each application has written and not dropped.
+_WRITTEN: dict[str, set[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete the files of a frame that ``materialise`` returned.
+
+    Whoever writes a table for his own steps drops it after the last of them;
+    nothing lazy may still depend on it.
+    """
+    _delete(table.sparkSession, table._written_to)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables written by this application, once its results are stored."""
+    for path in list(_WRITTEN.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
