@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanvigil.llm import decontaminate, jaccard_join, mixing, pii
+from spanvigil.llm import decontaminate, jaccard_join, lattice_score, mixing, pii, substring_dedup
 from spanvigil.llm import quality_rules as rules
 from spanvigil.llm.text import read
 
@@ -74,3 +74,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+@query("op2_lattice_score")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_score.lattice_scores(read(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)
+), firsts AS (SELECT h, min(doc_id) AS first_id FROM windows GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+  FROM windows JOIN firsts USING (h) WHERE first_id < doc_id
+), lost AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(array_to_string([w[j] FOR j IN range(1, len(w) + 1) IF NOT list_contains(coalesce(ps, []), j)], ' ')) AS kept_sha256
+FROM words LEFT JOIN lost USING (doc_id)
+"""
+
+
+@query("op9_substring_dedup", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(read(spark, sf_dir, "documents"))
