@@ -60,7 +60,9 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, tex
     the table is zero: there is nothing to compare with.
     """
     marks = trusted.select(F.col(key).alias("_key")).where("_key is not null").distinct().withColumn("_target", F.lit(1))
-    marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(marks, "_key", "left")
+    # Merged at every size: the texts are dealt by id once, so the plan (and what it
+    # writes, about the input's size) does not change where the marks outgrow a broadcast.
+    marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(marks.hint("merge"), "_key", "left")
     words = marked.select(F.coalesce("_target", F.lit(0)).alias("_target"), words_of(F.col("_text")).alias("_words"))
     pairs = words.select("_target", gram_pairs(F.col("_words")))
     grams = pairs.select("_target", F.explode(_hashed_buckets(buckets)).alias("bucket"))
