@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanvigil.llm import decontaminate, jaccard_join, lattice_score, mixing, pii, substring_dedup
+from spanvigil.llm import decontaminate, jaccard_join, lattice_score, mixing, pii, quality_model, substring_dedup, warc
 from spanvigil.llm import quality_rules as rules
 from spanvigil.llm.text import read
 
@@ -101,3 +101,30 @@ FROM words LEFT JOIN lost USING (doc_id)
 @query("op9_substring_dedup", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages
+), digests AS (
+  SELECT page_id, payload_bytes, array_to_string([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(x, 5 * (j // 4) + 1, 5))::BIGINT >> (15 - 5 * (j % 4))) & 31) + 1)::BIGINT, 1)
+    FOR j IN range(32)], '') AS payload_digest
+  FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last_id THEN last_id END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_id FROM digests)
+"""
+
+
+@query("op3_warc_round_trip", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+@query("op4_quality_model")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
