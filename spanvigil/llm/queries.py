@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanvigil.llm import decontaminate, jaccard_join, lattice_score, mixing, pii, quality_model, substring_dedup, warc
+from spanvigil.llm import (
+    decontaminate,
+    jaccard_join,
+    lattice_score,
+    licence_scan,
+    mixing,
+    pii,
+    quality_model,
+    substring_dedup,
+    warc,
+)
 from spanvigil.llm import quality_rules as rules
 from spanvigil.llm.text import read
 
@@ -128,3 +138,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quality_model")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op5_licence_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan(read(spark, sf_dir, "documents"))
