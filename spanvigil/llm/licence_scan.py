@@ -81,7 +81,9 @@ SAMPLE = 1_500
 LEAST_PROBABILITY = 0.5
 #: Share of a template's words that a confirmed paragraph shares in order.
 LEAST_MATCH = 0.6
-_EPOCHS, _RATE, _DECAY = 60, 0.5, 1e-4
+#: The same for a licence of no known family.
+LEAST_LIKENESS = 0.5
+_EPOCHS, _RATE, _DECAY = 6, 0.5, 1e-4
 
 #: Letters and digits stay, A-Z lowered; other ASCII signs become blanks, lines stay.
 _CLEAN = bytes(
@@ -111,6 +113,7 @@ class LicenceModel:
     def __init__(self) -> None:
         self.classes = [NONE, *TEMPLATES, UNKNOWN]
         self.templates = {family: [words(t.encode()) for t in texts] for family, texts in TEMPLATES.items()}
+        self.strange = [words(t.encode()) for t in STRANGE]
         self.codes: dict[bytes, int] = {}
         self.temperature = 1.0
 
@@ -152,7 +155,7 @@ class LicenceModel:
         self.bias = np.zeros(k)
         encoded = [(*self._encode(t), y) for t, y in examples if t]
         order = list(range(held, len(encoded)))
-        for epoch in range(_EPOCHS // 10):
+        for epoch in range(_EPOCHS):
             rng.shuffle(order)
             pace = _RATE / (1 + epoch)
             for n in order:
@@ -212,7 +215,8 @@ class LicenceModel:
         family = self.classes[best]
         if p[best] >= LEAST_PROBABILITY and max(in_order(t, tokens) for t in self.templates[family]) >= LEAST_MATCH:
             return family, float(p[best])
-        return UNKNOWN, float(1 - p[0])
+        near = max(in_order(t, tokens) for texts in (*self.templates.values(), self.strange) for t in texts)
+        return (UNKNOWN, float(1 - p[0])) if near >= LEAST_LIKENESS else (NONE, float(p[0]))
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> LicenceModel:

@@ -306,9 +306,9 @@ def examples_from(texts: list[str], seed: int = 11) -> list[tuple[Region, set[Sp
 #: Documents that the weights are learned from, at most.
 SAMPLE = 150
 #: Score a segment needs before it may be chosen (log odds against "outside").
-LEAST_SCORE = 4.0
+LEAST_SCORE = 1.5
 #: Shape counts of the synthetic examples used next to the sample.
-_SYNTHETIC = 60
+_SYNTHETIC = 200
 
 
 def synthetic_texts(rng: random.Random) -> list[str]:
