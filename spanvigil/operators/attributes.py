@@ -64,8 +64,9 @@ def attribute_counts(split_spans: DataFrame, services: DataFrame) -> DataFrame:
     measured = split_spans.join(error_keys(services), "service", "left").withColumn("error", error_value())
     rows = (
         exploded_attributes(measured, "service", "half", "error")
-        .withColumn("x", safe_double(F.col("value")))
-        .withColumn("value", segment_key(F.col("value"), F.col("x")))
+        # A version is a name, even where it looks like a number: 1.10 is not 1.1.
+        .withColumn("x", F.when(F.col("attr") != "model_version", safe_double(F.col("value"))))
+        .withColumn("value", F.when(F.col("attr") == "model_version", F.col("value")).otherwise(segment_key(F.col("value"), F.col("x"))))
     )
     return rows.groupBy("service", "attr", "value").agg(
         F.first("x").alias("x"),

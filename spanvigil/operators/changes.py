@@ -11,20 +11,21 @@ from spanvigil.operators.matching import contains_matches
 # --- fixed values -------------------------------------------------------------------
 MESSAGE_SCORE = 10
 FILE_SCORE = 5
-PATCH_CHARS = 2000
-BODY_CHARS = 500
 RISK_HOURS = 48
 # ------------------------------------------------------------------------------------
 
 
-def recent_changes(changes: DataFrame, as_of: Column, days_back: int = 7, max_commits: int | None = 50) -> DataFrame:
-    """Newest changes of the last days; first line of the message only."""
+def recent_changes(changes: DataFrame, as_of: Column, days_back: int = 7, max_commits: int | None = None) -> DataFrame:
+    """Changes of the last days, the newest ``max_commits`` of them if given.
+
+    ``title`` is the first line of the message, which stays whole.
+    """
     rows = changes.where(F.col("date") >= as_of - F.make_dt_interval(days=F.lit(days_back)))
-    rows = rows.withColumn("message", F.split_part("message", F.lit("\n"), F.lit(1)))
+    rows = rows.withColumn("title", F.split_part("message", F.lit("\n"), F.lit(1)))
     return rows if max_commits is None else rows.orderBy(F.desc("date"), "sha").limit(max_commits)
 
 
-def suspect_changes(changes: DataFrame, patterns: DataFrame, hit_files: DataFrame, top: int = 10) -> DataFrame:
+def suspect_changes(changes: DataFrame, patterns: DataFrame, hit_files: DataFrame, top: int | None = None) -> DataFrame:
     """Changes ranked per (repo, pattern): 10 for a message naming the pattern, 5
     for every changed file whose path contains a file the pattern was found in.
 
@@ -49,11 +50,8 @@ def suspect_changes(changes: DataFrame, patterns: DataFrame, hit_files: DataFram
     )
     scores = named.unionByName(touched).groupBy("repo", "pattern", "sha").agg(F.sum("score").alias("score"))
     order = Window.partitionBy("repo", "pattern").orderBy(F.desc("score"), F.desc("date"), "sha")
-    return (
-        scores.join(changes.select("repo", "sha", "date"), ["repo", "sha"])
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= top)
-    )
+    placed = scores.join(changes.select("repo", "sha", "date"), ["repo", "sha"]).withColumn("place", F.row_number().over(order))
+    return placed if top is None else placed.where(F.col("place") <= top)
 
 
 def newest_change_per_file(changes: DataFrame) -> DataFrame:
@@ -65,16 +63,20 @@ def newest_change_per_file(changes: DataFrame) -> DataFrame:
     )
 
 
-def change_detail(changes: DataFrame, pulls: DataFrame) -> DataFrame:
-    """Changes with excerpted patch and their first merge request, if any."""
+def change_detail(changes: DataFrame, pulls: DataFrame, patch_chars: int | None = None, body_chars: int | None = None) -> DataFrame:
+    """Changes with patch and their first merge request, if any.
+
+    Texts are whole unless an excerpt of so many characters is asked for.
+    """
+    cut = lambda c, n: c if n is None else F.left(c, F.lit(n))
     first = pulls.groupBy("sha").agg(
-        F.min(F.struct("number", "title", F.left("body", F.lit(BODY_CHARS)).alias("body_excerpt"))).alias("pr")
+        F.min(F.struct("number", "title", cut(F.col("body"), body_chars).alias("body_excerpt"))).alias("pr")
     )
     return changes.join(first, "sha", "left").select(
         "sha",
         F.left("sha", F.lit(8)).alias("short_sha"),
         "date",
-        F.left(F.coalesce("patch", F.lit("")), F.lit(PATCH_CHARS)).alias("patch_excerpt"),
+        cut(F.coalesce("patch", F.lit("")), patch_chars).alias("patch_excerpt"),
         F.col("pr.number").alias("pr_number"),
         F.col("pr.title").alias("pr_title"),
         F.col("pr.body_excerpt").alias("pr_body"),

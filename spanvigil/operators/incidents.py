@@ -82,7 +82,7 @@ def current_health(services: DataFrame, incidents: DataFrame) -> DataFrame:
     )
 
 
-def recent_incidents(incidents: DataFrame, limit: int = 5) -> DataFrame:
+def recent_incidents(incidents: DataFrame, limit: int) -> DataFrame:
     return incidents.orderBy(F.desc("started_at"), "run_id").limit(limit)
 
 

@@ -24,7 +24,7 @@ def anomaly_spans(spans: DataFrame, anomalies: DataFrame) -> DataFrame:
     return with_segment_key(entries, "value").join(wanted, ["service", "attr", "value"])
 
 
-def drill_down(matched: DataFrame, error: str = "error", samples: int = 5) -> DataFrame:
+def drill_down(matched: DataFrame, samples: int, error: str = "error") -> DataFrame:
     """Per anomaly: spans, first and last seen, mean error, earliest request ids.
 
     The samples are chosen by a bounded row number, so no group is collected.

@@ -25,7 +25,7 @@ def latest_run(runs: DataFrame) -> DataFrame:
     )
 
 
-def recent_runs(runs: DataFrame, n: int = 10) -> DataFrame:
+def recent_runs(runs: DataFrame, n: int) -> DataFrame:
     newest = Window.partitionBy("experiment").orderBy(F.desc("start_time"), F.desc("run_id"))
     return runs.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n)
 

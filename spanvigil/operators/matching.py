@@ -7,42 +7,23 @@ from pyspark.sql import functions as F
 
 from spanvigil.session import materialise
 
-# Up to this many needles travel as arrays to the texts; more go by grams.
-NEEDLE_LIMIT = 1_000
 GRAM = 4
 
 
-def contains_matches(
-    texts: DataFrame, text: str, needles: DataFrame, needle: str, on: list[str], limit: int = NEEDLE_LIMIT
-) -> DataFrame:
+def contains_matches(texts: DataFrame, text: str, needles: DataFrame, needle: str, on: list[str]) -> DataFrame:
     """Pairs where ``text`` contains ``needle``, equal on the ``on`` columns.
 
-    Texts are read whole.  The needles are counted first: a small set is tested
-    inside each text's row, a larger one is matched through an index of grams.
+    A text that contains a needle contains the needle's first characters, so both
+    sides meet on such grams in an equi-join.  Only ids travel with the grams; the
+    few candidates then meet their text once and are verified on the whole of it.
+    Needles shorter than a gram are their own gram; the sizes needed are at most
+    ``GRAM`` numbers, read once.  A gram is emitted once per text.
     """
-    needles = materialise(needles.where(F.length(needle) > 0).distinct())
-    if needles.limit(limit + 1).count() <= limit:
-        return _in_row(texts, text, needles, needle, on)
-    return _by_gram(texts, text, needles, needle, on)
-
-
-def _in_row(texts: DataFrame, text: str, needles: DataFrame, needle: str, on: list[str]) -> DataFrame:
-    carried = F.collect_list(F.struct(*[c for c in needles.columns if c not in on])).alias("_needles")
-    if on:
-        rows = texts.join(needles.groupBy(*on).agg(carried), on)
-    else:
-        rows = texts.withColumn("_needles", needles.agg(carried).scalar())
-    hits = F.filter("_needles", lambda n: F.contains(text, n[needle]))
-    return rows.withColumn("_hit", F.explode(hits)).select(*texts.columns, "_hit.*")
-
-
-def _by_gram(texts: DataFrame, text: str, needles: DataFrame, needle: str, on: list[str]) -> DataFrame:
-    """A text that contains a needle contains the needle's first characters, so
-    both sides meet on such grams in an equi-join and only those candidates are
-    verified.  Needles shorter than a gram are their own gram; the sizes needed
-    are at most ``GRAM`` numbers, read once.  A gram is emitted once per text.
-    """
-    keyed = needles.withColumn("_gram", F.left(F.col(needle), F.lit(GRAM)))
+    keyed = materialise(
+        needles.where(F.length(needle) > 0).distinct().withColumn("_gram", F.left(F.col(needle), F.lit(GRAM)))
+    )
+    # Written once, so that an id means the same row both times.
+    rows = materialise(texts.withColumn("_row", F.monotonically_increasing_id()))
     sizes = keyed.agg(F.collect_set(F.length("_gram"))).scalar()
 
     def grams_of(size):
@@ -53,7 +34,8 @@ def _by_gram(texts: DataFrame, text: str, needles: DataFrame, needle: str, on: l
         )
 
     grams = F.array_distinct(F.flatten(F.transform("_sizes", grams_of)))
-    cut = texts.withColumn("_sizes", sizes).withColumn("_chars", F.split(text, ""))
-    candidates = cut.withColumn("_gram", F.explode(grams)).drop("_sizes", "_chars")
-    found = candidates.join(keyed, [*on, "_gram"]).where(F.contains(text, needle))
-    return found.select(*texts.columns, *[c for c in needles.columns if c not in on])
+    cut = rows.select("_row", *on, F.split(text, "").alias("_chars")).withColumn("_sizes", sizes)
+    found = cut.select("_row", *on, F.explode(grams).alias("_gram")).join(keyed, [*on, "_gram"])
+    extra = [c for c in needles.columns if c not in on]
+    candidates = found.select("_row", *extra).distinct()
+    return candidates.join(rows, "_row").where(F.contains(text, needle)).select(*texts.columns, *extra)

@@ -14,7 +14,8 @@ def lag_by_chunk(frame: DataFrame, key: str, time: str, tie: str, value: str, ch
     takes the last value of the previous chunk.  The per-key window then runs
     over chunks instead of rows.
     """
-    cut = frame.withColumn("_chunk", chunk)
+    # Rows without a readable time come first, in a chunk of their own.
+    cut = frame.withColumn("_chunk", F.coalesce(chunk.cast("long"), F.lit(-(2**62))))
     order = Window.partitionBy(key, "_chunk").orderBy(time, tie)
     ends = cut.groupBy(key, "_chunk").agg(F.max(F.struct(time, tie, F.col(value).alias("_last"))).alias("_end"))
     along = Window.partitionBy(key).orderBy("_chunk")

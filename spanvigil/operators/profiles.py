@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from spanvigil.functions.scalars import round_to, safe_double
 from spanvigil.operators.quantiles import quantiles
 
-TOP_VALUES = 20
+#: Stands for the values that a distribution does not list.
+REST = "(other)"
 PERCENTILES = (0.05, 0.25, 0.50, 0.75, 0.95)
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -93,14 +94,14 @@ def value_counts(frame: DataFrame, columns: list[str]) -> DataFrame:
     return texts.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def categorical_profile(frame: DataFrame, columns: list[str], top: int = TOP_VALUES) -> DataFrame:
-    """Most frequent values per column with counts and fractions; ties by value."""
+def categorical_profile(frame: DataFrame, columns: list[str], top: int | None = None) -> DataFrame:
+    """All values, or the ``top`` most frequent ones, per column with counts and fractions; ties by value."""
     counts = value_counts(frame, columns)
     totals = counts.groupBy("column").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("n_distinct"))
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    ranked = counts.withColumn("rank", F.row_number().over(order))
     return (
-        counts.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top)
+        (ranked if top is None else ranked.where(F.col("rank") <= top))
         .join(totals, "column")
         .withColumn("fraction", round_to(F.col("n") / F.col("count"), 4))
     )
@@ -149,18 +150,28 @@ def target_correlation(frame: DataFrame, columns: list[str], target: str) -> Dat
 
 
 def attribute_distributions(categorical: DataFrame) -> DataFrame:
-    """column, value -> fraction (top values only) and the modal value."""
+    """column, value -> fraction and the modal value.
+
+    What the listed values leave is the share of REST, so shares add up to 1.
+    """
     pairs = F.array_sort(F.collect_list(F.struct("value", "fraction")))
+    rest = 1 - F.sum("n") / F.max("count")
+    left = F.when(F.max("n_distinct") > F.count("value"), F.array(F.struct(F.lit(REST).alias("value"), rest.alias("fraction"))))
+    empty = F.expr("CAST(array() AS ARRAY<STRUCT<value: STRING, fraction: DOUBLE>>)")
     return categorical.groupBy("column").agg(
-        F.map_from_entries(pairs).alias("distribution"),
+        F.map_from_entries(F.concat(pairs, F.coalesce(left, empty))).alias("distribution"),
         F.min(F.struct("rank", "value"))["value"].alias("mode"),
     )
 
 
-def training_baseline(frame: DataFrame, service: str, model_version: str, trained_at: str, target: str | None = None) -> DataFrame:
-    """The baseline artifact of one training set, one row."""
+def training_baseline(frame: DataFrame, service: str, model_version: str, trained_at: str, target: str | None = None, top: int = 20) -> DataFrame:
+    """The baseline artifact of one training set, one row.
+
+    A distribution lists ``top`` values and the share of the rest: a row stays
+    bounded where a column has very many values.
+    """
     kinds = columns_by_kind(frame)
-    shares = attribute_distributions(categorical_profile(frame, kinds["categorical"]))
+    shares = attribute_distributions(categorical_profile(frame, kinds["categorical"], top))
     # One entry per profiled column.
     distributions = shares.agg(
         F.map_from_entries(F.collect_list(F.struct("column", "distribution"))).alias("attribute_distributions")

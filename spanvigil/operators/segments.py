@@ -52,7 +52,7 @@ def with_ratio(frame: DataFrame, baselines: DataFrame) -> DataFrame:
     )
 
 
-def segment_counts(counts: DataFrame, services: DataFrame, top: int = 10) -> DataFrame:
+def segment_counts(counts: DataFrame, services: DataFrame, top: int) -> DataFrame:
     """Most frequent values per segment attribute, ties by value.
 
     ``row_number() <= top`` lets Spark keep only the leading rows of each group

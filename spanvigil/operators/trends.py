@@ -34,8 +34,16 @@ def last_days(errors: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
 
 
 def day_over_day(rows: DataFrame, keys: list[str], drop: float = 0.5) -> DataFrame:
-    """Daily volume and whether it fell by more than ``drop`` from the day before."""
+    """Daily volume and whether it fell by more than ``drop`` from the day before.
+
+    Days without any row count 0, from a key's first day to its last; so does a
+    day after the last one if another key has it.
+    """
     daily = rows.groupBy(*keys, F.to_date("time").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    last = daily.agg(F.max("day")).scalar()
+    spans = daily.groupBy(*keys).agg(F.min("day").alias("_first"))
+    spine = spans.select(*keys, F.explode(F.sequence("_first", last)).alias("day"))
+    daily = spine.join(daily, [*keys, "day"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     order = Window.partitionBy(*keys).orderBy("day")
     return daily.withColumn("previous", F.lag("n").over(order)).withColumn(
         "status", F.when(F.col("n") < (1 - drop) * F.col("previous"), "WARNING").otherwise("HEALTHY")

@@ -57,7 +57,7 @@ def recovery(polls: DataFrame, need: int = 2, cap: int = 10) -> DataFrame:
     """
     counted = polls.where(F.col("poll") <= cap)
     order = Window.partitionBy("run_id").orderBy("poll")
-    island = F.sum(F.when(F.col("status") != "PASS", 1).otherwise(0)).over(order)
+    island = F.sum(F.when(F.coalesce("status", F.lit("")) != "PASS", 1).otherwise(0)).over(order)
     runs = counted.withColumn("island", island)
     inside = Window.partitionBy("run_id", "island").orderBy("poll")
     streak = F.sum(F.when(F.col("status") == "PASS", 1).otherwise(0)).over(inside)
@@ -76,6 +76,7 @@ def joined_errors(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
 
 def phase_two(
     errors: DataFrame,
+    onset: Column,
     fixed_at: Column,
     group: str,
     dimensions: list[str],
@@ -86,17 +87,20 @@ def phase_two(
     """Deferred accuracy check per group value (a model family).
 
     For every value of every dimension (haul bucket, customer) the daily errors
-    after the fix must stay within the tolerance of those before it, and the
-    drift of the group (``psi``: group, psi) below its limit.  Without actuals
-    after the fix the check is deferred.  ``errors`` holds time, error and the
-    columns.
+    after the fix must stay within the tolerance of those before the incident's
+    onset (the time between is in neither side), and the drift of the group between
+    the same periods (``psi``: group, psi) below its limit.  ``onset`` and
+    ``fixed_at`` are literals or columns of ``errors``, which holds time, error and
+    the group and dimension columns.  A cell without actuals on either side is
+    deferred, not failed; a group all of whose cells are is DEFERRED.
     """
-    after = F.col("time") >= fixed_at
+    after = F.when(F.col("time") >= fixed_at, True).when(F.col("time") < onset, False)
     cells = F.explode(
         F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
     )
     daily = (
         errors.select(group, "error", F.to_date("time").alias("day"), after.alias("after"), cells.alias("cell"))
+        .where("after is not null")
         .groupBy(group, "cell", "day", "after")
         .agg(F.avg("error").alias("mae"), F.count("error").alias("loads"))
     )
@@ -107,11 +111,12 @@ def phase_two(
     per_cell = daily.groupBy(group, "cell").agg(
         weighted(~F.col("after")).alias("before_mae"), weighted(F.col("after")).alias("after_mae")
     )
-    held = F.coalesce(F.col("after_mae") <= F.col("before_mae") * (1 + tolerance), F.lit(False))
+    held = F.col("after_mae") <= F.col("before_mae") * (1 + tolerance)  # NULL: deferred
     verdicts = per_cell.withColumn("held", held).groupBy(group).agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.count_if("held").alias("n_held"),
-        F.max("after_mae").isNull().alias("unseen"),
+        F.count_if(F.col("held").isNull()).alias("n_deferred"),
+        F.max("held").isNull().alias("unseen"),
         F.bool_and("held").alias("all_held"),
     )
     if psi is None:
@@ -120,7 +125,7 @@ def phase_two(
         verdicts = verdicts.join(psi.select(group, "psi"), group, "left")
     settled = F.coalesce(F.col("psi") < psi_limit, F.lit(True))
     status = F.when(F.col("unseen"), "DEFERRED").when(F.col("all_held") & settled, "PASS").otherwise("FAIL")
-    return verdicts.select(group, "n_cells", "n_held", "psi", status.alias("status"))
+    return verdicts.select(group, "n_cells", "n_held", "n_deferred", "psi", status.alias("status"))
 
 
 def feed_checks(
@@ -134,7 +139,7 @@ def feed_checks(
         F.avg("prediction").alias("mean"),
         F.min("prediction").alias("min"),
         F.max("prediction").alias("max"),
-        F.bool_and(F.col("family") == F.col("expected_family")).alias("identity"),
+        F.bool_and(F.col("family").eqNullSafe(F.col("expected_family"))).alias("identity"),
     )
     spread = quantiles(feed.where("prediction IS NOT NULL"), ["service"], "prediction", [0.5, 0.95])
     passed = (

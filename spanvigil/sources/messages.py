@@ -32,7 +32,7 @@ def decode(messages: DataFrame, column: str = "value") -> DataFrame:
     return messages.withColumn("msg", F.explode(F.array_compact(F.array(texts))))
 
 
-def peek_latest(messages: DataFrame, n: int = 10) -> DataFrame:
+def peek_latest(messages: DataFrame, n: int) -> DataFrame:
     """The newest messages over all partitions of a topic.
 
     Each partition gives its last ``max(1, n div partitions + 1)`` offsets.  The
@@ -67,7 +67,8 @@ def absolute_error(prediction: Column, actual: Column) -> Column:
 def map_default(decoded: DataFrame) -> DataFrame:
     """Messages or table rows of the built-in shape -> span columns and regime.
 
-    A message with an error type is an errored span without prediction.
+    A message with an error type is an errored span without prediction.  The named
+    inputs of the shape are ``inputs``; ``payload`` keeps every scalar sent.
     """
     failed = F.map_contains_key("msg", F.lit("error_type"))
     ok = lambda c: F.when(~failed, c)
@@ -87,11 +88,14 @@ def map_default(decoded: DataFrame) -> DataFrame:
             "evals": _present({DEFAULT_ERROR: ok(absolute_error(prediction, actual))}),
             "regime": F.when(failed, "failed").otherwise(regime),
         }
-    ).drop("msg")
+    ).withColumnRenamed("msg", "payload")
 
 
 def map_configured(decoded: DataFrame, field_maps: DataFrame) -> DataFrame:
-    """Messages with a ``service`` column -> span columns by the service's field map."""
+    """Messages with a ``service`` column -> span columns by the service's field map.
+
+    A service without a map has the built-in shape.
+    """
     mapped = F.array_compact(
         F.array("prediction_field", "actual_field", "error_field", "model_version_field", "timestamp_field")
     )
@@ -107,24 +111,39 @@ def map_configured(decoded: DataFrame, field_maps: DataFrame) -> DataFrame:
         "service",
         *[F.col(r).alias(f"{r}_field") for r in ("prediction", "actual", "error", "model_version", "timestamp")],
         F.col("inputs").alias("input_fields"),
+        F.lit(True).alias("_has_map"),
     )
     role = lambda name: F.when(F.col(f"{name}_field").isNotNull(), field(F.col(f"{name}_field")))
     error = F.when(role("error").isNotNull(), safe_double(role("error"))).otherwise(
         absolute_error(role("prediction"), role("actual"))
     )
-    return (
-        decoded.join(roles, "service")
-        .withColumns(
-            {
-                "model_version": role("model_version"),
-                "start_time": F.try_to_timestamp(role("timestamp")),
-                "inputs": inputs,
-                "outputs": _present({"prediction": role("prediction")}),
-                "ground_truth": role("actual"),
-                "evals": _present({"error": error}),
-            }
-        )
-        .drop("msg", *[c for c in roles.columns if c != "service"])
+    failed = F.map_contains_key("msg", F.lit("error_type"))
+    by_map = {
+        "model_version": role("model_version"),
+        "start_time": F.try_to_timestamp(role("timestamp")),
+        "inputs": inputs,
+        "outputs": _present({"prediction": role("prediction")}),
+        "ground_truth": role("actual"),
+        "evals": _present({"error": error}),
+    }
+    plain = map_default(decoded.select("msg")).columns
+    joined = decoded.join(roles, "service", "left")
+    built_in = map_default(joined.withColumn("_msg", F.col("msg"))).withColumnRenamed("_msg", "msg")
+    built_in = built_in.select(
+        *decoded.columns, *[c for c in roles.columns if c != "service"],
+        *[F.col(c).alias(f"_{c}") for c in plain if c != "payload"],
+    )
+    mapped = F.coalesce("_has_map", F.lit(False))
+    return built_in.select(
+        *[c for c in decoded.columns if c != "msg"],
+        F.coalesce(field("request_id"), F.lit("")).alias("request_id"),
+        F.when(failed, "ERROR").otherwise("OK").alias("status_code"),
+        *[
+            F.when(mapped, value).otherwise(F.col(f"_{name}").cast("string") if name == "ground_truth" else F.col(f"_{name}")).alias(name)
+            for name, value in by_map.items()
+        ],
+        F.col("_regime").alias("regime"),
+        F.col("msg").alias("payload"),
     )
 
 

@@ -7,9 +7,12 @@ latency_ms DOUBLE.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from spanvigil.functions.scalars import assert_table_identifier, safe_double
 from spanvigil.settings import TIMESTAMP_FIELDS
@@ -39,36 +42,38 @@ def services_seen(spans: DataFrame) -> DataFrame:
 def flatten_attributes(frame: DataFrame, column: str = "attributes") -> DataFrame:
     """Nested JSON attributes -> MAP of dotted scalar names, in ``flat``.
 
-    Three levels of objects are expanded (``input.region``,
-    ``model.artifact.version``); deeper objects and arrays stay JSON text.
-    Malformed JSON gives an empty map.
+    Objects are expanded to any depth (``model.artifact.version``), arrays stay JSON
+    text, nulls are left out, numbers keep their text.  Where a dotted name and a
+    nested one coincide, the one nearer the top wins.  Malformed JSON gives an empty
+    map.  Depth is open, which column functions cannot express: the walk is a small
+    Arrow-batched function.
     """
+    return frame.withColumn("flat", _flat(F.col(column).cast("string")))
 
-    parsed = F.coalesce(
-        F.from_json(column, "MAP<STRING,VARIANT>"), F.expr("CAST(map() AS MAP<STRING,VARIANT>)")
-    )
-    level = F.transform(
-        F.map_entries(parsed), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))
-    )
-    for _ in range(2):
-        level = F.flatten(F.transform(level, _expand))
-    texts = F.transform(
-        level,
-        lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "string").alias("value")),
-    )
-    present = F.filter(texts, lambda e: e["value"].isNotNull())
-    return frame.withColumn("flat", F.map_from_entries(present))
 
+def flat_scalars(text: str | None) -> dict[str, str]:
+    try:
+        top = json.loads(text or "", parse_int=str, parse_float=str, parse_constant=str)
+    except (ValueError, RecursionError):
+        return {}
+    if not isinstance(top, dict):
+        return {}
+    out: dict[str, str] = {}
+    level = [("", top)]
+    while level:
+        deeper = []
+        for prefix, node in level:
+            for name, value in node.items():
+                if isinstance(value, dict):
+                    deeper.append((f"{prefix}{name}.", value))
+                elif value is not None:
+                    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+                    out.setdefault(prefix + name, text)
+        level = deeper
+    return out
 
-def _expand(entry: Column) -> Column:
-    """A (key, variant) entry as its children, or itself when it is a scalar."""
-    children = F.try_variant_get(entry["value"], "$", "MAP<STRING,VARIANT>")
-    inner = F.transform(
-        F.map_entries(children),
-        lambda c: F.struct(F.concat(entry["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")),
-    )
-    own = F.array(F.struct(entry["key"].alias("key"), entry["value"].alias("value")))
-    return F.when(F.startswith(F.schema_of_variant(entry["value"]), F.lit("OBJECT")), inner).otherwise(own)
+
+_flat = F.udf(flat_scalars, MapType(StringType(), StringType()), useArrow=True)
 
 
 def with_start_time(frame: DataFrame) -> DataFrame:
@@ -102,6 +107,39 @@ def with_latency(frame: DataFrame) -> DataFrame:
     return frame.withColumn("latency_ms", F.coalesce(*candidates))
 
 
+def _joined(first: Column, second: Column) -> Column:
+    """Both maps in one; where a key is in both, the first wins."""
+    return F.map_concat(first, F.map_filter(second, lambda k, _: ~F.map_contains_key(first, k)))
+
+
+def spans_from_rows(frame: DataFrame, roles: dict[str, str], service: Column, error: str = "error") -> DataFrame:
+    """Warehouse rows -> canonical spans.
+
+    ``roles`` names the columns of prediction, actual, error, model_version,
+    timestamp and request_id, as far as there are any.  Every other column is an
+    input, as text; the error is taken, or made from prediction and actual.
+    """
+    role = lambda name: F.col(roles[name]) if name in roles else F.lit(None)
+    inputs = [c for c in frame.columns if c not in roles.values()]
+    made = F.abs(safe_double(role("prediction").cast("string")) - safe_double(role("actual").cast("string")))
+    value = F.coalesce(safe_double(role("error").cast("string")), made)
+    entries = [x for c in inputs for x in (F.lit(c), F.col(c).cast("string"))]
+    present = lambda m: F.map_filter(m, lambda _, v: v.isNotNull())
+    at = to_utc(frame, roles["timestamp"]) if "timestamp" in roles else F.lit(None).cast("timestamp")
+    return frame.select(
+        service.cast("string").alias("service"),
+        at.alias("start_time"),
+        F.lit(None).cast("timestamp").alias("end_time"),
+        F.lit("OK").alias("status_code"),
+        role("request_id").cast("string").alias("request_id"),
+        role("model_version").cast("string").alias("model_version"),
+        (present(F.create_map(*entries)) if entries else F.expr("CAST(map() AS MAP<STRING,STRING>)")).alias("inputs"),
+        present(F.create_map(F.lit("prediction"), role("prediction").cast("string"))).alias("outputs"),
+        present(F.create_map(F.lit(error), value)).alias("evals"),
+        F.lit(None).cast("double").alias("latency_ms"),
+    )
+
+
 def spans_from_flat(frame: DataFrame) -> DataFrame:
     """``flat`` attribute map -> canonical span columns."""
 
@@ -109,6 +147,12 @@ def spans_from_flat(frame: DataFrame) -> DataFrame:
         chosen = F.map_filter("flat", lambda k, _: F.startswith(k, F.lit(prefix)))
         return F.transform_keys(chosen, lambda k, _: F.substring(k, F.lit(len(prefix) + 1), F.length(k)))
 
+    # ``prediction.value`` is the prediction unless ``prediction.prediction`` says otherwise.
+    named = under("prediction.")
+    predicted = _joined(
+        F.map_filter(named, lambda k, _: k != "value"),
+        F.transform_keys(F.map_filter(named, lambda k, _: k == "value"), lambda k, _: F.lit("prediction")),
+    )
     numbers = F.map_filter(
         F.transform_values(under("eval."), lambda _, v: safe_double(v)), lambda _, v: v.isNotNull()
     )
@@ -120,7 +164,7 @@ def spans_from_flat(frame: DataFrame) -> DataFrame:
         F.try_element_at("flat", F.lit("request_id")).alias("request_id"),
         F.try_element_at("flat", F.lit("model.version")).alias("model_version"),
         under("input.").alias("inputs"),
-        F.map_concat(under("output."), F.transform_keys(under("prediction."), lambda k, _: F.when(k == "value", "prediction").otherwise(k))).alias("outputs"),
+        _joined(under("output."), predicted).alias("outputs"),
         numbers.alias("evals"),
     ).transform(with_latency)
 

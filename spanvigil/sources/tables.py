@@ -13,16 +13,18 @@ def named_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(assert_table_identifier(name))
 
 
-def newest(rows: DataFrame, time: str, since: Column | None = None, limit: int = 1000, tie: str | None = None) -> DataFrame:
-    """Newest rows since a point in time (top-k without a full sort)."""
+def newest(rows: DataFrame, time: str, since: Column | None = None, limit: int | None = None, tie: str | None = None) -> DataFrame:
+    """Rows since a point in time; with ``limit`` the newest of them (top-k without a full sort)."""
     if since is not None:
         rows = rows.where(F.col(time) >= since)
+    if limit is None:
+        return rows
     order = [F.desc(time)] + ([F.col(tie)] if tie else [])
     return rows.orderBy(*order).limit(limit)
 
 
-def actuals_for(actuals: DataFrame, keys: DataFrame | None, since: Column | None = None, limit: int = 1000) -> DataFrame:
-    """Actuals restricted to the given load ids, newest first."""
+def actuals_for(actuals: DataFrame, keys: DataFrame | None, since: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Actuals of the given load ids; with ``limit`` the newest of them."""
     if keys is not None:
         actuals = actuals.join(keys.select("load_id").distinct(), "load_id", "left_semi")
     return newest(actuals, "delivered_at", since, limit, "load_id")

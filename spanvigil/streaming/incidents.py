@@ -14,16 +14,24 @@ TERMINAL_STATES = ("RESOLVED", "FAILED")
 # --------------------------------------------------------------------------------
 
 
-def recovery(polls: DataFrame, need: int = 2, cap: int = 10) -> DataFrame:
+def recovery(polls: DataFrame, need: int = 2, cap: int = 10, keep_hours: int | None = None) -> DataFrame:
     """PASS once ``need`` polls in a row passed, FAIL when ``cap`` polls did not.
 
     ``polls``: run_id, poll (1..), status.  The state of a run is its streak and
     how many polls it has seen; polls beyond the cap are dropped before grouping,
-    so a run never brings more than ``cap`` rows.
+    so a run never brings more than ``cap`` rows.  The last poll or the ``cap``-th one
+    ends a run, so a missing poll number does not keep it open.  With ``keep_hours`` a run's
+    state goes once it has been quiet for so long; one without a verdict by then is
+    FAIL.  (A drained stream must do without: it would wait for the time to pass.)
+    Polls of one micro-batch are taken in order, later batches after them.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, seen, done = state.get if state.exists else (0, 0, False)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([] if done else [(key[0], "FAIL", None)], columns=["run_id", "status", "at_poll"])
+            return
         rows = pd.concat(batches).sort_values("poll")
         out = []
         for poll, status in zip(rows["poll"], rows["status"], strict=True):
@@ -31,10 +39,12 @@ def recovery(polls: DataFrame, need: int = 2, cap: int = 10) -> DataFrame:
                 break
             seen += 1
             streak = streak + 1 if status == "PASS" else 0
-            if streak >= need or seen >= cap:
+            if streak >= need or seen >= cap or poll >= cap:
                 done = True
                 out.append((key[0], "PASS" if streak >= need else "FAIL", int(poll)))
         state.update((int(streak), int(seen), done))
+        if keep_hours is not None:
+            state.setTimeoutDuration(keep_hours * 3_600_000)
         yield pd.DataFrame(out, columns=["run_id", "status", "at_poll"])
 
     return (
@@ -45,7 +55,7 @@ def recovery(polls: DataFrame, need: int = 2, cap: int = 10) -> DataFrame:
             outputStructType="run_id bigint, status string, at_poll bigint",
             stateStructType="streak int, seen int, done boolean",
             outputMode="append",
-            timeoutConf=GroupStateTimeout.NoTimeout,
+            timeoutConf=GroupStateTimeout.NoTimeout if keep_hours is None else GroupStateTimeout.ProcessingTimeTimeout,
         )
     )
 

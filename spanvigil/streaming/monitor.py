@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spanvigil.functions.scalars import is_error_status
 from spanvigil.session import checkpoint_dir
+from spanvigil.sources.spans import recent
 
 
 def window_metrics(
@@ -48,18 +49,31 @@ def silences(spans: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes
 
 
 def evaluate_batches(
-    spans: DataFrame, store: str, evaluate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, available_now: bool = False
+    spans: DataFrame,
+    store: str,
+    evaluate: Callable[[DataFrame], DataFrame],
+    out: str,
+    checkpoint: str,
+    lookback_minutes: int,
+    available_now: bool = False,
 ) -> StreamingQuery:
-    """Store each micro-batch of spans, then evaluate the stored window.
+    """Store each micro-batch of spans by day, then evaluate the window that ends
+    with the newest span stored.
 
-    Both writes go to a folder named by the batch, so a repeated batch replaces
+    Only the days of the window are read; older ones are left to the store's own
+    retention.  Both writes go to a folder named by the batch, so a repeated batch replaces
     itself instead of adding rows twice.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        window = session.read.schema(batch.schema).option("basePath", store).parquet(store).drop("batch")
+        dated = batch.withColumn("span_date", F.to_date("start_time"))
+        dated.write.mode("overwrite").partitionBy("span_date").parquet(f"{store}/batch={batch_id}")
+        stored = session.read.schema(dated.schema).option("basePath", store).parquet(store)
+        newest = stored.agg(F.max("start_time")).first()[0]
+        if newest is None:
+            return
+        window = recent(stored, F.lit(newest), lookback_minutes).drop("batch", "span_date")
         evaluate(window).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = spans.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
@@ -68,10 +82,10 @@ def evaluate_batches(
     return writer.start()
 
 
-def drain_evaluations(spans: DataFrame, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def drain_evaluations(spans: DataFrame, evaluate: Callable[[DataFrame], DataFrame], lookback_minutes: int) -> DataFrame:
     """Process what the source holds now; the results carry their ``batch``."""
     spark = spans.sparkSession
     base = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    query = evaluate_batches(spans, f"{base}/spans", evaluate, f"{base}/rows", f"{base}/checkpoint", available_now=True)
+    query = evaluate_batches(spans, f"{base}/spans", evaluate, f"{base}/rows", f"{base}/checkpoint", lookback_minutes, available_now=True)
     query.awaitTermination()
     return spark.read.parquet(f"{base}/rows")

@@ -146,7 +146,7 @@ SELECT service, attr, value, n, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY service, attr ORDER BY n DESC, value) AS rank
   FROM (SELECT service, attr, value, count(*) AS n FROM segment_rows GROUP BY ALL)) WHERE rank <= 10""", "segment_rows"))
 def segment_top_values(spark, d):
-    return segments.segment_counts(counts(spark, d), views.services(spark))
+    return segments.segment_counts(counts(spark, d), views.services(spark), 10)
 
 
 @query("psi_single_value", sql("SELECT * FROM psi_banded", "psi_banded"))

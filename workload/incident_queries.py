@@ -32,7 +32,7 @@ FROM (SELECT service, attr, value, count(*) AS n, min(start_time) AS earliest, m
 def anomaly_drilldown(spark, d):
     rows = segments.with_ratio(segments.segment_breakdown(hq.counts(spark, d), views.services(spark)), hq.resolved(spark, d))
     flagged = rows.where("ratio >= 1.2").select("service", F.concat(F.regexp_replace("attr", "^input.", ""), F.lit("="), "value").alias("segment"))
-    out = investigation.drill_down(investigation.anomaly_spans(views.spans(spark, d), flagged))
+    out = investigation.drill_down(investigation.anomaly_spans(views.spans(spark, d), flagged), 5)
     return out.select(
         "service", "attr", "value", "n", views.stamp("earliest").alias("earliest"), views.stamp("latest").alias("latest"), "mean_error",
         F.array_join("sample_ids", ",").alias("sample_ids"),
@@ -92,7 +92,7 @@ def suspect_changes(spark, d):
     patterns = names.withColumn("pattern", F.explode(F.array(*map(F.lit, PATTERNS))))
     pairs = (("tion", "src1"), ("tion", "src7/"), ("re", "src2"), ("overall", "src3"))
     hits = names.withColumn("h", F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(f).alias("file")) for p, f in pairs]))).select("repo", "h.*")
-    return ch.suspect_changes(changes(spark, d), patterns, hits).select("repo", "pattern", "sha", "score", "place")
+    return ch.suspect_changes(changes(spark, d), patterns, hits, 10).select("repo", "pattern", "sha", "score", "place")
 
 
 @query("recent_changes", sql("""
@@ -101,7 +101,7 @@ WHERE date >= (SELECT max(date) FROM changes) - INTERVAL 7 DAY ORDER BY changes.
 def recent_changes(spark, d):
     rows = changes(spark, d)
     newest = rows.agg(F.max("date")).scalar()
-    return ch.recent_changes(rows, newest, 7, 50).select("sha", F.date_format("date", "yyyy-MM-dd HH:mm").alias("date"), F.length("message").alias("title_chars"))
+    return ch.recent_changes(rows, newest, 7, 50).select("sha", F.date_format("date", "yyyy-MM-dd HH:mm").alias("date"), F.length("title").alias("title_chars"))
 
 
 @query("newest_change_per_file", sql("""
@@ -111,7 +111,7 @@ def newest_change_per_file(spark, d):
 
 
 @query("change_detail", sql("""
-SELECT sha, left(sha, 8) AS short_sha, least(length(message), 2000) AS patch_chars, l.doc_id * 10 AS pr_number, 'quality ' || CAST(quality AS VARCHAR) AS pr_title
+SELECT sha, left(sha, 8) AS short_sha, length(message) AS patch_chars, l.doc_id * 10 AS pr_number, 'quality ' || CAST(quality AS VARCHAR) AS pr_title
 FROM changes LEFT JOIN labels l ON lpad(CAST(l.doc_id AS VARCHAR), 10, '0') = sha""", "changes"))
 def change_detail(spark, d):
     pulls = views.table(spark, d, "labels").select(
@@ -201,7 +201,7 @@ def current_health(spark, d):
 @query("recent_incidents", sql("""
 SELECT run_id, service, severity, final_state FROM incidents ORDER BY started_at DESC, run_id LIMIT 5""", "incidents"))
 def recent_incidents(spark, d):
-    return incidents.recent_incidents(incident_rows(spark, d)).select("run_id", "service", "severity", "final_state")
+    return incidents.recent_incidents(incident_rows(spark, d), 5).select("run_id", "service", "severity", "final_state")
 
 
 @query("incident_by_id", sql("""
@@ -296,7 +296,7 @@ def validate_fix(spark, d):
 
 def polls(spark, d):
     return views.table(spark, d, "conversations").select(
-        F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("poll"), F.when(F.length("text") % 3 != 0, "PASS").otherwise("FAIL").alias("status")
+        F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("poll"), F.when(F.length("text") % 7 == 0, None).when(F.length("text") % 3 != 0, "PASS").otherwise("FAIL").alias("status")
     )
 
 
@@ -304,7 +304,7 @@ RECOVERY = """
 SELECT run_id, count(*) AS n_polls, CASE WHEN min(poll) FILTER (streak >= 2) IS NOT NULL THEN 'PASS' ELSE 'FAIL' END AS status, min(poll) FILTER (streak >= 2) AS at_poll FROM (
   SELECT run_id, poll, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, island ORDER BY poll) AS streak FROM (
     SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY poll) AS island FROM (
-      SELECT conv_id AS run_id, turn + 1 AS poll, length(text) % 3 <> 0 AS ok FROM conversations WHERE turn + 1 <= 10))) GROUP BY run_id"""
+      SELECT conv_id AS run_id, turn + 1 AS poll, length(text) % 3 <> 0 AND length(text) % 7 <> 0 AS ok FROM conversations WHERE turn + 1 <= 10))) GROUP BY run_id"""
 
 
 @query("recovery_confirmed", RECOVERY)
@@ -317,13 +317,13 @@ SELECT service, count, null_rate, round(mean, 2) AS mean, p50, p95, min, max, id
        (null_rate < 0.03 AND abs(mean - 45.0) <= 9.0 AND identity AND min >= 0 AND max <= 5000) AS passed
 FROM (SELECT 'svc' || CAST(user_id % 3 AS VARCHAR) AS service, count(*) AS count, round(1 - count(p) / count(*)::DOUBLE, 4) AS null_rate, avg(p) AS mean,
              round(quantile_cont(p, 0.5::DOUBLE), 2) AS p50, round(quantile_cont(p, 0.95::DOUBLE), 2) AS p95, round(min(p), 2) AS min, round(max(p), 2) AS max,
-             bool_and(user_id % 3 <> 2 OR event_type <> 'signup') AS identity
+             bool_and(CASE WHEN user_id % 3 = 2 THEN event_type <> 'signup' WHEN user_id % 3 = 1 THEN event_type <> 'purchase' ELSE true END) AS identity
       FROM (SELECT *, CASE WHEN user_id % 3 <> 1 OR event_type <> 'error' THEN value END AS p FROM events) GROUP BY 1)""")
 def feed_checks(spark, d):
     third = F.col("user_id") % 3
     service = F.concat(F.lit("svc"), third.cast("string"))
     feed = views.table(spark, d, "events").select(
-        service.alias("service"), F.when((third != 2) | (F.col("event_type") != "signup"), "lstm").otherwise("old").alias("family"),
+        service.alias("service"), F.when((third == 1) & (F.col("event_type") == "purchase"), None).when((third != 2) | (F.col("event_type") != "signup"), "lstm").otherwise("old").alias("family"),
         F.when((third != 1) | (F.col("event_type") != "error"), F.col("value")).alias("prediction"),
     )
     expected = views.services(spark).select("service", F.lit("lstm").alias("family"), F.lit(45.0).alias("mean"))
@@ -375,11 +375,20 @@ def rolling_alert(spark, d):
     return _rated(spark, d).where("status <> 'HEALTHY'").select("bucket", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "status")
 
 
+view("day_volumes", "spans")("""
+SELECT service, day, coalesce(n, 0) AS n FROM (
+  SELECT service, unnest(generate_series(min(start_time)::DATE, (SELECT max(start_time)::DATE FROM spans), INTERVAL 1 DAY))::DATE AS day
+  FROM spans WHERE NOT (service = 'svc1' AND CAST(start_time AS DATE) IN (DATE '2024-01-05', DATE '2024-01-06')) GROUP BY service)
+LEFT JOIN (SELECT service, CAST(start_time AS DATE) AS day, count(*) AS n FROM spans
+           WHERE NOT (service = 'svc1' AND CAST(start_time AS DATE) IN (DATE '2024-01-05', DATE '2024-01-06')) GROUP BY ALL) USING (service, day)""")
+
+
 @query("day_over_day_volume", sql("""
-SELECT service, strftime(day, '%Y-%m-%d') AS day, n, previous, CASE WHEN n < 0.5 * previous THEN 'WARNING' ELSE 'HEALTHY' END AS status FROM (
-  SELECT service, CAST(start_time AS DATE) AS day, count(*) AS n, lag(count(*)) OVER (PARTITION BY service ORDER BY CAST(start_time AS DATE)) AS previous FROM spans GROUP BY service, CAST(start_time AS DATE))""", "spans"))
+SELECT a.service, strftime(a.day, '%Y-%m-%d') AS day, a.n, b.n AS previous, CASE WHEN a.n < 0.5 * b.n THEN 'WARNING' ELSE 'HEALTHY' END AS status
+FROM day_volumes a LEFT JOIN day_volumes b ON b.service = a.service AND b.day = a.day - 1""", "day_volumes"))
 def day_over_day_volume(spark, d):
-    rows = views.spans(spark, d).select("service", F.col("start_time").alias("time"))
+    # svc1 says nothing for two days: a day without rows is a fall to 0.
+    rows = views.spans(spark, d).select("service", F.col("start_time").alias("time")).where("NOT (service = 'svc1' AND to_date(time) IN (DATE '2024-01-05', DATE '2024-01-06'))")
     return trends.day_over_day(rows, ["service"]).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
@@ -396,20 +405,22 @@ def drift_onset(spark, d):
 
 
 @query("phase2_actuals", sql("""
-SELECT c.family, n_cells, n_held, psi, CASE WHEN unseen THEN 'DEFERRED' WHEN all_held AND psi < 0.15 THEN 'PASS' ELSE 'FAIL' END AS status
-FROM (SELECT family, count(*) AS n_cells, count(*) FILTER (a <= b * 1.1) AS n_held, max(a) IS NULL AS unseen, bool_and(coalesce(a <= b * 1.1, false)) AS all_held
-      FROM (SELECT family, dim, avg(error) FILTER (time < TIMESTAMP '2000-01-01') AS b, avg(error) FILTER (time >= TIMESTAMP '2000-01-01') AS a
-            FROM (SELECT family, time, error, 'bucket=' || bucket AS dim FROM errors UNION ALL SELECT family, time, error, 'service=' || service FROM errors) GROUP BY ALL) GROUP BY family) c
+SELECT c.family, n_cells, n_held, n_deferred, psi, CASE WHEN unseen THEN 'DEFERRED' WHEN all_held AND psi < 0.15 THEN 'PASS' ELSE 'FAIL' END AS status
+FROM (SELECT family, count(*) AS n_cells, count(*) FILTER (a <= b * 1.1) AS n_held, count(*) FILTER (a IS NULL OR b IS NULL) AS n_deferred,
+             count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) = 0 AS unseen, coalesce(bool_and(a <= b * 1.1), false) AS all_held
+      FROM (SELECT family, dim, avg(error) FILTER (time < TIMESTAMP '1998-01-01') AS b, avg(error) FILTER (time >= TIMESTAMP '2000-01-01') AS a
+            FROM (SELECT family, time, error, 'bucket=' || bucket AS dim FROM errors UNION ALL SELECT family, time, error, 'service=' || service FROM errors) WHERE time < TIMESTAMP '1998-01-01' OR time >= TIMESTAMP '2000-01-01' GROUP BY ALL) GROUP BY family) c
 JOIN (SELECT family, round(sum((n - o) * ln(n / o)), 4) AS psi FROM (
         SELECT family, CASE WHEN new = 0 THEN 0.0001 ELSE new / sum(new) OVER w END AS n, CASE WHEN old = 0 THEN 0.0001 ELSE old / sum(old) OVER w END AS o
-        FROM (SELECT family, floor(predicted / 25000) AS bin, count(*) FILTER (time >= TIMESTAMP '2000-01-01')::DOUBLE AS new, count(*) FILTER (time < TIMESTAMP '2000-01-01')::DOUBLE AS old
-              FROM errors GROUP BY ALL) WINDOW w AS (PARTITION BY family)) GROUP BY family) p USING (family)""", "errors"))
+        FROM (SELECT family, floor(predicted / 25000) AS bin, count(*) FILTER (time >= TIMESTAMP '2000-01-01')::DOUBLE AS new, count(*) FILTER (time < TIMESTAMP '1998-01-01')::DOUBLE AS old
+              FROM errors WHERE time < TIMESTAMP '1998-01-01' OR time >= TIMESTAMP '2000-01-01' GROUP BY ALL) WINDOW w AS (PARTITION BY family)) GROUP BY family) p USING (family)""", "errors"))
 def phase2_actuals(spark, d):
     rows = materialise(errors(spark, d))
-    fixed = F.lit("2000-01-01").cast("timestamp")
-    bins = rows.groupBy("family", F.floor(F.col("predicted") / 25000).alias("bin"), (F.col("time") >= fixed).alias("after")).agg(F.count(F.lit(1)).alias("n"))
+    onset, fixed = (F.lit(day).cast("timestamp") for day in ("1998-01-01", "2000-01-01"))
+    outside = rows.where((F.col("time") < onset) | (F.col("time") >= fixed))
+    bins = outside.groupBy("family", F.floor(F.col("predicted") / 25000).alias("bin"), (F.col("time") >= fixed).alias("after")).agg(F.count(F.lit(1)).alias("n"))
     psi = drift.histogram_psi(bins.where(~F.col("after")), bins.where("after"), ["family"], "bin")
-    return validation.phase_two(rows, fixed, "family", ["bucket", "service"], psi)
+    return validation.phase_two(rows, onset, fixed, "family", ["bucket", "service"], psi)
 
 
 # --- a score, not an error ----------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanvigil import settings as st
 from spanvigil.functions.scalars import round_to, safe_double
 from spanvigil.operators import profiles
+from spanvigil.operators.attributes import exploded_attributes
 from spanvigil.sources import messages, spans, tables
 from workload import views
 from workload.oracle_base import sql, view
@@ -127,7 +128,7 @@ WHERE load_id IN (SELECT load_id FROM predictions WHERE bucket = '1-URGENT') AND
 ORDER BY delivered_at DESC, load_id LIMIT 1000""", "actuals", "predictions"))
 def actuals_for_keys(spark, d):
     keys = views.predictions(spark, d).where("bucket = '1-URGENT'")
-    rows = tables.actuals_for(views.actuals(spark, d), keys, F.lit("1996-01-01").cast("timestamp"))
+    rows = tables.actuals_for(views.actuals(spark, d), keys, F.lit("1996-01-01").cast("timestamp"), 1000)
     return rows.select("load_id", round_to("actual", 1).alias("actual"), F.date_format("delivered_at", "yyyy-MM-dd").alias("day"))
 
 
@@ -268,3 +269,23 @@ def field_roles(spark, d):
     return roles.select(
         "source", *profiles.ROLE_PATTERNS, F.array_join("segments", ",").alias("segments"), F.array_join("inputs", ",").alias("inputs")
     )
+
+
+# --- table rows as spans ---------------------------------------------------------------
+
+
+ORDER_ROLES = {"prediction": "o_totalprice", "timestamp": "o_orderdate", "request_id": "o_orderkey"}
+
+
+@query("order_spans", """
+SELECT service, attr, count(*) AS n, count(DISTINCT value) AS n_values FROM (
+  SELECT 'shop' || (o_custkey % 3) AS service, unnest([
+    {'attr': 'input.o_custkey', 'value': CAST(o_custkey AS VARCHAR)}, {'attr': 'input.o_orderstatus', 'value': o_orderstatus},
+    {'attr': 'input.o_orderpriority', 'value': o_orderpriority}, {'attr': 'output.prediction', 'value': CAST(o_totalprice AS VARCHAR)}], recursive := true)
+  FROM orders) GROUP BY ALL""")
+def order_spans(spark, d):
+    """Warehouse rows as monitored spans: every column without a role is a feature."""
+    rows = views.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate")
+    service = F.concat(F.lit("shop"), (F.col("o_custkey") % 3).cast("string"))
+    counted = exploded_attributes(spans.spans_from_rows(rows, ORDER_ROLES, service), "service").groupBy("service", "attr", "value").agg(F.count(F.lit(1)).alias("c"))
+    return counted.groupBy("service", "attr").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_values"))

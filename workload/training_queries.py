@@ -30,9 +30,9 @@ def profile_numeric(spark, d):
     return profiles.numeric_profile(views.table(spark, d, "lineitem"), NUMERIC)
 
 
-@query("profile_by_segment", "\nUNION ALL\n".join(_profile_sql(c, "stddev_samp", "l_returnflag") for c in NUMERIC[:2]))
+@query("profile_by_segment", "\nUNION ALL\n".join(_profile_sql(c, "stddev_samp", "l_returnflag") for c in NUMERIC))
 def profile_by_segment(spark, d):
-    return profiles.numeric_profile(views.table(spark, d, "lineitem"), NUMERIC[:2], ["l_returnflag"], sample_std=True)
+    return profiles.numeric_profile(views.table(spark, d, "lineitem"), NUMERIC, ["l_returnflag"], sample_std=True)
 
 
 _TOP = """SELECT "column", value, n, rank, count, n_distinct, round(n / count::DOUBLE, 4) AS fraction FROM (
@@ -45,15 +45,15 @@ _TOP = """SELECT "column", value, n, rank, count, n_distinct, round(n / count::D
 
 @query("profile_categorical", _TOP)
 def profile_categorical(spark, d):
-    return profiles.categorical_profile(views.table(spark, d, "part"), ["p_name", "p_brand", "p_type"])
+    return profiles.categorical_profile(views.table(spark, d, "part"), ["p_name", "p_brand", "p_type"], 20)
 
 
 @query("attribute_modes", f"""
-SELECT "column", count(*) AS n_values, round(sum(fraction), 4) AS covered, arg_min(value, rank) AS mode FROM ({_TOP}) GROUP BY "column" """)
+SELECT "column", count(*) + (max(n_distinct) > count(*))::INT AS n_values, round(sum(fraction) + 1 - sum(n) / max(count)::DOUBLE, 3) AS covered, arg_min(value, rank) AS mode FROM ({_TOP}) GROUP BY "column" """)
 def attribute_modes(spark, d):
-    shares = profiles.attribute_distributions(profiles.categorical_profile(views.table(spark, d, "part"), ["p_name", "p_brand", "p_type"]))
+    shares = profiles.attribute_distributions(profiles.categorical_profile(views.table(spark, d, "part"), ["p_name", "p_brand", "p_type"], 20))
     covered = F.aggregate(F.map_values("distribution"), F.lit(0.0), lambda a, v: a + v)
-    return shares.select("column", F.size("distribution").alias("n_values"), round_to(covered, 4).alias("covered"), "mode")
+    return shares.select("column", F.size("distribution").alias("n_values"), round_to(covered, 3).alias("covered"), "mode")
 
 
 @query("profile_sequence", """
@@ -75,7 +75,7 @@ def target_correlation(spark, d):
 
 
 @query("training_baseline", f"""
-SELECT 'parts' AS service, '2024-01' AS model_version, count(DISTINCT "column") AS n_distributions, count(*) AS n_values,
+SELECT 'parts' AS service, '2024-01' AS model_version, count(DISTINCT "column") AS n_distributions, count(*) + count(DISTINCT "column") FILTER (n_distinct > 20) AS n_values,
        (SELECT round(corr(p_size, p_retailprice), 4) FROM part) AS size_correlation FROM ({_TOP})""")
 def training_baseline(spark, d):
     base = profiles.training_baseline(views.table(spark, d, "part"), "parts", "2024-01", "2024-01-31", "p_retailprice")
@@ -173,7 +173,7 @@ def latest_run(spark, d):
 @query("recent_runs", sql("""
 SELECT experiment, run_id, place FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY start_time DESC, run_id DESC) AS place FROM runs) WHERE place <= 10""", "runs"))
 def recent_runs(spark, d):
-    return lineage.recent_runs(runs(spark, d)).select("experiment", "run_id", "place")
+    return lineage.recent_runs(runs(spark, d), 10).select("experiment", "run_id", "place")
 
 
 @query("latest_version", """

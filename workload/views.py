@@ -1,7 +1,7 @@
 """The given tables seen as reliability data.
 
 Each view is a projection or aggregation over whole tables; nothing is sampled.
-``workload/oracles.py`` states the same views in SQL.
+``workload/oracle_base.py`` states the same views in SQL.
 """
 
 from __future__ import annotations
@@ -64,12 +64,12 @@ def stamp(column: Column | str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
-_SETTINGS: dict[tuple[int, str], DataFrame] = {}
+_SETTINGS: dict[tuple[str, str], DataFrame] = {}
 
 
 def _once(spark: SparkSession, name: str, build) -> DataFrame:
     """Settings are local relations; one per session is enough."""
-    key = (id(spark._jsparkSession), name)
+    key = (spark.sparkContext.applicationId, name)
     if key not in _SETTINGS:
         _SETTINGS[key] = build()
     return _SETTINGS[key]
