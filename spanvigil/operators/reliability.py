@@ -25,6 +25,13 @@ from spanvigil.settings import DEFAULT_CHECKS
 
 SIGNAL = "struct<check:string,status:string,severity:double,detail:string,current_value:double>"
 
+# --- fixed values: severities of the checks --------------------------------------
+VOLUME_SEVERITY = 0.85
+SILENCE_SEVERITY = 0.55
+NULL_SEVERITY = 0.45
+WARNING_SEVERITY = 0.5
+# ----------------------------------------------------------------------------------
+
 
 def half_profile(split_spans: DataFrame, services: DataFrame) -> DataFrame:
     """Per service: counts per half, errored spans, error values and their mean,
@@ -121,7 +128,7 @@ def volume_drop() -> Column:
             ratio <= 1 - F.col("volume_drop_warn"), "WARNING"
         ),
     )
-    severity = F.when(status == "CRITICAL", 0.85).otherwise(0.5)
+    severity = F.when(status == "CRITICAL", VOLUME_SEVERITY).otherwise(WARNING_SEVERITY)
     detail = F.concat(
         F.lit("volume down "), _text((1 - ratio) * 100), F.lit("%: "),
         F.col("n_recent").cast("string"), F.lit(" recent spans, "),
@@ -140,7 +147,7 @@ def silence(as_of: Column) -> Column:
     detail = F.concat(
         F.lit("silent for "), _text(gap), F.lit(" of "), F.col("lookback").cast("string"), F.lit(" minutes")
     )
-    return _signal("silence", status, F.lit(0.55), detail, round_to(gap, 1))
+    return _signal("silence", status, F.lit(SILENCE_SEVERITY), detail, round_to(gap, 1))
 
 
 def error_rate() -> Column:
@@ -151,7 +158,7 @@ def error_rate() -> Column:
             rate >= F.col("error_rate_warn"), "WARNING"
         ),
     )
-    severity = F.when(status == "CRITICAL", F.least(F.lit(1.0), rate * 2)).otherwise(0.5)
+    severity = F.when(status == "CRITICAL", F.least(F.lit(1.0), rate * 2)).otherwise(WARNING_SEVERITY)
     detail = F.concat(_text(rate * 100, 1), F.lit("% of spans failed"))
     return _signal("error_rate", status, severity, detail, round_to(rate, 3))
 
@@ -161,7 +168,7 @@ def latency_drift() -> Column:
     status = F.when(ratio >= F.col("latency_critical_ratio"), "CRITICAL").when(
         ratio >= F.col("latency_warn_ratio"), "WARNING"
     )
-    severity = F.when(status == "CRITICAL", F.least(F.lit(1.0), ratio / 4)).otherwise(0.5)
+    severity = F.when(status == "CRITICAL", F.least(F.lit(1.0), ratio / 4)).otherwise(WARNING_SEVERITY)
     detail = F.concat(
         F.lit("p95 latency "), _text(ratio, 1), F.lit(" times the earlier "), _text(F.col("p95_earlier"))
     )
@@ -172,7 +179,7 @@ def null_rate() -> Column:
     rate = F.col("n_missing") / F.col("n_spans")
     status = F.when((rate > 0) & (rate < 1) & (rate >= F.col("null_rate_warn")), "WARNING")
     detail = F.concat(_text(rate * 100), F.lit("% of spans carry no error value"))
-    return _signal("null_rate", status, F.lit(0.45), detail, round_to(rate, 3))
+    return _signal("null_rate", status, F.lit(NULL_SEVERITY), detail, round_to(rate, 3))
 
 
 def _drift_signal(check: str, attr: str, psi: str) -> Column:
@@ -185,7 +192,7 @@ def _drift_signal(check: str, attr: str, psi: str) -> Column:
 def schema_drift() -> Column:
     status = F.when(F.col("vanished").isNotNull(), "WARNING")
     detail = F.concat(F.col("vanished"), F.lit(" is no longer emitted"))
-    return _signal("schema_drift", status, F.lit(0.5), detail, F.lit(0.0))
+    return _signal("schema_drift", status, F.lit(WARNING_SEVERITY), detail, F.lit(0.0))
 
 
 def reliability_signals(inputs: DataFrame, as_of: Column) -> DataFrame:
@@ -235,7 +242,7 @@ def version_drift(live: DataFrame, baseline_versions: DataFrame) -> DataFrame:
         F.lit(len(DEFAULT_CHECKS) + 1).alias("position"),
         F.lit("baseline_stale").alias("check"),
         F.lit("WARNING").alias("status"),
-        F.lit(0.5).alias("severity"),
+        F.lit(WARNING_SEVERITY).alias("severity"),
         detail.alias("detail"),
         F.lit(None).cast("double").alias("current_value"),
     )

@@ -46,6 +46,7 @@ HIGHER = "higher_is_better"
 
 @dataclass(frozen=True)
 class ServiceSettings:
+    # The defaults are fixed values: results depend on them.
     service: str
     lookback_minutes: int = 2880
     prediction_source: str = "spans"
@@ -80,6 +81,7 @@ class MetricSpec:
     count, rate, null_rate.  ``baseline_scale='rate'`` compares count and sum per
     unit of time instead of whole window against half window."""
 
+    # The defaults are fixed values: results depend on them.
     service: str
     name: str
     attribute: str
