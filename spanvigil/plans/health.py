@@ -55,8 +55,12 @@ def health_tables(
     baselines: DataFrame,
     as_of: Column,
     max_lookback_minutes: int,
+    governance: DataFrame | None = None,
 ) -> HealthTables:
-    """``baselines``: output of ``resolve_baselines``, one row per service."""
+    """``baselines``: output of ``resolve_baselines``, one row per service;
+    ``governance``: output of ``lineage.governance``, models whose training cannot be
+    traced.  They are counted for every service, with or without spans.
+    """
     window = recent_spans(spans, services, as_of, max_lookback_minutes)
     split = with_halves(window)
     # Read by nearly every check below, so both are computed once.
@@ -94,6 +98,11 @@ def health_tables(
             F.when(F.col("metric").isNotNull(), worse_ratio(F.col("metric"), F.col("baseline"), F.col("direction"))),
         )
     )
+    if governance is None:
+        facts = facts.withColumn("n_ungoverned", F.lit(0).cast("long"))
+    else:
+        audited = governance.groupBy("service").agg(F.count(F.lit(1)).alias("n_ungoverned"))
+        facts = facts.join(audited, "service", "left").withColumn("n_ungoverned", F.coalesce("n_ungoverned", F.lit(0).cast("long")))
     raised = signals.unionByName(cm.metric_signals(metrics))
     snapshot = decision.escalate(decision.decide(facts), reliability.worst_status(raised)).select(
         "service",
@@ -106,6 +115,7 @@ def health_tables(
         F.coalesce("n_bad_segments", F.lit(0)).alias("n_bad_segments"),
         F.coalesce("worst_psi", F.lit(0.0)).alias("worst_psi"),
         "n_signals",
+        "n_ungoverned",
         "status",
         "severity",
         "action",

@@ -101,9 +101,9 @@ def resolved(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, d: str) -> HealthTables:
+def tables(spark: SparkSession, d: str, governance: DataFrame | None = None) -> HealthTables:
     return health_tables(
-        views.spans(spark, d), views.services(spark), views.specs(spark), resolved(spark, d), views.as_of(), views.LOOKBACK
+        views.spans(spark, d), views.services(spark), views.specs(spark), resolved(spark, d), views.as_of(), views.LOOKBACK, governance
     )
 
 

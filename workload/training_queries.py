@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanvigil.functions.scalars import round_to
 
-from spanvigil.operators import calibration, lineage, profiles, segments
+from spanvigil.operators import calibration, decision, lineage, profiles, segments
 from spanvigil.settings import RegistryEntry, registry_frame
 from workload import health_queries as hq
 from workload import views
@@ -252,3 +252,33 @@ FROM range(45) t(i) LEFT JOIN provenance ON experiment = 'exp' || CAST(i AS VARC
 def governance(spark, d):
     rows = lineage.governance(registry(spark), lineage.provenance(lineage.latest_run(tagged_runs(spark, d))))
     return rows.select("model_family", "experiment", F.array_join("warnings", ",").alias("warnings"), "n_warnings")
+
+
+# The audit of a service that sends spans and of one that is silent.
+AUDITED = [RegistryEntry("svc0" if i < 25 else "svc9", f"family{i}", f"exp{i}", "team/en") for i in range(45)]
+
+
+view("ungoverned", "provenance")("""
+SELECT CASE WHEN i < 25 THEN 'svc0' ELSE 'svc9' END AS service, 'family' || CAST(i AS VARCHAR) AS model_family,
+       len(string_split(coalesce(warnings, 'no_run'), ',')) AS n_warnings
+FROM range(45) t(i) LEFT JOIN provenance ON experiment = 'exp' || CAST(i AS VARCHAR) WHERE coalesce(warnings, 'no_run') <> '' OR NOT coalesce(traceable, false)""")
+
+
+def _audit(spark, d):
+    return lineage.governance(registry_frame(spark, AUDITED), lineage.provenance(lineage.latest_run(tagged_runs(spark, d))))
+
+
+@query("governed_snapshot", sql("""
+SELECT s.service, s.n_spans, s.status, s.severity, coalesce(g.n, 0) AS n_ungoverned
+FROM snapshot s LEFT JOIN (SELECT service, count(*) AS n FROM ungoverned GROUP BY service) g USING (service)""", "snapshot", "ungoverned"))
+def governed_snapshot(spark, d):
+    return hq.tables(spark, d, _audit(spark, d)).snapshot.select("service", "n_spans", "status", "severity", "n_ungoverned")
+
+
+@query("governance_anomalies", sql("""
+SELECT service, 'governance' AS metric, model_family AS segment, n_warnings::DOUBLE AS current_value, n_warnings::DOUBLE AS ratio FROM ungoverned
+UNION ALL SELECT service, 'prediction_volume', 'overall', 0, 0 FROM facts WHERE n_spans = 0""", "ungoverned", "facts"))
+def governance_anomalies(spark, d):
+    t = hq.tables(spark, d)
+    rows = decision.anomalies(t.segments, t.psi, t.silent, t.signals, t.metrics, _audit(spark, d))
+    return rows.where("metric IN ('governance', 'prediction_volume')").select("service", "metric", "segment", "current_value", "ratio")
