@@ -228,9 +228,11 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
     lines = F.split(F.col(text).cast("string"), "\n")
     middle = F.get(lines, F.floor(F.size(lines) / 2).cast("int"))
     rows = docs.select(fold(key).alias("_order"), F.col(key).alias("_id"), F.substring(middle, 1, 2000).alias("_line"))
-    plain = rows.where("_line is not null").where(~F.lower("_line").rlike("licen|copyright|spdx"))
-    found = plain.orderBy("_order", "_id", "_line").limit(sample).select("_line").collect()
-    return LicenceModel().learn([r[0].encode() for r in found])
+    plain = rows.where("_id is not null and _line is not null").where(~F.lower("_line").rlike("licen|copyright|spdx"))
+    # Ids first, so that only the sample's lines leave the executors.
+    chosen = plain.select("_order", "_id").distinct().orderBy("_order", "_id").limit(sample).select("_id")
+    found = plain.join(F.broadcast(chosen), "_id").select("_line").collect()
+    return LicenceModel().learn(sorted(r[0].encode() for r in found))
 
 
 RESULT = "doc_id long, paragraphs long, licence_paragraphs long, unknown_paragraphs long, families string, places string"

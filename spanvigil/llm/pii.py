@@ -342,9 +342,10 @@ def synthetic_texts(rng: random.Random) -> list[str]:
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> SegmentField:
     """Learn from at most ``sample`` texts with marks, the first by the id's crc32."""
     marked = docs.where(F.col(text).rlike("[0-9@]")).select(fold(key).alias("_order"), F.col(key).alias("_id"), F.col(text).alias("_text"))
-    # Whole texts stay on the executors; a sampled one sends its marked stretches only.
+    # Ids first, then the sampled texts' marked stretches only: whole texts stay on the executors.
+    chosen = marked.where("_id is not null").select("_order", "_id").distinct().orderBy("_order", "_id").limit(sample)
     stretch = F.regexp_extract_all("_text", F.lit(r"((?s).{0,40}[0-9@].{0,120})"), 1)
-    first = marked.orderBy("_order", "_id").limit(sample).select(F.slice(stretch, 1, 8).alias("pieces")).collect()
+    first = marked.join(F.broadcast(chosen.select("_id")), "_id").select(F.slice(stretch, 1, 8).alias("pieces")).collect()
     texts = sorted(piece for row in first for piece in row.pieces or ())
     model = SegmentField()
     model.learn(examples_from(synthetic_texts(random.Random(5)) + texts))
