@@ -30,7 +30,7 @@ from spanvigil.llm.text import WordHashes, rolling, signed, utf8
 from spanvigil.session import drop_table, materialise
 
 WINDOW = 50
-K = 25
+K = 15
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -59,11 +59,12 @@ def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        counts, prints, places, kmers = [], [], [], []
+        counts, prints, marks, places, kmers = [], [], [], [], []
         for key, text in zip(ids, batch.column(1).to_pylist()):
             words = text.split()
             counts.append(len(words))
             prints.append(hashlib.sha256(b" ".join(words)).digest())
+            marks.append(_mark(prints[-1]))
             at, values = minimizers(hashes.of(words)) if key is not None and len(words) >= WINDOW else minimizers(np.empty(0))
             places.append(at.astype(np.int32))
             kmers.append(signed(values))
@@ -72,13 +73,19 @@ def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(0),
                 pa.array(counts, pa.int64()),
                 pa.array(prints, pa.binary()),
+                pa.array(marks, pa.int64()),
                 pa.array(places, pa.list_(pa.int32())),
                 pa.array(kmers, pa.list_(pa.int64())),
             ],
-            names=["id", "n_words", "print", "places", "kmers"],
+            names=["id", "n_words", "print", "mark", "places", "kmers"],
         )
 
 
+def _mark(digest: bytes) -> int:
+    """What tells rows that repeat an id apart, in eight bytes."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def unitigs(edges: DataFrame) -> DataFrame:
     """Compact nonbranching paths: ``node, head, offset`` for nodes behind a head.
 
@@ -114,10 +121,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows inside a document's spans."""
     hashes = WordHashes()
     for batch in batches:
-        prints, places, values = [], [], []
+        marks, places, values = [], [], []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             words = text.split()
-            prints.append(hashlib.sha256(b" ".join(words)).digest())
+            marks.append(_mark(hashlib.sha256(b" ".join(words)).digest()))
             inside = np.zeros(len(words) + 1, np.int64)
             last = len(words) - WINDOW
             for span in spans:
@@ -132,11 +139,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column(0),
                 batch.column(1),
-                pa.array(prints, pa.binary()),
+                pa.array(marks, pa.int64()),
                 pa.array(places, pa.list_(pa.int32())),
                 pa.array(values, pa.list_(pa.int64())),
             ],
-            names=["id", "body", "print", "places", "windows"],
+            names=["id", "body", "mark", "places", "windows"],
         )
 
 
@@ -154,7 +161,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone) if not g)).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests)],
-            names=["id", "print", "n_removed", "digest"],
+            names=["id", "mark", "n_removed", "digest"],
         )
 
 
@@ -176,12 +183,14 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("body"))
     first = materialise(
-        rows.mapInArrow(_minimizers, "id long, n_words long, print binary, places array<int>, kmers array<long>")
+        rows.mapInArrow(_minimizers, "id long, n_words long, print binary, mark long, places array<int>, kmers array<long>")
     )
     nodes = first.where("size(kmers) > 0").select("id", "places", F.posexplode("kmers").alias("nth", "node"))
     nodes = nodes.select("id", "node", "nth", F.get("places", F.col("nth")).alias("place"))
     repeated = _shared(nodes, "node")
     hits = materialise(nodes.join(repeated.select("node"), "node"))
+    summary = materialise(first.select("id", "n_words", "print", "mark"))
+    drop_table(first)
 
     along = Window.partitionBy("id").orderBy("nth", "place")
     steps = hits.select(
@@ -203,20 +212,19 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     checked = materialise(
         rows.join(of_document, "id")
         .select("id", "body", "spans")
-        .mapInArrow(_windows, "id long, body binary, print binary, places array<int>, windows array<long>")
+        .mapInArrow(_windows, "id long, body binary, mark long, places array<int>, windows array<long>")
     )
     drop_table(hits)
-    windows = checked.where("size(windows) > 0").select("id", "print", F.explode(F.arrays_zip("places", "windows")).alias("w"))
-    windows = windows.select("id", "print", F.col("w.places").alias("place"), F.col("w.windows").alias("window"))
+    windows = checked.where("size(windows) > 0").select("id", "mark", F.explode(F.arrays_zip("places", "windows")).alias("w"))
+    windows = windows.select("id", "mark", F.col("w.places").alias("place"), F.col("w.windows").alias("window"))
     early = _shared(windows, "window")
     late = windows.join(early, "window").where("first_id < id")
-    starts = late.groupBy("id", "print").agg(F.collect_set("place").alias("starts"))
-    bodies = checked.select("id", "print", "body").dropDuplicates(["id", "print"])
-    cut = bodies.join(starts, ["id", "print"]).select("id", "print", "body", "starts")
-    results = cut.mapInArrow(_cut, "id long, print binary, n_removed long, digest string")
+    starts = late.groupBy("id", "mark").agg(F.collect_set("place").alias("starts"))
+    bodies = checked.select("id", "mark", "body").dropDuplicates(["id", "mark"])
+    cut = bodies.join(starts, ["id", "mark"]).select("id", "mark", "body", "starts")
+    results = cut.mapInArrow(_cut, "id long, mark long, n_removed long, digest string")
     return (
-        first.select("id", "n_words", "print")
-        .join(results, ["id", "print"], "left")
+        summary.join(results, ["id", "mark"], "left")
         .select(
             F.col("id").alias(key),
             "n_words",
