@@ -9,8 +9,8 @@ A passage counts when WINDOW consecutive words start in an earlier document too.
    an edge is a step from one node to the next with its distance.  Nonbranching
    paths are compacted by pointer jumping, a join per doubling (``unitigs``).
 3. A document's nodes on one path become one span with source coordinates.
-4. The spans, widened to whatever a shared window can reach, are checked on the
-   text itself: the hash of every window in them finds its earliest document.
+4. A shared window's smallest k-mer is a node of a span.  The windows with such a
+   k-mer are checked on the text itself: their hash finds the earliest document.
 
 Hot passages meet only in minima and joins, never in a gathered group; what is
 gathered per document is bounded by its length.
@@ -117,24 +117,29 @@ def unitigs(edges: DataFrame) -> DataFrame:
     return state.where("not moved").select("node", "head", "offset") if "moved" in state.columns else state
 
 
+def _reached(kmers: np.ndarray, spans: list[dict]) -> np.ndarray:
+    """Windows whose smallest k-mer lies between the first and last node of a span."""
+    width = WINDOW - K + 1
+    held = np.zeros(len(kmers), bool)
+    for span in spans:
+        held[span["start"] : span["end"] + 1] = True
+    least = _sliding(kmers, width, np.minimum)
+    inside = _sliding(np.where(held, kmers, np.uint64(2**64 - 1)), width, np.minimum)
+    return np.flatnonzero(least == inside)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows inside a document's spans."""
+    """Hashes of the windows that a document's spans reach."""
     hashes = WordHashes()
     for batch in batches:
         marks, places, values = [], [], []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             words = text.split()
             marks.append(_mark(hashlib.sha256(b" ".join(words)).digest()))
-            inside = np.zeros(len(words) + 1, np.int64)
-            last = len(words) - WINDOW
-            for span in spans:
-                a, b = max(span["start"], 0), min(span["end"] - WINDOW, last)
-                if a <= b:
-                    inside[a] += 1
-                    inside[b + 1] -= 1
-            at = np.flatnonzero(np.cumsum(inside) > 0)
+            found = hashes.of(words)
+            at = _reached(rolling(found, K), spans) if len(words) >= WINDOW else np.empty(0, np.int64)
             places.append(at.astype(np.int32))
-            values.append(signed(rolling(hashes.of(words), WINDOW)[at] if len(at) else np.empty(0, np.uint64)))
+            values.append(signed(rolling(found, WINDOW)[at] if len(at) else np.empty(0, np.uint64)))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -203,9 +208,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     placed = hits.join(paths, "node", "left").select(
         "id", "place", F.coalesce("head", "node").alias("head"), (F.col("place") - F.coalesce("offset", F.lit(0))).alias("origin")
     )
-    reach = WINDOW - K
     spans = placed.groupBy("id", "head", "origin").agg(
-        (F.min("place") - reach).cast("int").alias("start"), (F.max("place") + K + reach).cast("int").alias("end")
+        F.min("place").cast("int").alias("start"), F.max("place").cast("int").alias("end")
     )
     of_document = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
