@@ -1,22 +1,28 @@
 """N-gram Jaccard join: a blocked sparse product of documents by n-grams.
 
 The incidence matrix has a row per document and a column per hashed shingle.
-Only a part of each row can matter.  Sort a row of n shingles by hash: two rows
-with Jaccard similarity t share at least one of their first ``n - ceil(t n) + 1``
-entries, and at least l of their first ``n - ceil(t n) + l``.  So
+Only a part of each row can matter.  Sort a row of n shingles in an order that all
+rows share: two rows with Jaccard similarity t have one of their first
+``n - ceil(t n) + 1`` entries in common, and l of their first ``n - ceil(t n) + l``.
 
-1. tasks keep that head of each row, in chunks of documents (``_chunks``);
-2. the columns are dealt into blocks, which sum how many documents hold each
+1. Tasks keep such a head of each row by hash order, in chunks of documents
+   (``_chunks``).
+2. The columns are dealt into blocks, which sum how many documents hold each
    shingle (``_frequencies``); a chunk sends a column once, with its count, so the
-   hottest column brings one entry per chunk;
-3. back at the chunk, a row drops the shingles nobody else has, and because l of
-   them must be shared, also its l-1 most frequent ones (``_index``): rows that
-   only share a common passage disappear here;
-4. the rest is the product: rows that meet in a column are compared.  First each
-   with the column's first row, which joins large groups of near copies by as many
-   comparisons as rows; then all pairs of one column whose rows are not yet in the
-   same component.  Overlaps are counted on the whole sets, after the bound on
-   sizes (``size >= t * size``).
+   hottest column brings one entry per chunk.
+3. Back at the chunk, l shared entries are needed, so a row's l-1 most frequent ones
+   may be skipped; a row that then has no shared entry left links with nothing
+   (``_index``).  Most rows end here, those that only share a short passage too.
+4. The rows left go through 2 and 3 with their whole sets.  Frequencies are now
+   exact among all that could link: the rarest ``n - ceil(t n) + 1`` entries are the
+   index, and entries nobody else has bound the overlap from above.
+5. Rows that meet in a column are compared: first each with the column's most
+   central row (the fewest entries of its own), then, a few times, those outside the
+   column's largest component with another row of it.  That joins large groups of
+   near copies by a few comparisons per row.
+6. Last come all pairs of one column whose rows are in different components still,
+   unless a bound rules the link out: the sizes, the entries' places, or the distances
+   to the column's first centre (Jaccard distance obeys the triangle inequality).
 
 Every pair that could link shares an indexed column, and is either compared or
 already connected, so components are exact up to 64-bit hash collisions.
@@ -37,6 +43,8 @@ from spanvigil.llm.text import WordHashes, pieces, rolling, signed, text_bytes,
 from spanvigil.session import drop_table, materialise
 
 WIDTH = 5
+#: Further rounds of comparing with one row per column, at most.
+ROUNDS = 4
 #: Similarity as whole percent: links hold when 100 * overlap >= PERCENT * union.
 PERCENT = 80
 #: Text bytes of a chunk of documents, and of the texts behind one block of columns.
@@ -75,7 +83,7 @@ def set_key(values: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(values.tobytes(), seed=len(values))
 
 
-def _chunks(width: int, chunk_bytes: int):
+def _chunks(width: int, chunk_bytes: int, whole: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         ids, keys, sizes, heads, held = [], [], [], [], 0
@@ -103,7 +111,7 @@ def _chunks(width: int, chunk_bytes: int):
                 keys.append(set_key(values))
                 sizes.append(n)
                 if key is not None and n:
-                    heads.append(values[: int(head_lengths(np.array([n]))[0])])
+                    heads.append(values if whole else values[: int(head_lengths(np.array([n]))[0])])
                 held += len(text) + 1
                 if held >= chunk_bytes:
                     yield flush()
@@ -160,10 +168,8 @@ def _frequencies(table: pa.Table) -> pa.Table:
     )
 
 
-def _index(answers: pa.Table, chunk: pa.Table) -> pa.Table:
-    empty = {"token": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "size": pa.array([], pa.int32())}
-    if not answers.num_rows or not chunk.num_rows:
-        return pa.table(empty)
+def _placed(answers: pa.Table, chunk: pa.Table, whole: bool):
+    """Row number, token, frequency of a chunk's entries, rarest first in each row."""
     tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("tokens").to_pylist()])
     totals = np.concatenate([np.frombuffer(x, np.int64) for x in answers.column("totals").to_pylist()])
     order = np.argsort(tokens)
@@ -171,70 +177,107 @@ def _index(answers: pa.Table, chunk: pa.Table) -> pa.Table:
     row = chunk.slice(0, 1).to_pylist()[0]
     sizes = np.array(row["sizes"], np.int64)
     usable = np.array([key is not None for key in row["ids"]], bool)
-    lengths = np.where(usable, head_lengths(sizes), 0)
+    lengths = np.where(usable, sizes if whole else head_lengths(sizes), 0)
     owner = np.repeat(np.arange(len(sizes)), lengths)
     heads = np.frombuffer(row["heads"], np.uint64)
     at = np.minimum(np.searchsorted(tokens, heads), len(tokens) - 1)
     total = np.where(tokens[at] == heads, totals[at], 1)
     order = np.lexsort((heads, total, owner))
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(len(heads)) - first[owner]  # lexsort keeps each owner's span
-    keep = (total[order] > 1) & (place < kept_lengths(sizes)[owner])
-    owner, heads = owner[order][keep], heads[order][keep]
+    place = np.arange(len(heads)) - (np.cumsum(lengths) - lengths)[owner]  # lexsort keeps each row's span
+    return owner, place, heads[order], total[order], sizes, np.array(row["sets"], np.int64)
+
+
+def _survivors(answers: pa.Table, chunk: pa.Table) -> pa.Table:
+    """Rows whose head, without its most frequent entries, shares one with others."""
+    if not answers.num_rows or not chunk.num_rows:
+        return pa.table({"node": pa.array([], pa.int64())})
+    owner, place, _, total, sizes, sets = _placed(answers, chunk, whole=False)
+    keep = (total > 1) & (place < kept_lengths(sizes)[owner])
+    return pa.table({"node": pa.array(np.unique(sets[owner[keep]]), pa.int64())})
+
+
+_INDEX = "token long, node long, size int, own int, place int"
+
+
+def _index(answers: pa.Table, chunk: pa.Table) -> pa.Table:
+    """The rarest shared entries of each whole row, with their places among all of it
+    and the count nobody shares."""
+    if not answers.num_rows or not chunk.num_rows:
+        columns = [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+        return pa.table(columns, names=["token", "node", "size", "own", "place"])
+    owner, place, tokens, total, sizes, sets = _placed(answers, chunk, whole=True)
+    own = np.bincount(owner, weights=total == 1, minlength=len(sizes)).astype(np.int32)
+    keep = (total > 1) & (place < (sizes - -(-sizes * PERCENT // 100) + 1)[owner])
+    owner, tokens, place = owner[keep], tokens[keep], place[keep]
     return pa.table(
         {
-            "token": pa.array(signed(heads), pa.int64()),
-            "node": pa.array(np.array(row["sets"], np.int64)[owner], pa.int64()),
+            "token": pa.array(signed(tokens), pa.int64()),
+            "node": pa.array(sets[owner], pa.int64()),
             "size": pa.array(sizes[owner].astype(np.int32), pa.int32()),
+            "own": pa.array(own[owner], pa.int32()),
+            "place": pa.array(place.astype(np.int32), pa.int32()),
         }
     )
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            rows = [shingles(x.lower().split(), hashes, width) for x in batch.column(0).to_pylist()]
+def _with_frequencies(chunks: DataFrame, blocks: int, finish, schema: str) -> DataFrame:
+    requests = chunks.select("chunk", "heads").mapInArrow(
+        _requests(blocks), "block int, chunk long, tokens binary, counts binary"
+    )
+    answers = requests.groupBy("block").applyInArrow(_frequencies, "chunk long, tokens binary, totals binary")
+    return answers.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(finish, schema)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each whole row of a chunk by itself."""
+    for batch in batches:
+        for sets, sizes, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            ends = np.cumsum(sizes) * 8
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(signed(np.array([set_key(r) for r in rows], np.uint64)), pa.int64()),
-                    pa.array([r.tobytes() for r in rows], pa.binary()),
-                ],
+                [pa.array(sets, pa.int64()), pa.array([body[b - 8 * n : b] for n, b in zip(sizes, ends.tolist())], pa.binary())],
                 names=["node", "members"],
             )
 
-    return run
-
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
-        keep = []
-        for i, (x, y) in enumerate(zip(left, right)):
+        left, right = (batch.column(i).to_pylist() for i in (2, 3))
+        distances, linked = [], []
+        for x, y in zip(left, right):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             overlap = int((y[at] == x).sum())
-            if 100 * overlap >= PERCENT * (len(x) + len(y) - overlap):
-                keep.append(i)
+            union = len(x) + len(y) - overlap
+            distances.append(1 - overlap / union)
+            linked.append(100 * overlap >= PERCENT * union)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"]
+            [batch.column(0), batch.column(1), pa.array(distances, pa.float64()), pa.array(linked, pa.bool_())],
+            names=["a", "b", "distance", "linked"],
         )
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """The pairs of sets (a, b) that truly link; written, with its pairs' sets dropped again."""
-    spark = docs.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select(F.col("first_id").alias("_id"))
-    texts = docs.join(wanted, "_id", "left_semi").select("_text")
-    sets = materialise(texts.mapInArrow(_sets(width), "node long, members binary"))
+def _compared(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs of sets (a, b) with their distance and whether they link."""
+    sets = chunks.select("sets", "sizes", "heads").mapInArrow(_members, "node long, members binary")
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
     # The many-sided end first: its set moves once per pair, the centre's once in all.
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    links = materialise(both.mapInArrow(_overlaps, "a long, b long"))
-    drop_table(sets)
-    return links
+    return materialise(both.mapInArrow(_overlaps, "a long, b long, distance double, linked boolean"))
+
+
+def _apart(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """Index entries of the columns whose rows are in more than one component."""
+    named = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return named.join(split.select("token"), "token", "left_semi")
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs, once each way round, that have not been compared."""
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialise(once.join(done, ["a", "b"], "left_anti"))
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:
@@ -248,53 +291,69 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     need no rule: the result does not depend on any order.  An empty table gives
     an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("_id"), utf8(text).alias("_text"))
     blocks = pieces(text_bytes(docs, text), BLOCK_BYTES)
-    chunks = materialise(rows.mapInArrow(_chunks(width, CHUNK_BYTES), _CHUNK))
-    requests = chunks.select("chunk", "heads").mapInArrow(
-        _requests(blocks), "block int, chunk long, tokens binary, counts binary"
-    )
-    answers = requests.groupBy("block").applyInArrow(_frequencies, "chunk long, tokens binary, totals binary")
-    index = materialise(
-        answers.groupBy("chunk")
-        .cogroup(chunks.groupBy("chunk"))
-        .applyInArrow(_index, "token long, node long, size int")
-        .distinct()
-    )
+    heads = materialise(rows.mapInArrow(_chunks(width, CHUNK_BYTES), _CHUNK))
+    left = materialise(_with_frequencies(heads, blocks, _survivors, "node long").distinct())
     members = materialise(
-        chunks.select(F.inline(F.arrays_zip("ids", "sets", "sizes"))).select(
+        heads.select(F.inline(F.arrays_zip("ids", "sets", "sizes"))).select(
             F.col("ids").alias("_id"), F.col("sets").alias("node"), F.col("sizes").alias("size")
         )
     )
-    drop_table(chunks)
+    drop_table(heads)
+    # Equal sets are one row from here on, under their smallest id.
     classes = materialise(members.where("_id is not null and size > 0").groupBy("node").agg(F.min("_id").alias("first_id")))
 
-    near = f"100 * least(size, other_size) >= {PERCENT} * greatest(size, other_size)"
-    centres = index.groupBy("token").agg(
-        F.min(F.struct("node", "size")).alias("centre"), F.max("node").alias("last")
-    ).where("centre.node <> last").select("token", "centre.*").toDF("token", "other", "other_size")
-    star = index.join(centres, "token").where("node <> other").where(near)
-    stars = materialise(star.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
-    links = _linked(stars, rows, classes, width)
-    labels = materialise(connected_components(links))
-
-    named = index.join(labels, "node", "left").select(
-        "token", "node", "size", F.coalesce("label", "node").alias("label")
-    )
-    split = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    open_rows = materialise(named.join(split.select("token"), "token", "left_semi"))
-    others = open_rows.select(
-        "token", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("label").alias("other_label")
+    wanted = classes.join(left, "node", "left_semi").select(F.col("first_id").alias("_id"))
+    texts = rows.join(wanted.hint("merge"), "_id", "left_semi").select("_id", "_text")
+    chunks = materialise(texts.mapInArrow(_chunks(width, CHUNK_BYTES, whole=True), _CHUNK))
+    index = materialise(_with_frequencies(chunks, blocks, _index, _INDEX).distinct())
+
+    # A link needs an overlap of 80 / 180 of both sizes.  Where a pair's rarest common
+    # entry is met, that is all either row has left: entries before it are not shared.
+    able = f"{100 + PERCENT} * least(size - place, other_size - other_place) >= {PERCENT} * (size + other_size)"
+    centres = (
+        index.groupBy("token")
+        .agg(F.min(F.struct((F.col("own") / F.col("size")).alias("share"), "node", "size", "place")).alias("centre"))
+        .select(
+            "token",
+            F.col("centre.node").alias("other"),
+            F.col("centre.size").alias("other_size"),
+            F.col("centre.place").alias("other_place"),
+        )
     )
-    apart = open_rows.join(others, "token").where("node < other and label <> other_label").where(near)
-    pairs = apart.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(pairs.join(tested, ["a", "b"], "left_anti"))
-    late = _linked(rest, rows, classes, width)
-    if not late.isEmpty():
-        links = links.unionByName(late)
-        labels = connected_components(links)
+    star = index.join(centres, "token").where("node <> other").where(able)
+    first = _compared(star.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), chunks)
+    tested, labels = first, materialise(connected_components(first.where("linked")))
+
+    for number in range(ROUNDS):
+        apart = _apart(index, labels)
+        main = apart.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(
+            F.max(F.struct("n", "label"))["label"].alias("main")
+        )
+        marked = materialise(apart.join(main, "token"))
+        picked = marked.where("label = main").groupBy("token").agg(
+            F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "size", "place")).alias("row")
+        )
+        again = picked.select("token", *[F.col(f"row.{c}").alias(f"other_{c}") for c in ("node", "size", "place")])
+        met = marked.where("label <> main").join(again, "token").where(able)
+        pairs = met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
+        found = _compared(_untested(pairs, tested), chunks)
+        tested = tested.unionByName(found)
+        if found.where("linked").isEmpty():
+            break
+        labels = materialise(connected_components(tested.where("linked")))
+
+    # Distances to the column's first centre; unknown where a bound spared the comparison.
+    to_centre = first.select(F.col("a").alias("node"), F.col("b").alias("other"), "distance")
+    apart = _apart(index, labels).join(centres.select("token", "other"), "token").join(to_centre, ["node", "other"], "left")
+    apart = materialise(apart.withColumn("distance", F.when(F.col("node") == F.col("other"), F.lit(0.0)).otherwise(F.col("distance"))).drop("other"))
+    others = apart.select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "size", "place", "label", "distance")])
+    near = f"coalesce(abs(distance - other_distance), 0) <= {(100 - PERCENT) / 100 + 1e-9}"
+    met = apart.join(others, "token").where("node < other_node and label <> other_label").where(able).where(near)
+    late = _compared(_untested(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), tested), chunks)
+    if not late.where("linked").isEmpty():
+        labels = connected_components(tested.unionByName(late).where("linked"))
     ids = labels.join(classes, "node").groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_node = labels.join(ids, "label").select("node", "component_id")
     of_class = classes.join(of_node, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("_component"))
