@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanvigil.operators.profiles import REST
 from spanvigil.settings import DEFAULT_BASELINE, ROLLING_DAYS, ROLLING_FLOOR
 
 
 def modal_key(distribution: Column) -> Column:
-    """Key with the largest fraction of a value -> fraction map; ties by key."""
+    """Key with the largest fraction of a value -> fraction map; ties by key.
+
+    REST is the share of many values, not a value, and no mode; a map that holds
+    nothing else means the value of that name.
+    """
+    entries = F.map_entries(distribution)
+    listed = F.filter(entries, lambda e: e["key"] != REST)
     ranked = F.transform(
-        F.map_entries(distribution), lambda e: F.struct((-e["value"]).alias("k"), e["key"].alias("key"))
+        F.when(F.size(listed) > 0, listed).otherwise(entries),
+        lambda e: F.struct((-e["value"]).alias("k"), e["key"].alias("key")),
     )
     return F.array_min(ranked)["key"]
 
