@@ -1,14 +1,16 @@
 """Licence scan: a trained paragraph classifier confirmed by templates.
 
-A paragraph is a line of text.  Sparse word n-grams (words and word pairs of the
-training vocabulary, plus how much of the paragraph lies outside it) feed a
-multinomial logistic regression over licence families and "none".  A temperature
-fitted on examples left out of training calibrates its probabilities; a paragraph
-that looks like a licence but like no known family is "unknown".  A family counts
-only if the paragraph also matches one of the family's templates.
-
-Scoring first sums, per paragraph, the most that any family can gain over "none";
-only paragraphs where that bound is positive are evaluated in full.
+A paragraph is a line of text, and notices are sought in windows of about a
+template's length along it, so what else the line holds does not count.  Sparse
+word n-grams (words and word pairs of the training vocabulary, plus how much of the
+window lies outside it) feed a multinomial logistic regression over licence families
+and "none".  A temperature fitted on examples left out of training calibrates its
+probabilities; a window that looks like a licence but like no known family is
+"unknown".  A family counts only if the window also matches one of its templates.
+
+A window begins with a word of its template and holds enough of the template's
+words to match; sums along the text give the most that any family can gain over
+"none" in it, and only windows where "none" can lose by that are evaluated in full.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ STRANGE = (
 #: Paragraphs of the corpus that "none" is learned from, at most.
 SAMPLE = 1_500
 LEAST_PROBABILITY = 0.5
-#: Share of a template's words that a confirmed paragraph shares in order.
+#: Share of a template's words that a confirmed window shares in order.
 LEAST_MATCH = 0.6
 #: The same for a licence of no known family.
 LEAST_LIKENESS = 0.5
@@ -95,16 +97,38 @@ def words(paragraph: bytes) -> list[bytes]:
     return paragraph.translate(_CLEAN).split()
 
 
+def places_of(template: list) -> dict:
+    """Per word of a template the bits of its places."""
+    places: dict = {}
+    for n, word in enumerate(template):
+        places[word] = places.get(word, 0) | 1 << n
+    return places
+
+
+def shared(places: dict, length: int, paragraph: list) -> int:
+    """Words of the longest common subsequence; each clear bit of a row is one."""
+    full = row = (1 << length) - 1
+    for word in paragraph:
+        here = row & places.get(word, 0)
+        if here:
+            row = ((row + here) | (row - here)) & full
+    return length - row.bit_count()
+
+
 def in_order(template: list[bytes], paragraph: list[bytes]) -> float:
     """Longest common subsequence as a share of the template's words."""
-    row = [0] * (len(template) + 1)
-    for word in paragraph:
-        before = 0
-        for n, wanted in enumerate(template, 1):
-            here = row[n]
-            row[n] = before + 1 if word == wanted else max(row[n], row[n - 1])
-            before = here
-    return row[-1] / max(len(template), 1)
+    return shared(places_of(template), len(template), paragraph) / max(len(template), 1)
+
+
+class Form:
+    """A template by word codes, and the lengths of the windows compared with it."""
+
+    def __init__(self, number: int, codes: list[int], size: int):
+        self.number, self.length, self.places = number, len(codes), places_of(codes)
+        self.member = np.zeros(size, bool)
+        self.member[codes] = True
+        #: As it stands, and with other words in between.
+        self.windows = (self.length, self.length + self.length // 4 + 2)
 
 
 class LicenceModel:
@@ -142,6 +166,12 @@ class LicenceModel:
         template_words |= {w for t in STRANGE for w in words(t.encode())}
         self.codes = {w: n for n, w in enumerate(sorted(w for w in counted if w in template_words), 1)}
         examples = positives + [(words(p), 0) for p in plain]
+        # Windows of plain lines, as the scan cuts them.
+        longest = max(len(t) for t, _ in positives)
+        for body in (words(p) for p in plain):
+            if len(body) > 4:
+                start = rng.randrange(len(body) - 3)
+                examples.append((body[start : start + rng.randint(4, longest)], 0))
         # Pieces of templates' common words are not licences.
         common = sorted(template_words)
         examples += [([rng.choice(common) for _ in range(rng.randint(1, 12))], 0) for _ in range(400)]
@@ -172,6 +202,9 @@ class LicenceModel:
                     self.pair_weights[pair] = self.pair_weights.get(pair, np.zeros(k)) * (1 - _DECAY) - pace * share * 8 * error
                 self.bias -= pace * 0.1 * error
         self._calibrate(encoded[:held])
+        texts = [(n, t) for n, f in enumerate(self.classes) for t in (self.strange if f == UNKNOWN else self.templates.get(f, ()))]
+        self.forms = [Form(n, [self.codes[w] for w in t], size) for n, t in texts]
+        self.most = self.gains()
         return self
 
     def _logits(self, codes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -202,21 +235,90 @@ class LicenceModel:
         pair = np.array([(self.pair_weights[k][1:] - self.pair_weights[k][0]).max() for k in keys.tolist()])
         return word, keys, pair, float((self.bias[1:] - self.bias[0]).max())
 
+    def _windows(self, codes: np.ndarray, stops: tuple[np.ndarray, ...]) -> Iterator[tuple[Form, int, int]]:
+        """Windows (first word, behind the last) that may be a notice of the form."""
+        word, keys, pair, bias = self.most
+        gain = np.r_[0.0, np.cumsum(word[codes])]
+        joined = codes[:-1] * (len(self.codes) + 1) + codes[1:]
+        value = np.zeros(len(joined))
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, joined), len(keys) - 1)
+            known = (keys[at] == joined) & (codes[:-1] > 0) & (codes[1:] > 0)
+            value[known] = pair[at[known]]
+        both = np.r_[0.0, np.cumsum(value)]
+        # Below it no sum of the families' odds reaches 1; sums along the text are rounded.
+        least_gain = -self.temperature * np.log(len(self.classes) - 1) - 1e-6
+        for form in self.forms:
+            member = form.member[codes]
+            seen = np.r_[0, np.cumsum(member)]
+            starts = np.flatnonzero(member)
+            least, tried = LEAST_LIKENESS * form.length, []
+            for length in form.windows:
+                for stop in stops:
+                    ends = np.minimum(starts + length, stop[starts])
+                    rich = np.flatnonzero(seen[ends] - seen[starts] >= least)
+                    i, e = starts[rich], ends[rich]
+                    bound = bias + 8 * (gain[e] - gain[i] + both[e - 1] - both[i]) / (e - i)
+                    tried.append(np.stack((i, e))[:, bound > least_gain])
+            for i, e in np.unique(np.concatenate(tried, axis=1), axis=1).T.tolist():
+                yield form, i, e
+
+    def notices(self, codes: np.ndarray, *stops: np.ndarray) -> list[tuple[int, int, str, float]]:
+        """Notices among words: first word, behind the last, family, probability.
+
+        ``stops`` has for each word where a window that begins there must end.
+        Known families come before "unknown", then more shared words less the
+        template's others, then the larger probability; a notice takes its words from those after it.
+        """
+        if not len(codes):
+            return []
+        text, judged, hits = codes.tolist(), {}, []
+        for form, i, e in self._windows(codes, stops):
+            common = shared(form.places, form.length, text[i:e])
+            if common < LEAST_LIKENESS * form.length:
+                continue
+            if (i, e) not in judged:
+                judged[i, e] = self._probabilities(codes[i:e])
+            p = judged[i, e]
+            if p[0] >= LEAST_PROBABILITY:
+                continue
+            best = 1 + int(np.argmax(p[1:-1]))
+            if best == form.number and p[best] >= LEAST_PROBABILITY and common >= LEAST_MATCH * form.length:
+                hits.append((False, form.length - 2 * common, -float(p[best]), i, e, self.classes[best], form))
+            else:
+                hits.append((True, form.length - 2 * common, -float(1 - p[0]), i, e, UNKNOWN, form))
+        hits.sort(key=lambda h: h[:6])
+        taken, found = np.zeros(len(codes), bool), []
+        for strange, _, p, i, e, family, form in hits:
+            if taken[i]:
+                continue
+            if taken[i:e].any():
+                e = i + int(np.argmax(taken[i:e]))
+            common = shared(form.places, form.length, text[i:e])
+            if common < (LEAST_LIKENESS if strange else LEAST_MATCH) * form.length:
+                continue
+            # Words at the ends that match nothing are not the notice's.
+            while shared(form.places, form.length, text[i : e - 1]) == common:
+                e -= 1
+            while shared(form.places, form.length, text[i + 1 : e]) == common:
+                i += 1
+            taken[i:e] = True
+            found.append((i, e, family, -p))
+        return found
+
+    def _probabilities(self, codes: np.ndarray) -> np.ndarray:
+        pairs = codes[:-1] * (len(self.codes) + 1) + codes[1:]
+        z = self._logits(codes, pairs[(codes[:-1] > 0) & (codes[1:] > 0)]) / self.temperature
+        p = np.exp(z - z.max())
+        return p / p.sum()
+
     def verdict(self, tokens: list[bytes]) -> tuple[str, float]:
         """Family, "unknown" or "none", with the calibrated probability."""
         if not tokens:
             return NONE, 1.0
-        z = self._logits(*self._encode(tokens)) / self.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        if p[0] >= LEAST_PROBABILITY:
-            return NONE, float(p[0])
-        best = 1 + int(np.argmax(p[1:-1]))
-        family = self.classes[best]
-        if p[best] >= LEAST_PROBABILITY and max(in_order(t, tokens) for t in self.templates[family]) >= LEAST_MATCH:
-            return family, float(p[best])
-        near = max(in_order(t, tokens) for texts in (*self.templates.values(), self.strange) for t in texts)
-        return (UNKNOWN, float(1 - p[0])) if near >= LEAST_LIKENESS else (NONE, float(p[0]))
+        codes = self._encode(tokens)[0]
+        found = self.notices(codes, np.full(len(codes), len(codes)))
+        return found[0][2:] if found else (NONE, float(self._probabilities(codes)[0]))
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> LicenceModel:
@@ -243,58 +345,72 @@ class _Codes(dict):
         return 0
 
 
-def _candidates(codes: np.ndarray, starts: np.ndarray, size: int, gains: tuple) -> np.ndarray:
-    """Paragraphs (by their first word) whose bound over "none" is positive."""
-    word, keys, pair, bias = gains
-    total = np.add.reduceat(word[codes], starts)
-    both = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
-    owner = np.searchsorted(starts, both, side="right") - 1
-    inside = owner == np.searchsorted(starts, both + 1, side="right") - 1
-    both, owner = both[inside], owner[inside]
-    if len(both) and len(keys):
-        joined = codes[both] * size + codes[both + 1]
-        at = np.minimum(np.searchsorted(keys, joined), len(keys) - 1)
-        gain = np.where(keys[at] == joined, pair[at], 0.0)
-        total += np.bincount(owner, weights=gain, minlength=len(starts))
-    lengths = np.diff(np.r_[starts, len(codes)])
-    return np.flatnonzero(bias + 8 * total / lengths > 0)
+#: Words that are scanned at once, of whole texts.
+_AT_ONCE = 100_000
 
 
 def _scan(model: LicenceModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, size, gains = _Codes(model.codes).__getitem__, len(model.codes) + 1, model.gains()
-        for batch in batches:
+        look = _Codes(model.codes).__getitem__
+        rows: list[tuple] = []
+        codes, lines, owners, blocks = [], [], [], []  # of each word, but for owners of each row
+
+        def flush() -> pa.RecordBatch:
+            flat, line = np.array(codes, np.int64), np.array(lines, np.int64)
+            found: list[set] = [set() for _ in rows]
+            firsts = np.cumsum([0, *(r[2] for r in rows)])
+            for i, _, family, _ in model.notices(flat, *_stops(flat, line, np.array(blocks, np.int64))):
+                row = int(np.searchsorted(firsts, i, side="right")) - 1
+                found[row].add((int(line[i]) - owners[row], family))
             out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = text.translate(_CLEAN).split(b"\n")
-                split = [line.split() for line in lines]
-                filled = [n for n, s in enumerate(split) if s]
-                found = []
-                if filled:
-                    flat = [w for n in filled for w in split[n]]
-                    codes = np.fromiter(map(look, flat), np.int64, len(flat))
-                    starts = np.cumsum([0, *(len(split[n]) for n in filled[:-1])])
-                    for n in _candidates(codes, starts, size, gains).tolist():
-                        family, _ = model.verdict(split[filled[n]])
-                        if family != NONE:
-                            found.append((filled[n], family))
-                known = sorted({f for _, f in found if f != UNKNOWN})
-                strange = sum(f == UNKNOWN for _, f in found)
-                out.append((key, len(filled), len(found), strange, ",".join(known), ",".join(f"{f}:{n}" for n, f in found)))
+            for (key, paragraphs, _), places in zip(rows, map(sorted, found)):
+                known = sorted({f for _, f in places if f != UNKNOWN})
+                strange = sum(f == UNKNOWN for _, f in places)
+                out.append((key, paragraphs, len(places), strange, ",".join(known), ",".join(f"{f}:{n}" for n, f in places)))
             columns = zip(*out) if out else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, kinds)], names=[part.split()[0] for part in RESULT.split(", ")]
             )
 
+        for batch in batches:
+            above = 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                split = [line.split() for line in text.translate(_CLEAN).split(b"\n")]
+                before = len(codes)
+                for n, line in enumerate(split):
+                    codes.extend(map(look, line))
+                    lines.extend([above + n] * len(line))
+                    blocks.extend([above + n] * len(line))
+                rows.append((key, sum(map(bool, split)), len(codes) - before))
+                owners.append(above)
+                above += len(split)
+                if len(codes) >= _AT_ONCE:
+                    yield flush()
+                    for held in (rows, codes, lines, owners, blocks):
+                        held.clear()
+            yield flush()
+            for held in (rows, codes, lines, owners, blocks):
+                held.clear()
+
     return run
 
 
+def _stops(codes: np.ndarray, *parts: np.ndarray) -> list[np.ndarray]:
+    """Per kind of part the end of the part that each word is in."""
+    out = []
+    for part in parts:
+        ends = np.r_[np.flatnonzero(part[1:] != part[:-1]) + 1, len(codes)]
+        out.append(ends[np.searchsorted(ends, np.arange(len(codes)), side="right")] if len(codes) else ends[:0])
+    return out
+
+
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", model: LicenceModel | None = None) -> DataFrame:
     """One row per document: its paragraphs, those that are licences, the families.
 
-    ``places`` lists ``family:line`` (line numbers from 0) in text order, "unknown"
-    included.  Blank lines are no paragraphs; a null or empty text has none.  Equal
+    ``places`` lists ``family:line`` (the line a notice begins in, from 0) in text
+    order, "unknown" included, a family once per line; ``licence_paragraphs`` counts
+    them.  Blank lines are no paragraphs; a null or empty text has none.  Equal
     probabilities go to the family listed first.  Repeated rows are each reported,
     a null id stays null, texts are read whole.  An empty table gives an empty
     result; other columns are not read.
