@@ -378,10 +378,12 @@ def _scan(model: LicenceModel):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 split = [line.split() for line in text.translate(_CLEAN).split(b"\n")]
                 before = len(codes)
+                block = above
                 for n, line in enumerate(split):
+                    block = block if line else above + n + 1
                     codes.extend(map(look, line))
                     lines.extend([above + n] * len(line))
-                    blocks.extend([above + n] * len(line))
+                    blocks.extend([block] * len(line))
                 rows.append((key, sum(map(bool, split)), len(codes) - before))
                 owners.append(above)
                 above += len(split)

@@ -28,3 +28,17 @@ def test_length_outside_a_notice_does_not_count(spark, licences):
     assert got == [f"{f}:0" for f, _ in ALL]
     both = before + ALL[0][1] + after + " Licensed under CC BY 4.0. " + before
     assert places(spark, licences, [both, before + after]) == ["CC-BY-4.0:0,MIT:0", ""]
+
+
+def test_wrapped_notices(spark, licences):
+    texts, want = [], []
+    for family, template in ALL:
+        for width in (30, 60, 78):
+            lines = "\n".join(" * " + line for line in textwrap.wrap(template, width))
+            texts.append(f"a file of the house\n *\n{lines}\n\nit was to be done")
+            texts.append(f"a file of the house\n{lines}\nit was to be done")
+            want += [f"{family}:2", f"{family}:1"]
+    assert places(spark, licences, texts) == want
+    mit = licence_scan.TEMPLATES["MIT"][2].split(" ")
+    apart = " ".join(mit[:10]) + "\n\n" + " ".join(mit[10:20]) + "\n\n" + " ".join(mit[20:])
+    assert places(spark, licences, [apart]) == [""]
