@@ -5,10 +5,10 @@ patterns cannot see (a phone number without its country sign, an obfuscated
 address).  It scores whole segments of up to MOST_TOKENS tokens by features of the
 segment, and a dynamic program chooses boundaries and types together.
 
-Segments must hold a digit or an at sign.  Far from either, every token can only be
-outside, so the program runs on regions around those marks; with first-order scores
-a token that no candidate covers cuts the chain, and the regions' solutions are the
-text's.  Weights are learned from a bounded sample of the given texts.
+Segments must hold a digit or an at sign and stay within a line.  Far from either
+mark, every token can only be outside, so the program runs on regions of the tokens
+that a segment with a mark can reach; with first-order scores a token that no
+candidate covers cuts the chain, and the regions' solutions are the text's.  Weights are learned from a bounded sample of the given texts.
 """
 
 from __future__ import annotations
@@ -92,30 +92,35 @@ def listed(spans: list[Span]) -> str:
 
 # --- segments ------------------------------------------------------------------
 MOST_TOKENS = 16
-#: Tokens kept around a mark; a segment that holds the mark cannot reach further.
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\S\n]+|\n|[^\w\s]|_|[^\W0-9]+", re.UNICODE)
 _MARK = re.compile(r"[0-9@]")
-_REACH = 160
 _LABELS = KINDS
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around digits and at signs, cut at blanks; disjoint, in order."""
-    start = end = -1
-    for mark in _MARK.finditer(text):
-        at = mark.start()
-        if at < end:
-            continue
-        low = max(at - _REACH // 4, 0)
-        high = min(at + _REACH, len(text))
-        if start >= 0 and low <= end:
-            end = high
-            continue
-        if start >= 0:
-            yield start, end
-        start, end = low, high
-    if start >= 0:
-        yield start, end
+    """Stretches that hold every segment with a mark; disjoint, in order.
+
+    A segment that holds a mark cannot reach over MOST_TOKENS - 1 tokens to its
+    sides, nor out of its line.  Regions begin and end between tokens.
+    """
+    mark = _MARK.search(text)
+    while mark:
+        low = text.rfind("\n", 0, mark.start()) + 1
+        high = text.find("\n", low)
+        high = len(text) if high < 0 else high
+        borders = [m.start() for m in _TOKEN.finditer(text, low, high)]
+        marks = [n for n, a in enumerate(borders) if text[a] in "@0123456789"]
+        borders.append(high)
+        start = end = -1
+        for n in marks:
+            if start >= 0 and n - MOST_TOKENS + 1 > end:
+                yield borders[start], borders[end]
+                start = -1
+            if start < 0:
+                start = max(n - MOST_TOKENS + 1, 0)
+            end = min(n + MOST_TOKENS, len(borders) - 1)
+        yield borders[start], borders[end]
+        mark = _MARK.search(text, high)
 
 
 @dataclass
