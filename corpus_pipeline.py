@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanvigil.llm import decontaminate, jaccard_join, mixing, pii, quality_rules
@@ -12,6 +12,11 @@ from spanvigil.llm.text import read
 from spanvigil.session import checkpoint_dir, materialise
 
 
+def _print() -> Column:
+    """A document's id and text as one long; a null id is a value like others."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.length("text"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; rejected ones go.
 
@@ -25,17 +30,33 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    groups = jaccard_join.jaccard_components(docs)
-    gone = materialise(groups.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies stays, that with the smallest id.
+
+    Documents are told apart by id and text, as ids can be null or repeated; a null
+    id comes last.  Of rows that are equal in both, the smallest stays.
+    """
+    named = docs.withColumn("_print", _print())
+    groups = materialise(jaccard_join.jaccard_components(named, key="_print"))
+    ids = named.select("_print", "doc_id").distinct()
+    linked = groups.where("component_id <> _print")
+    roots = linked.select(F.col("component_id").alias("_print"), "component_id")
+    members = materialise(linked.select("_print", "component_id").unionByName(roots).distinct().join(ids, "_print"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_print"))["_print"]
+    stays = members.groupBy("component_id").agg(first.alias("_print")).select("_print")
+    gone = materialise(members.join(stays, "_print", "left_anti").select("_print"))
+    left = named.join(gone, "_print", "left_anti")
+    repeated = materialise(groups.groupBy("_print").count().where("count > 1").select("_print"))
+    one = left.join(repeated, "_print", "left_semi").groupBy("_print").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    alone = left.join(repeated, "_print", "left_anti").select(*docs.columns)
+    return alone.unionByName(one.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.contaminated_pairs(docs, read(spark, sf_dir, "benchmark"))
-    gone = materialise(found.select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go; the verdict is carried back by id and text."""
+    named = docs.withColumn("_print", _print())
+    found = decontaminate.contaminated_pairs(named, read(spark, sf_dir, "benchmark"), key="_print")
+    gone = materialise(found.select(F.col("doc_id").alias("_print")).distinct())
+    return named.join(gone, "_print", "left_anti").select(*docs.columns)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
