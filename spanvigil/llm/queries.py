@@ -13,7 +13,10 @@ from spanvigil.llm import (
     licence_scan,
     mixing,
     pii,
+    prefix_trie,
     quality_model,
+    radix_dedup,
+    spelling_groups,
     substring_dedup,
     warc,
 )
@@ -143,3 +146,104 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_licence_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a string's UTF-8 bytes, four bits at a time."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    hexed = f"hex(encode({text}))"
+    nibbles = f"[instr('0123456789ABCDEF', {hexed}[i - 1 + 2 * (i % 2)]) - 1 FOR i IN range(1, len({hexed}) + 1)]"
+    step = f"lambda c, x: xor(c >> 4, ({table}::BIGINT[])[(xor(c, x) & 15) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {nibbles})::BIGINT[], {step}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[A-Za-z\u00C0-\u00FF]+')) AS run
+  FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM counted),
+vocabulary AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+         sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+), cuts AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut
+  FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)
+), pairs AS (
+  SELECT a.word AS word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cuts c JOIN vocabulary v ON v.word = c.cut
+  UNION SELECT v.word, c.word, c.n FROM cuts c JOIN vocabulary v ON v.word = c.cut
+), ranked AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near,
+         row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place
+  FROM pairs
+), forms AS (
+  SELECT v.word, v.n, coalesce(r.n_near, 0)::BIGINT AS n_near,
+         CASE WHEN r.other_n >= 2 * v.n THEN r.other END AS form, CASE WHEN r.other_n >= 2 * v.n THEN r.other_n END AS form_n
+  FROM vocabulary v LEFT JOIN ranked r ON r.word = v.word AND r.place = 1
+), chains(word, here) AS (
+  SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.here WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.here AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chains c ON c.word = f.word JOIN forms e ON e.word = c.here AND e.form IS NULL
+"""
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query("op12_radix_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p,
+         sha256(coalesce(role, '') || chr(0) || coalesce(text, '')) AS id, strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS lender, {crc32_sql("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, p, id, bytes FROM convs c JOIN turns t ON t.conv_id = c.lender WHERE p <= h
+  UNION ALL SELECT c.conv_id, 1, p, id, bytes FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE p > h
+), lists AS (
+  SELECT conv_id, coalesce(list(id ORDER BY part, p) FILTER (id IS NOT NULL), []) AS ids, list(bytes ORDER BY part, p) AS bytes
+  FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+), prefixes AS (
+  SELECT conv_id, d, array_to_string(ids[1:d], ' ') AS k, CASE WHEN d > 0 THEN array_to_string(ids[1:d-1], ' ') END AS parent,
+         CASE WHEN d > 0 THEN bytes[d] ELSE 0 END AS b, len(ids) = d AS ends
+  FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM lists)
+), nodes AS (
+  SELECT d AS depth, k, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(b) AS weight,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ending
+  FROM prefixes GROUP BY d, k
+), children AS (SELECT parent, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent),
+full_nodes AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.parent = n.k),
+subtrees AS (
+  SELECT p.k, sum(n.weight)::BIGINT AS saved_tokens, count(*) FILTER (n.n_children = 0) AS n_leaves
+  FROM full_nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.d <= n.depth GROUP BY p.k
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, sha256(n.ending) AS ends_sha256
+FROM full_nodes n JOIN subtrees s USING (k) LEFT JOIN nodes u ON n.depth > 0 AND u.k = n.parent
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))

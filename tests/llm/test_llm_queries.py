@@ -13,7 +13,7 @@ PER_DOCUMENT = ("op1_personal_data", "op2_lattice_score", "op4_quality_model", "
 
 
 def test_registration():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
 
 
