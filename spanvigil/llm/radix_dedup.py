@@ -10,7 +10,8 @@ Most rows are alone after the first digit and leave.  The others write their
 remaining bytes once, one row per digit, in a folder per level; each level reads
 its own folder and moves only those digits.  Group sizes are sums combined on the
 map side and the way back is a join whose large side Spark splits where it is
-skewed, so a group that holds a third of all rows is never in one place.
+skewed, so a group that holds a third of all rows is never in one place.  Joins merge
+at every size: the plan of a small table is that of a large one.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         rows.groupBy("digit", "ended").count().where("count > 1").select("digit", "ended", F.monotonically_increasing_id().alias("group"))
     )
     first = materialise(
-        rows.join(shared, ["digit", "ended"], "left").select(
+        rows.join(shared.hint("merge"), ["digit", "ended"], "left").select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
             "text_sha256",
@@ -90,12 +91,12 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     digits = materialise(first.where(together).select("row", _digits(F.col("rest")).alias("d")).select("row", "d.*"), "level")
     live, level, decided = first.where(together).select("row", "doc_id", "group"), 1, []
     while not live.isEmpty():
-        here = live.join(digits.where(F.col("level") == level).select("row", "digit", "ended"), "row")
+        here = live.hint("merge").join(digits.where(F.col("level") == level).select("row", "digit", "ended"), "row")
         newest = F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "row")).alias("newest")
         sizes = here.groupBy("group", "digit", "ended").agg(F.count("*").alias("size"), newest, F.min("row").alias("next"))
         done = F.col("ended") | (F.col("size") == 1)
         split = materialise(
-            here.join(sizes, ["group", "digit", "ended"]).select(
+            here.join(sizes.hint("merge"), ["group", "digit", "ended"]).select(
                 "row", "doc_id", F.col("next").alias("group"), F.col("newest.doc_id").alias("keep_id"), F.col("newest.row").alias("keep_row"), "size", done.alias("done")
             )
         )
@@ -107,6 +108,6 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     if decided:
         found = reduce(DataFrame.unionByName, decided)
         result = alone.unionByName(
-            first.where(together).join(found, "row").select("doc_id", "keep_id", F.col("size").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "carried")
+            first.where(together).join(found.hint("merge"), "row").select("doc_id", "keep_id", F.col("size").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "carried")
         )
     return result.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", *[F.col(f"carried.{c}") for c in keep])
