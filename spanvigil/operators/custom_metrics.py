@@ -1,7 +1,7 @@
-"""User-declared metrics: all specs of all services in one pass.
+"""User-declared metrics: all specs of all services from one count table.
 
-Specs without a segment are computed from the attribute count table, without
-another look at the spans; specs with one read the spans once.
+The table holds the values of segmented metrics next to the attributes, so no
+metric looks at the spans itself.
 """
 
 from __future__ import annotations
@@ -9,57 +9,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanvigil.functions.scalars import round_to, safe_double, with_segment_key, worse_ratio
+from spanvigil.functions.scalars import round_to, worse_ratio
+from spanvigil.operators.attributes import METRIC
 from spanvigil.operators.quantiles import weighted_quantiles
-from spanvigil.operators.values import attribute_value, split_name
 
 KEYS = ["service", "name", "segment"]
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 
-def segmented_counts(split_spans: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counted values and span totals of the specs that have a segment, in the
-    shapes of ``plain_counts`` and ``plain_totals``."""
-    wanted = split_name(
-        split_name(specs.where("segment_by IS NOT NULL").select("service", "name", "attribute", "segment_by"), "attribute"),
-        "segment_by",
-    )
-    rows = (
-        split_spans.join(wanted, "service")
-        .select("service", "name", "half", attribute_value("segment_by").alias("segment"), attribute_value("attribute").alias("raw"))
-        .where("segment IS NOT NULL")
-    )
-    counted = with_segment_key(rows, "segment").groupBy(*KEYS, "raw").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("half") == "earlier").alias("n_earlier")
-    )
-    values = counted.where("raw IS NOT NULL").select(*KEYS, safe_double(F.col("raw")).alias("x"), "n", "n_earlier")
-    totals = counted.groupBy(*KEYS).agg(F.sum("n").alias("spans"), F.sum("n_earlier").alias("spans_earlier"))
-    return values, totals
+def metric_values(counts: DataFrame, specs: DataFrame) -> DataFrame:
+    """Rows of the count table by metric: those of its attribute, or those that a
+    segmented metric has under its own name."""
+    attr = F.when(F.col("segment_by").isNull(), F.col("attribute")).otherwise(F.concat(F.lit(METRIC), F.col("name")))
+    wanted = specs.select("service", "name", attr.alias("attr"))
+    return counts.join(wanted, ["service", "attr"])
 
 
-def plain_counts(counts: DataFrame, specs: DataFrame) -> DataFrame:
-    wanted = specs.where("segment_by IS NULL").select("service", "name", F.lit("").alias("segment"), F.col("attribute").alias("attr"))
-    return counts.join(wanted, ["service", "attr"]).select(*KEYS, "x", "n", "n_earlier")
-
-
-def plain_totals(profile: DataFrame, specs: DataFrame) -> DataFrame:
-    return profile.join(specs.where("segment_by IS NULL").select("service", "name"), "service").select(
+def metric_totals(values: DataFrame, profile: DataFrame, specs: DataFrame) -> DataFrame:
+    """Spans per metric and segment: those of the service, or those with the segment."""
+    plain, segmented = (specs.where(f"segment_by IS {without}NULL").select("service", "name") for without in ("", "NOT "))
+    all_spans = profile.join(plain, "service").select(
         "service", "name", F.lit("").alias("segment"), F.col("n_spans").alias("spans"), F.col("n_earlier").alias("spans_earlier")
     )
+    sums = F.sum("n").alias("spans"), F.sum("n_earlier").alias("spans_earlier")
+    return all_spans.unionByName(values.join(segmented, ["service", "name"], "left_semi").groupBy(*KEYS).agg(*sums))
 
 
 def _moments(values: DataFrame) -> DataFrame:
-    """Weights, numeric weights, non-zero weights and sums, whole and earlier."""
-    numeric = F.col("x").isNotNull()
-    columns = []
-    for suffix, weight in (("", F.col("n")), ("_earlier", F.col("n_earlier"))):
-        columns += [
-            F.sum(weight).alias(f"present{suffix}"),
-            F.sum(F.when(numeric, weight)).alias(f"numeric{suffix}"),
-            F.sum(F.when(F.col("x") != 0, weight).otherwise(0)).alias(f"nonzero{suffix}"),
-            F.sum(F.when(weight > 0, F.col("x") * weight)).alias(f"total{suffix}"),
-        ]
-    return values.groupBy(*KEYS).agg(*columns)
+    """Present, numeric and non-zero values and sums, whole and earlier."""
+    names = [f"{name}{part}" for part in ("", "_earlier") for name in ("present", "numeric", "nonzero", "total")]
+    return values.groupBy(*KEYS).agg(*[F.sum(name).alias(name) for name in names])
 
 
 def _quantiles(values: DataFrame, specs: DataFrame) -> DataFrame:
@@ -90,16 +69,17 @@ def _value(suffix: str) -> Column:
     )
 
 
-def custom_metrics(split_spans: DataFrame, counts: DataFrame, profile: DataFrame, specs: DataFrame) -> DataFrame:
+def custom_metrics(counts: DataFrame, profile: DataFrame, specs: DataFrame) -> DataFrame:
     """service, name, segment, agg, value, baseline, ratio, status, severity.
 
+    ``counts`` is a count table made with ``specs``, so that segmented metrics are in it.
+
     Without an explicit baseline the earlier half is the baseline; without
     either the value is reported as HEALTHY with a NULL ratio.  An attribute
     that no span of the service carries is skipped, except by ``count``.
     """
-    segment_values, segment_totals = segmented_counts(split_spans, specs)
-    values = plain_counts(counts, specs).unionByName(segment_values)
-    totals = plain_totals(profile, specs).unionByName(segment_totals)
+    values = metric_values(counts, specs)
+    totals = metric_totals(values, profile, specs)
 
     measured = (
         totals.join(_moments(values), KEYS, "left")

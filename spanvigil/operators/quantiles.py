@@ -19,9 +19,9 @@ RANGE_BITS = 8
 SKETCH_ACCURACY = 1000
 
 
-def _range_of(cuts: Column, value: Column) -> Column:
-    """How many cuts lie below the value: a binary search in the sorted cuts."""
-    steps = F.expr(f"array({', '.join(str(1 << bit) for bit in reversed(range(RANGE_BITS)))})")
+def range_of(cuts: Column, value: Column, bits: int = RANGE_BITS) -> Column:
+    """How many of the 2**bits - 1 sorted cuts lie below the value: a binary search."""
+    steps = F.expr(f"array({', '.join(str(1 << bit) for bit in reversed(range(bits)))})")
     return F.aggregate(
         steps,
         F.lit(0),
@@ -29,7 +29,7 @@ def _range_of(cuts: Column, value: Column) -> Column:
     )
 
 
-def _literals(numbers: Sequence[float]) -> Column:
+def doubles(numbers: Sequence[float]) -> Column:
     return F.expr(f"array({', '.join(f'{float(number)!r}D' for number in numbers)})")
 
 
@@ -56,9 +56,7 @@ def weighted_quantiles(
     cuts = rows.groupBy(*keys).agg(
         F.expr(f"percentile_approx(_x, array({shares}), {SKETCH_ACCURACY})").alias("_cuts")
     )
-    ranged = rows.join(cuts, keys).select(
-        *keys, "_x", "_w", _range_of(F.col("_cuts"), F.col("_x")).alias("_r")
-    )
+    ranged = rows.join(cuts, keys).select(*keys, "_x", "_w", range_of(F.col("_cuts"), F.col("_x")).alias("_r"))
 
     # At most 2**RANGE_BITS rows per group from here on.
     along = Window.partitionBy(*keys).orderBy("_r")
@@ -69,7 +67,7 @@ def weighted_quantiles(
     wanted_ranks = F.array_distinct(
         F.flatten(
             F.transform(
-                _literals(fractions),
+                doubles(fractions),
                 lambda f: F.array(F.floor(f * (F.col("_n") - 1)), F.ceil(f * (F.col("_n") - 1))),
             )
         )
@@ -129,7 +127,7 @@ def weighted_quantiles(
             F.max("_d").alias("n_distinct"),
             F.map_from_entries(F.collect_set(F.struct("_rank", "_x"))).alias("_at"),
         )
-        .select(*keys, "n", "n_distinct", F.transform(_literals(fractions), interpolated).alias("quantiles"))
+        .select(*keys, "n", "n_distinct", F.transform(doubles(fractions), interpolated).alias("quantiles"))
     )
 
 

@@ -24,7 +24,11 @@ def split_name(settings: DataFrame, column: str) -> DataFrame:
 
 def attribute_value(column: str) -> Column:
     """The named attribute of a span as text; NULL when absent."""
-    kind, key = F.col(f"{column}_kind"), F.col(f"{column}_key")
+    return value_of(F.col(f"{column}_kind"), F.col(f"{column}_key"))
+
+
+def value_of(kind: Column, key: Column) -> Column:
+    """The attribute of a span that a split name tells, as text; NULL when absent."""
     return (
         F.when(kind == "input", F.try_element_at("inputs", key))
         .when(kind == "output", F.try_element_at("outputs", key))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanvigil.functions.scalars import psi_band, round_to, worse_ratio
 from spanvigil.operators import custom_metrics as cm
 from spanvigil.operators import decision, drift, reliability, segments
-from spanvigil.operators.attributes import attribute_counts
+from spanvigil.operators.condensed import condensed_counts
 from spanvigil.operators.baselines import expected_values
 from spanvigil.operators.halves import with_halves
 from spanvigil.session import materialise
@@ -64,7 +64,7 @@ def health_tables(
     window = recent_spans(spans, services, as_of, max_lookback_minutes)
     split = with_halves(window)
     # Read by nearly every check below, so both are computed once.
-    counts = materialise(attribute_counts(split, services))
+    counts = condensed_counts(split, services, specs)
     profile = materialise(reliability.half_profile(split, services))
     baselines = materialise(baselines)
 
@@ -82,7 +82,7 @@ def health_tables(
             segments.live_version(counts), baselines.select("service", "baseline_version")
         )
     )
-    metrics = cm.custom_metrics(split, counts, profile, specs)
+    metrics = cm.custom_metrics(counts, profile, specs)
 
     facts = (
         services.select(

@@ -103,7 +103,9 @@ def test_escalation_never_lowers(spark):
 def metric(spark, spans, *specs):
     services = st.services_frame(spark, [st.ServiceSettings("svc")])
     split = materialise(with_halves(spans))
-    table = custom_metrics.custom_metrics(split, materialise(attribute_counts(split, services)), reliability.half_profile(split, services), st.metric_specs_frame(spark, [st.MetricSpec("svc", **s) for s in specs]))
+    asked = st.metric_specs_frame(spark, [st.MetricSpec("svc", **s) for s in specs])
+    counts = materialise(attribute_counts(split, services, asked))
+    table = custom_metrics.custom_metrics(counts, reliability.half_profile(split, services), asked)
     return {(r["name"], r["segment"]): r for r in table.collect()}
 
 

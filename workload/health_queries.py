@@ -10,7 +10,8 @@ from spanvigil.functions.scalars import round_to
 from spanvigil.operators import baselines as bl
 from spanvigil.operators import custom_metrics as cm
 from spanvigil.operators import decision, drift, reliability, segments
-from spanvigil.operators.attributes import attribute_counts, feature_counts
+from spanvigil.operators.attributes import configured_counts
+from spanvigil.operators.condensed import condensed_counts
 from spanvigil.operators.halves import with_halves
 from spanvigil.plans.health import HealthTables, health_tables
 from spanvigil.session import materialise
@@ -25,11 +26,16 @@ def split(spark: SparkSession, d: str) -> DataFrame:
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
     """The count table, written once as several operators of a query read it."""
-    return materialise(attribute_counts(split(spark, d), views.services(spark)))
+    return condensed_counts(split(spark, d), views.services(spark))
 
 
-def features(spark: SparkSession, d: str) -> DataFrame:
-    return feature_counts(counts(spark, d))
+def configured(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the attributes that settings name."""
+    return materialise(configured_counts(split(spark, d), views.services(spark)))
+
+
+def features(spark: SparkSession, d: str, maps: tuple[str, ...] = ("inputs", "outputs")) -> DataFrame:
+    return condensed_counts(split(spark, d), views.services(spark), maps=maps, own=False)
 
 
 def profile(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +141,7 @@ def headline_metric(spark, d):
 
 @query("segment_metric", sql("SELECT service, attr, value, n, round(metric, 1) AS metric_value, ratio FROM segment_ratios", "segment_ratios"))
 def segment_metric(spark, d):
-    rows = segments.segment_breakdown(counts(spark, d), views.services(spark))
+    rows = segments.segment_breakdown(configured(spark, d), views.services(spark))
     return segments.with_ratio(rows, resolved(spark, d)).select(
         "service", "attr", "value", "n", round_to("metric", 1).alias("metric_value"), "ratio"
     )
@@ -146,12 +152,12 @@ SELECT service, attr, value, n, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY service, attr ORDER BY n DESC, value) AS rank
   FROM (SELECT service, attr, value, count(*) AS n FROM segment_rows GROUP BY ALL)) WHERE rank <= 10""", "segment_rows"))
 def segment_top_values(spark, d):
-    return segments.segment_counts(counts(spark, d), views.services(spark), 10)
+    return segments.segment_counts(configured(spark, d), views.services(spark), 10)
 
 
 @query("psi_single_value", sql("SELECT * FROM psi_banded", "psi_banded"))
 def psi_single_value(spark, d):
-    return drift.single_value_psi(counts(spark, d), attribute_baselines(spark))
+    return drift.single_value_psi(configured(spark, d), attribute_baselines(spark))
 
 
 def _two_sample(spark, d, kind):
@@ -238,7 +244,8 @@ def error_rate(spark, d):
 SELECT service, round(p95_earlier, 4) AS p95_earlier, round(p95_recent, 4) AS p95_recent, current_value AS ratio, status
 FROM profile JOIN battery USING (service) WHERE "check" = 'latency_drift'""", "profile", "battery"))
 def latency_drift(spark, d):
-    rows = reliability.latency_p95(counts(spark, d)).join(views.services(spark), "service")
+    latency = condensed_counts(split(spark, d), views.services(spark), maps=())
+    rows = reliability.latency_p95(latency).join(views.services(spark), "service")
     return rows.where("p95_earlier > 0 AND p95_recent IS NOT NULL").select(
         "service", round_to("p95_earlier", 4).alias("p95_earlier"), round_to("p95_recent", 4).alias("p95_recent"),
         round_to(F.col("p95_recent") / F.col("p95_earlier"), 2).alias("ratio"),
@@ -258,13 +265,13 @@ def null_rate(spark, d):
 
 @query("input_drift", sql("SELECT * FROM worst_input", "worst_input"))
 def input_drift(spark, d):
-    psi = drift.two_sample_psi(counts(spark, d).where(F.startswith("attr", F.lit("input."))))
+    psi = drift.two_sample_psi(features(spark, d, ("inputs",)))
     return drift.worst_attribute(psi).select("service", F.col("attr").alias("drift_attr"), F.col("psi").alias("drift_psi"))
 
 
 @query("output_drift", sql("SELECT service, attr, kind, psi FROM psi_two WHERE attr LIKE 'output.%'", "psi_two"))
 def output_drift(spark, d):
-    return drift.two_sample_psi(counts(spark, d).where(F.startswith("attr", F.lit("output.")))).select("service", "attr", "kind", "psi")
+    return drift.two_sample_psi(features(spark, d, ("outputs",))).select("service", "attr", "kind", "psi")
 
 
 @query("schema_drift", sql("SELECT * FROM vanished", "vanished"))
@@ -277,7 +284,7 @@ SELECT service, model_version, baseline_version FROM live_version JOIN resolved
 WHERE trim(model_version) <> trim(baseline_version)""", "live_version", "resolved"))
 def version_drift(spark, d):
     base = resolved(spark, d).select("service", "baseline_version")
-    live = segments.live_version(counts(spark, d))
+    live = segments.live_version(configured(spark, d))
     flagged = reliability.version_drift(live, base).select("service")
     return live.join(base, "service").join(flagged, "service", "left_semi").select("service", "model_version", "baseline_version")
 
@@ -303,9 +310,9 @@ def worst_signal(spark, d):
 @query("custom_metrics", sql("SELECT * FROM metrics", "metrics"))
 def custom_metrics(spark, d):
     rows = split(spark, d)
-    table = materialise(attribute_counts(rows, views.services(spark)))
+    table = condensed_counts(rows, views.services(spark), views.specs(spark))
     totals = reliability.half_profile(rows, views.services(spark))
-    return cm.custom_metrics(rows, table, totals, views.specs(spark))
+    return cm.custom_metrics(table, totals, views.specs(spark))
 
 
 @query("anomalies", sql("""

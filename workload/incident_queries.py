@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanvigil.functions.scalars import confidence_band, round_to
 from spanvigil.operators import changes as ch
 from spanvigil.operators import decision, drift, incidents, investigation, segments, trends, validation
-from spanvigil.operators.attributes import attribute_counts
+from spanvigil.operators.attributes import configured_counts
 from spanvigil.operators.halves import with_halves
 from spanvigil.session import materialise
 from workload import health_queries as hq
@@ -30,7 +30,7 @@ FROM (SELECT service, attr, value, count(*) AS n, min(start_time) AS earliest, m
             UNION ALL SELECT service, 'input.user_bucket', user_bucket, start_time, request_id, error FROM spans)
       JOIN (SELECT service, attr, value FROM segment_ratios WHERE ratio >= 1.2) USING (service, attr, value) GROUP BY service, attr, value)""", "spans", "segment_ratios"))
 def anomaly_drilldown(spark, d):
-    rows = segments.with_ratio(segments.segment_breakdown(hq.counts(spark, d), views.services(spark)), hq.resolved(spark, d))
+    rows = segments.with_ratio(segments.segment_breakdown(hq.configured(spark, d), views.services(spark)), hq.resolved(spark, d))
     flagged = rows.where("ratio >= 1.2").select("service", F.concat(F.regexp_replace("attr", "^input.", ""), F.lit("="), "value").alias("segment"))
     out = investigation.drill_down(investigation.anomaly_spans(views.spans(spark, d), flagged), 5)
     return out.select(
@@ -251,7 +251,7 @@ def thread_lookup(spark, d):
 
 def segment_state(spark, d, side):
     rows = views.spans(spark, d).where(side)
-    table = attribute_counts(with_halves(rows), views.services(spark))
+    table = configured_counts(with_halves(rows), views.services(spark))
     flat = views.services(spark).select("service", F.lit(25.0).alias("baseline"), "direction")
     return materialise(segments.with_ratio(segments.segment_breakdown(table, views.services(spark)), flat))
 
@@ -441,5 +441,5 @@ def classification_quality(spark, d):
         F.create_map(F.lit("is_correct"), ok).alias("evals"), F.lit(None).cast("double").alias("latency_ms"), F.lit(None).cast("string").alias("model_version"),
     )
     service = st.services_frame(spark, [st.ServiceSettings("quality", error_attribute="eval.is_correct", direction=st.HIGHER, segments=("input.lang", "input.source"))])
-    table = segments.segment_breakdown(attribute_counts(with_halves(rows), service), service)
+    table = segments.segment_breakdown(configured_counts(with_halves(rows), service), service)
     return segments.with_ratio(table, service.withColumn("baseline", F.lit(0.6))).select("attr", "value", "n", round_to("metric", 4).alias("metric"), "ratio")

@@ -9,7 +9,7 @@ from spanvigil import settings as st
 from spanvigil.functions.scalars import round_to, safe_double
 
 from spanvigil.operators import reliability
-from spanvigil.operators.attributes import attribute_counts
+from spanvigil.operators.condensed import condensed_counts
 from spanvigil.operators.halves import with_halves
 from spanvigil.session import materialise
 from spanvigil.streaming import incidents as si
@@ -88,7 +88,7 @@ def stream_battery(spark, d):
 
     def evaluate(window):
         split = materialise(with_halves(window))
-        counts = materialise(attribute_counts(split, services))
+        counts = condensed_counts(split, services)
         profile = materialise(reliability.half_profile(split, services))
         return reliability.reliability_signals(reliability.battery_inputs(profile, counts, services), views.as_of())
 
