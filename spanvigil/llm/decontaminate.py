@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanvigil.llm.text import WordHashes, pieces, rolling, text_bytes, utf8
+from spanvigil.llm.text import WordHashes, each, pieces, rolling, text_bytes, utf8
 
 #: Words of the shortest tile.
 SEED = 5
@@ -128,7 +128,7 @@ def _search(block: BenchmarkBlock, coverage: float):
         look = block.codes.__getitem__
         for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in each(batch, 0, 1):
                 words = text.lower().split()
                 codes = np.fromiter(map(look, words), np.int64, len(words))
                 for n, seed, i, j in block.pairs(codes):

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanvigil.llm.components import connected_components
-from spanvigil.llm.text import WordHashes, pieces, rolling, signed, text_bytes, utf8
+from spanvigil.llm.text import WordHashes, each, pieces, rolling, signed, text_bytes, utf8
 from spanvigil.session import drop_table, materialise
 
 WIDTH = 5
@@ -104,7 +104,7 @@ def _chunks(width: int, chunk_bytes: int, whole: bool = False):
             )
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in each(batch, 0, 1):
                 values = shingles(text.lower().split(), hashes, width)
                 n = len(values)
                 ids.append(key)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanvigil.llm.text import fold, utf8
+from spanvigil.llm.text import fold, small, utf8
 
 #: Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -377,7 +377,7 @@ def _detect(model: SegmentField):
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n = batch.num_rows
             counts = {k: [0] * n for k in KINDS}
             digests, spans = [empty] * n, [""] * n
@@ -430,7 +430,7 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", model: Segm
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             bodies = batch.column(place).to_pylist()
             for row, body in enumerate(bodies):
                 if body and _MARK.search(body):

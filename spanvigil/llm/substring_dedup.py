@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanvigil.llm.text import WordHashes, rolling, signed, utf8
+from spanvigil.llm.text import WordHashes, each, rolling, signed, utf8
 from spanvigil.session import drop_table, materialise
 
 WINDOW = 50
@@ -133,7 +133,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         marks, places, values = [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for text, spans in each(batch, 1, 2):
             words = text.split()
             marks.append(_mark(hashlib.sha256(b" ".join(words)).digest()))
             found = hashes.of(words)
@@ -155,7 +155,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, digests = [], []
-        for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for text, starts in each(batch, 2, 3):
             words = text.split()
             steps = np.zeros(len(words) + 1, np.int64)
             starts = np.array(starts, np.int64)

@@ -8,6 +8,7 @@ exactly A-Z, so tasks work on bytes and never decode a text.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +46,19 @@ def pieces(total: int, each: int, least: int = 8) -> int:
 
 
 class WordHashes(dict):
-    """64-bit hash of a word; remembers the words of a task up to a bound."""
+    """64-bit hash of a word; remembers the words of a task up to a bound.
 
-    BOUND = 400_000
+    A remembered word takes some 150 bytes beyond its own; long ones are not kept.
+    """
+
+    BOUND, LONGEST = 60_000, 40
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.BOUND:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.BOUND:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -86,6 +92,28 @@ def columns(batch: pa.RecordBatch, *names: str) -> list:
     return [batch.column(batch.schema.get_field_index(name)) for name in names]
 
 
+def each(batch: pa.RecordBatch, *places: int) -> Iterator[tuple]:
+    """Rows of a batch as Python values, one at a time.
+
+    ``to_pylist`` would hold a second copy of all the batch's texts; here a text is
+    copied when its row comes and goes with it.
+    """
+    taken = [batch.column(place) for place in places]
+    for row in range(batch.num_rows):
+        yield tuple(column[row].as_py() for column in taken)
+
+
+def small(batches: Iterable[pa.RecordBatch], byte_bound: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold about so many bytes, one row at least.
+
+    A task that copies a slice's texts then holds that much and not a whole batch.
+    """
+    for batch in batches:
+        rows = max(1, batch.num_rows * byte_bound // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return np.ascontiguousarray(x, np.uint64).view(np.int64)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanvigil.llm.text import utf8
@@ -31,6 +31,8 @@ from spanvigil.session import checkpoint_dir, materialise
 ARCHIVE_BYTES = 32 << 20
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
+#: Tasks that read archives, at most; beyond that a task reads several.
+READ_TASKS = 4096
 CHUNK = 1 << 20
 VERSION = b"WARC/1.1"
 
@@ -65,6 +67,12 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     return VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system: a bare path is one of Hadoop's default, not of a task's own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri
@@ -119,6 +127,7 @@ def write_archives(
     payload, a null url an empty one.
     """
     spark = pages.sparkSession
+    folder = _qualified(spark, folder)
     store, top = _place(folder)
     store.create_dir(top, recursive=True)
     rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), utf8(html).alias("payload"))
@@ -197,6 +206,35 @@ def _unzip(source, at: int, size: int) -> tuple[bytes, int]:
     return b"".join(parts), here - len(squeeze.unused_data)
 
 
+def _records(data: bytes) -> tuple[list[tuple], list[str]]:
+    """Rows of a member's records, and what its damaged stretches are.
+
+    After a failed check the next version line is tried, so one bad record does not
+    take its neighbours along.  A member without a valid record raises BadRecord.
+    """
+    found, gaps, at, bad, reason = [], [], 0, None, "empty member"
+    while at < len(data):
+        try:
+            headers, block, end = parse_record(data, at)
+            row = page_row(headers, block)
+        except BadRecord as error:
+            if bad is None:
+                bad, reason = at, str(error)
+            at = data.find(b"WARC/1.", at + 1)
+            at = len(data) if at < 0 else at
+            continue
+        if bad is not None:
+            gaps.append(f"{reason}, inflated bytes {bad} to {at}")
+            bad = None
+        found.append(row)
+        at = end
+    if not found:
+        raise BadRecord(reason)
+    if bad is not None:
+        gaps.append(f"{reason}, inflated bytes {bad} to {len(data)}")
+    return found, gaps
+
+
 def _find(source, mark: bytes, at: int, size: int) -> int:
     """Next place of ``mark`` from ``at`` on, or ``size``."""
     while at < size:
@@ -212,7 +250,8 @@ def salvage(source, size: int) -> Iterator[tuple[str, int, int, object]]:
     """("record", start, end, row) and ("gap", start, end, reason), in file order.
 
     Every byte of the file belongs to a record or a gap.  ``source`` reads at
-    offsets; a packed archive is held one member at a time.
+    offsets; a packed archive is held one member at a time.  Records and gaps of one
+    member all carry the member's place; such a gap's reason tells the inflated bytes.
     """
     packed = source.read_at(min(2, size), 0) == b"\x1f\x8b"
     if not packed and _find(source, b"\x1f\x8b\x08", 0, size) < _find(source, b"WARC/1.", 0, size):
@@ -223,15 +262,10 @@ def salvage(source, size: int) -> Iterator[tuple[str, int, int, object]]:
         try:
             if packed:
                 data, end = _unzip(source, at, size)
-                found, inner = [], 0
-                while inner < len(data):
-                    headers, block, inner = parse_record(data, inner)
-                    found.append(page_row(headers, block))
-                if not found:
-                    raise BadRecord("empty member")
+                found, gaps = _records(data)
             else:
                 headers, block, end = parse_record(whole, at)
-                found = [page_row(headers, block)]
+                found, gaps = [page_row(headers, block)], []
         except BadRecord as error:
             if bad is None:
                 bad, reason = at, str(error)
@@ -243,6 +277,8 @@ def salvage(source, size: int) -> Iterator[tuple[str, int, int, object]]:
             bad = None
         for row in found:
             yield "record", at, end, row
+        for reason_inside in gaps:
+            yield "gap", at, end, reason_inside
         at = end
     if bad is not None:
         yield "gap", bad, size, reason
@@ -281,10 +317,12 @@ def _reader(folder: str):
 def read_archives(paths: DataFrame, folder: str) -> DataFrame:
     """Records and gaps of the archives in ``paths`` (a column ``path``), RECORDS.
 
-    Archives are dealt over the tasks one by one.  An archive without any valid
-    record is one gap; an empty one gives nothing.
+    Archives are dealt over the tasks one by one, as many tasks as archives up to
+    ``READ_TASKS``: a manifest is tiny, so its own size says nothing about the work.
+    An archive without any valid record is one gap; an empty one gives nothing.
     """
-    spread = paths.select("path").repartition("path")
+    folder = _qualified(paths.sparkSession, folder)
+    spread = paths.select("path").repartition(max(1, min(READ_TASKS, paths.count())))
     return spread.mapInArrow(_reader(folder), RECORDS)
 
 
@@ -293,5 +331,8 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = folder or f"{checkpoint_dir(spark)}/warc/{uuid.uuid4().hex}"
     manifest = write_archives(pages, folder)
-    found = read_archives(manifest, folder).where("kind = 'record'")
+    found = read_archives(manifest, folder)
+    # What was just written has no gaps; one would be a lost page, so it ends the job.
+    lost = F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(": "), F.coalesce("reason", F.lit(""))))
+    found = found.where(F.when(F.col("kind") == "record", True).otherwise(lost.cast("boolean")))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
