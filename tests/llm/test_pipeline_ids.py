@@ -48,3 +48,13 @@ def test_later_stages_keep_awkward_ids(spark):
         at[name] = sorted((r.doc_id for r in stage.collect()), key=repr)
     assert at["jaccard_join"] == [8, 8, 9, None, None]
     assert at["decontaminate"] == at["pii"] == at["mixing"] == [8, 8, None]
+
+
+def test_clashing_names_and_maps_survive_every_stage_but_the_last(spark):
+    rows = [(1, words(60, "a"), "mine", {"k": 1}), (1, words(60, "a"), "mine", {"k": 2}), (2, words(60, "b"), "mine", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _print string, _gone map<string,int>")
+    for _, run in corpus_pipeline.STAGES[:4]:
+        docs_after = run(spark, docs, SF)
+        assert docs_after.columns == docs.columns
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r["_print"], r["_gone"]) for r in out) == [(1, "mine", {"k": 1}), (2, "mine", None)]
