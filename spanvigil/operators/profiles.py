@@ -152,16 +152,23 @@ def target_correlation(frame: DataFrame, columns: list[str], target: str) -> Dat
 def attribute_distributions(categorical: DataFrame) -> DataFrame:
     """column, value -> fraction and the modal value.
 
-    What the listed values leave is the share of REST, so shares add up to 1.
+    What the listed values leave is the share of REST, so shares add up to 1; a
+    value that is itself spelt like REST is counted with it.
     """
     pairs = F.array_sort(F.collect_list(F.struct("value", "fraction")))
     rest = 1 - F.sum("n") / F.max("count")
-    left = F.when(F.max("n_distinct") > F.count("value"), F.array(F.struct(F.lit(REST).alias("value"), rest.alias("fraction"))))
-    empty = F.expr("CAST(array() AS ARRAY<STRUCT<value: STRING, fraction: DOUBLE>>)")
-    return categorical.groupBy("column").agg(
-        F.map_from_entries(F.concat(pairs, F.coalesce(left, empty))).alias("distribution"),
+    summed = categorical.groupBy("column").agg(
+        pairs.alias("pairs"),
+        F.when(F.max("n_distinct") > F.count("value"), rest).alias("rest"),
         F.min(F.struct("rank", "value"))["value"].alias("mode"),
     )
+    spelt = F.exists("pairs", lambda p: p["value"] == REST)
+    added = F.transform(
+        "pairs", lambda p: F.struct(p["value"].alias("value"), F.when(p["value"] == REST, p["fraction"] + F.col("rest")).otherwise(p["fraction"]).alias("fraction"))
+    )
+    apart = F.concat("pairs", F.array(F.struct(F.lit(REST).alias("value"), F.col("rest").alias("fraction"))))
+    whole = F.when(F.col("rest").isNull(), F.col("pairs")).when(spelt, added).otherwise(apart)
+    return summed.select("column", F.map_from_entries(whole).alias("distribution"), "mode")
 
 
 def training_baseline(frame: DataFrame, service: str, model_version: str, trained_at: str, target: str | None = None, top: int = 20) -> DataFrame:

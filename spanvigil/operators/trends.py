@@ -33,19 +33,23 @@ def last_days(errors: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
     return errors.where(F.col("time") >= as_of - F.make_dt_interval(days=F.lit(days)))
 
 
-def day_over_day(rows: DataFrame, keys: list[str], drop: float = 0.5) -> DataFrame:
+def day_over_day(rows: DataFrame, keys: list[str], drop: float = 0.5, fill_days: int = 400) -> DataFrame:
     """Daily volume and whether it fell by more than ``drop`` from the day before.
 
     Days without any row count 0, from a key's first day to its last; so does a
-    day after the last one if another key has it.
+    day after the last one if another key has it.  A gap is listed for ``fill_days``
+    days at most, so that a wrongly dated row does not bring centuries of them.
     """
     daily = rows.groupBy(*keys, F.to_date("time").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     last = daily.agg(F.max("day")).scalar()
-    spans = daily.groupBy(*keys).agg(F.min("day").alias("_first"))
-    spine = spans.select(*keys, F.explode(F.sequence("_first", last)).alias("day"))
-    daily = spine.join(daily, [*keys, "day"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     order = Window.partitionBy(*keys).orderBy("day")
-    return daily.withColumn("previous", F.lag("n").over(order)).withColumn(
+    until = F.coalesce(F.date_sub(F.lead("day").over(order), 1), F.lit(last))
+    listed = F.sequence("day", F.least(F.date_add("day", fill_days), until))
+    days = daily.withColumn("_days", listed).select(*keys, F.posexplode("_days").alias("_at", "day"), F.col("n").alias("_n"))
+    daily = days.select(*keys, "day", F.when(F.col("_at") == 0, F.col("_n")).otherwise(F.lit(0).cast("long")).alias("n"))
+    # After a gap that was not listed in full the day before had no rows.
+    before = F.when(F.lag("day").over(order) == F.date_sub("day", 1), F.lag("n").over(order)).when(F.lag("day").over(order).isNotNull(), 0)
+    return daily.withColumn("previous", before).withColumn(
         "status", F.when(F.col("n") < (1 - drop) * F.col("previous"), "WARNING").otherwise("HEALTHY")
     )
 

@@ -132,14 +132,14 @@ def feed_checks(
     feed: DataFrame, expected: DataFrame, low: float = 0.0, high: float = 5000.0, null_limit: float = 0.03, mean_tolerance: float = 0.2
 ) -> DataFrame:
     """Feed checks per service: ``feed`` service, family, prediction; ``expected``
-    service, family, mean."""
+    service, family, mean.  A family that is unknown on either side is not confirmed."""
     stats = feed.join(expected.select("service", F.col("family").alias("expected_family")), "service").groupBy("service").agg(
         F.count(F.lit(1)).alias("count"),
         round_to(1 - F.count("prediction") / F.count(F.lit(1)), 4).alias("null_rate"),
         F.avg("prediction").alias("mean"),
         F.min("prediction").alias("min"),
         F.max("prediction").alias("max"),
-        F.bool_and(F.col("family").eqNullSafe(F.col("expected_family"))).alias("identity"),
+        F.bool_and(F.coalesce(F.col("family") == F.col("expected_family"), F.lit(False))).alias("identity"),
     )
     spread = quantiles(feed.where("prediction IS NOT NULL"), ["service"], "prediction", [0.5, 0.95])
     passed = (

@@ -14,20 +14,22 @@ TERMINAL_STATES = ("RESOLVED", "FAILED")
 # --------------------------------------------------------------------------------
 
 
-def recovery(polls: DataFrame, need: int = 2, cap: int = 10, keep_hours: int | None = None) -> DataFrame:
+def recovery(polls: DataFrame, need: int = 2, cap: int = 10, quiet: str = "1 day", delay: str = "10 minutes") -> DataFrame:
     """PASS once ``need`` polls in a row passed, FAIL when ``cap`` polls did not.
 
-    ``polls``: run_id, poll (1..), status.  The state of a run is its streak and
-    how many polls it has seen; polls beyond the cap are dropped before grouping,
+    ``polls``: run_id, poll (1..), status, polled_at.  The state of a run is its streak
+    and how many polls it has seen; polls beyond the cap are dropped before grouping,
     so a run never brings more than ``cap`` rows.  The last poll or the ``cap``-th one
-    ends a run, so a missing poll number does not keep it open.  With ``keep_hours`` a run's
-    state goes once it has been quiet for so long; one without a verdict by then is
-    FAIL.  (A drained stream must do without: it would wait for the time to pass.)
+    ends a run, so a missing poll number does not keep it open.  A run whose newest
+    poll lies ``quiet`` behind the watermark is over: without a verdict it is FAIL
+    without a poll, and in any case its state goes.  Time is that of the polls, so a
+    drained stream expires the same runs as one that never ends.
     Polls of one micro-batch are taken in order, later batches after them.
     """
+    hold = int(pd.Timedelta(quiet).total_seconds() * 1_000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, seen, done = state.get if state.exists else (0, 0, False)
+        streak, seen, done, newest = state.get if state.exists else (0, 0, False, 0)
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame([] if done else [(key[0], "FAIL", None)], columns=["run_id", "status", "at_poll"])
@@ -42,20 +44,21 @@ def recovery(polls: DataFrame, need: int = 2, cap: int = 10, keep_hours: int | N
             if streak >= need or seen >= cap or poll >= cap:
                 done = True
                 out.append((key[0], "PASS" if streak >= need else "FAIL", int(poll)))
-        state.update((int(streak), int(seen), done))
-        if keep_hours is not None:
-            state.setTimeoutDuration(keep_hours * 3_600_000)
+        newest = max(int(newest), int(rows["polled_ms"].max()))
+        state.update((int(streak), int(seen), done, newest))
+        state.setTimeoutTimestamp(max(newest + hold, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["run_id", "status", "at_poll"])
 
+    timed = polls.where((F.col("poll") <= cap) & F.col("polled_at").isNotNull()).withWatermark("polled_at", delay)
     return (
-        polls.where(F.col("poll") <= cap)
+        timed.withColumn("polled_ms", F.unix_millis("polled_at"))
         .groupBy("run_id")
         .applyInPandasWithState(
             step,
             outputStructType="run_id bigint, status string, at_poll bigint",
-            stateStructType="streak int, seen int, done boolean",
+            stateStructType="streak int, seen int, done boolean, newest bigint",
             outputMode="append",
-            timeoutConf=GroupStateTimeout.NoTimeout if keep_hours is None else GroupStateTimeout.ProcessingTimeTimeout,
+            timeoutConf=GroupStateTimeout.EventTimeTimeout,
         )
     )
 

@@ -7,6 +7,7 @@ Each view is a projection or aggregation over whole tables; nothing is sampled.
 from __future__ import annotations
 
 import os
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from spanvigil import settings as st
 from spanvigil.session import prepare
 
 AS_OF = "2024-01-31 00:00:00"
+AS_OF_DATE = date.fromisoformat(AS_OF[:10])
 LOOKBACK = 43_200
 SWITCH = "2024-01-16 00:00:00"  # model v2 goes live
 
