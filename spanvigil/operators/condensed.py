@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanvigil.operators.attributes import GROUP, attribute_rows, configured_names, summed, value_key
-from spanvigil.operators.quantiles import doubles, range_of
+from spanvigil.operators.quantiles import doubles, range_of, weighted_quantiles
 from spanvigil.session import drop_table, materialise
 from spanvigil.settings import NUMERIC_SHARE, PSI_BINS
 
@@ -103,6 +103,26 @@ def wanted_ranges(ranges: DataFrame) -> DataFrame:
     return numbers.where(found).select(*GROUP, "range")
 
 
+#: Every fraction that some check asks for; one pass finds all of them.
+ALL_FRACTIONS = sorted({*PERCENTILES, *(i * (1.0 / q) for q in range(2, PSI_BINS + 1) for i in range(q)), 1.0})
+
+
+def attribute_quantiles(counts: DataFrame) -> DataFrame:
+    """service, attr, segment, part ('', '_earlier', '_recent'), n, n_distinct and
+    ``quantiles`` at ``ALL_FRACTIONS``, for all numeric attributes of a count table.
+
+    Drift bins, latency and metrics of any number of services read this one table.
+    """
+    weights = F.create_map(F.lit(""), "n", F.lit("_earlier"), "n_earlier", F.lit("_recent"), "n_recent")
+    rows = counts.where("x IS NOT NULL").select(*GROUP, "x", F.explode(weights).alias("part", "w"))
+    return weighted_quantiles(rows, [*GROUP, "part"], "x", "w", ALL_FRACTIONS)
+
+
+def quantile_at(fraction: float) -> Column:
+    """The quantile at one of ``ALL_FRACTIONS``."""
+    return F.element_at("quantiles", ALL_FRACTIONS.index(fraction) + 1)
+
+
 def condensed_counts(
     split_spans: DataFrame,
     services: DataFrame,

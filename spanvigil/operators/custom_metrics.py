@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 
 from spanvigil.functions.scalars import round_to, worse_ratio
 from spanvigil.operators.attributes import METRIC
-from spanvigil.operators.quantiles import weighted_quantiles
+from spanvigil.operators.condensed import attribute_quantiles, quantile_at
 
 KEYS = ["service", "name", "segment"]
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 
+def metric_attributes(specs: DataFrame, *more: str) -> DataFrame:
+    """service, name, attr: where a metric's values stand in the count table."""
+    attr = F.when(F.col("segment_by").isNull(), F.col("attribute")).otherwise(F.concat(F.lit(METRIC), F.col("name")))
+    return specs.select("service", "name", attr.alias("attr"), *more)
+
+
 def metric_values(counts: DataFrame, specs: DataFrame) -> DataFrame:
     """Rows of the count table by metric: those of its attribute, or those that a
     segmented metric has under its own name."""
-    attr = F.when(F.col("segment_by").isNull(), F.col("attribute")).otherwise(F.concat(F.lit(METRIC), F.col("name")))
-    wanted = specs.select("service", "name", attr.alias("attr"))
-    return counts.join(wanted, ["service", "attr"])
+    return counts.join(metric_attributes(specs), ["service", "attr"])
 
 
 def metric_totals(values: DataFrame, profile: DataFrame, specs: DataFrame) -> DataFrame:
@@ -41,18 +45,16 @@ def _moments(values: DataFrame) -> DataFrame:
     return values.groupBy(*KEYS).agg(*[F.sum(name).alias(name) for name in names])
 
 
-def _quantiles(values: DataFrame, specs: DataFrame) -> DataFrame:
-    asked = specs.where(F.col("agg").isin(*PERCENTILES)).select("service", "name", "agg")
-    both = F.create_map(F.lit("whole"), "n", F.lit("earlier"), "n_earlier")
-    weighted = values.where("x IS NOT NULL").join(asked.drop("agg"), ["service", "name"], "left_semi").select(
-        *KEYS, "x", F.explode(both).alias("part", "w")
-    )
-    exact = weighted_quantiles(weighted, [*KEYS, "part"], "x", "w", list(PERCENTILES.values()))
-    names = F.array(*[F.lit(name) for name in PERCENTILES])
-    picked = F.element_at("quantiles", F.array_position(names, F.col("agg")).cast("int"))
-    return exact.join(asked, ["service", "name"]).groupBy(*KEYS).agg(
-        F.max(F.when(F.col("part") == "whole", picked)).alias("quantile"),
-        F.max(F.when(F.col("part") == "earlier", picked)).alias("quantile_earlier"),
+def _quantiles(counts: DataFrame, specs: DataFrame, quantiles: DataFrame | None) -> DataFrame:
+    asked = metric_attributes(specs.where(F.col("agg").isin(*PERCENTILES)), "agg")
+    if quantiles is None:
+        quantiles = attribute_quantiles(counts.join(asked, ["service", "attr"], "left_semi"))
+    picked = F.lit(None).cast("double")
+    for name, fraction in PERCENTILES.items():
+        picked = F.when(F.col("agg") == name, quantile_at(fraction)).otherwise(picked)
+    return quantiles.join(asked, ["service", "attr"]).groupBy(*KEYS).agg(
+        F.max(F.when(F.col("part") == "", picked)).alias("quantile"),
+        F.max(F.when(F.col("part") == "_earlier", picked)).alias("quantile_earlier"),
     )
 
 
@@ -69,10 +71,11 @@ def _value(suffix: str) -> Column:
     )
 
 
-def custom_metrics(counts: DataFrame, profile: DataFrame, specs: DataFrame) -> DataFrame:
+def custom_metrics(counts: DataFrame, profile: DataFrame, specs: DataFrame, quantiles: DataFrame | None = None) -> DataFrame:
     """service, name, segment, agg, value, baseline, ratio, status, severity.
 
-    ``counts`` is a count table made with ``specs``, so that segmented metrics are in it.
+    ``counts`` is a count table made with ``specs``, so that segmented metrics are in it;
+    ``quantiles`` is its table of ``condensed.attribute_quantiles``, where there is one.
 
     Without an explicit baseline the earlier half is the baseline; without
     either the value is reported as HEALTHY with a NULL ratio.  An attribute
@@ -83,7 +86,7 @@ def custom_metrics(counts: DataFrame, profile: DataFrame, specs: DataFrame) -> D
 
     measured = (
         totals.join(_moments(values), KEYS, "left")
-        .join(_quantiles(values, specs), KEYS, "left")
+        .join(_quantiles(counts, specs, quantiles), KEYS, "left")
         .join(specs.drop("attribute", "segment_by"), ["service", "name"])
         .where("present > 0 OR agg = 'count'")
         .select(*specs.drop("attribute", "segment_by").columns, "segment", _value("").alias("value"), _value("_earlier").alias("earlier_value"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanvigil.functions.scalars import psi_band, psi_term, round_to, segment_key
+from spanvigil.operators.condensed import ALL_FRACTIONS
 from spanvigil.operators.quantiles import weighted_quantiles
 from spanvigil.settings import NUMERIC_SHARE, PSI_BINS, PSI_CRITICAL, PSI_FLOOR, PSI_WARNING
 
@@ -71,12 +72,13 @@ def _is_numeric() -> Column:
     )
 
 
-def two_sample_psi(counts: DataFrame) -> DataFrame:
+def two_sample_psi(counts: DataFrame, quantiles: DataFrame | None = None) -> DataFrame:
     """Recent half against earlier half for every attribute: service, attr,
-    kind, psi.  Attributes empty in one half score 0."""
+    kind, psi.  Attributes empty in one half score 0.  ``quantiles``: a table of
+    ``condensed.attribute_quantiles``, where there is one."""
     totals = half_totals(counts)
     sided = totals.where("earlier > 0 AND recent > 0")
-    compared = numeric_psi(counts, sided.where(_is_numeric())).unionByName(
+    compared = numeric_psi(counts, sided.where(_is_numeric()), quantiles).unionByName(
         categorical_psi(counts, sided.where(~_is_numeric()))
     )
     return totals.select(*KEYS).join(compared, KEYS, "left").select(
@@ -98,31 +100,34 @@ def categorical_psi(counts: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def _positions(q: int) -> Column:
-    return F.expr(f"array({', '.join(str(FRACTIONS.index(f) + 1) for f in bin_fractions(q))})")
+def inner_edges(n_distinct: Column, quantile_array: Column, fractions: list[float] = FRACTIONS) -> Column:
+    """Distinct quantile edges without the outer two (those become infinite)."""
 
+    def places(q: int) -> Column:
+        return F.expr(f"array({', '.join(str(fractions.index(f) + 1) for f in bin_fractions(q))})")
 
-def inner_edges(n_distinct: Column, quantile_array: Column) -> Column:
-    """Distinct quantile edges without the outer two (those become infinite)."""
     wanted = F.least(n_distinct, F.lit(PSI_BINS))
-    positions = F.when(wanted == PSI_BINS, _positions(PSI_BINS))
+    positions = F.when(wanted == PSI_BINS, places(PSI_BINS))
     for q in range(2, PSI_BINS):
-        positions = positions.when(wanted == q, _positions(q))
+        positions = positions.when(wanted == q, places(q))
     edges = F.array_distinct(F.transform(positions, lambda p: F.element_at(quantile_array, p)))
     return F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
 
 
-def numeric_psi(counts: DataFrame, totals: DataFrame) -> DataFrame:
+def numeric_psi(counts: DataFrame, totals: DataFrame, quantiles: DataFrame | None = None) -> DataFrame:
     """Quantile bins of the earlier half, right closed, duplicates dropped."""
     values = (
         counts.where("x IS NOT NULL AND n_earlier + n_recent > 0")
         .join(totals.select(*KEYS, "earlier_numeric", "recent_numeric"), KEYS)
         .select(*KEYS, "x", "n_earlier", "n_recent", F.col("earlier_numeric").alias("earlier"), F.col("recent_numeric").alias("recent"))
     )
-    edges = (
-        weighted_quantiles(values, KEYS, "x", "n_earlier", FRACTIONS)
-        .where("n_distinct >= 2")
-        .select(*KEYS, inner_edges(F.col("n_distinct"), F.col("quantiles")).alias("edges"))
+    fractions = FRACTIONS if quantiles is None else ALL_FRACTIONS
+    if quantiles is None:
+        quantiles = weighted_quantiles(values, KEYS, "x", "n_earlier", FRACTIONS)
+    else:
+        quantiles = quantiles.where("part = '_earlier' AND segment = ''")
+    edges = quantiles.where("n_distinct >= 2").select(
+        *KEYS, inner_edges(F.col("n_distinct"), F.col("quantiles"), fractions).alias("edges")
     )
     bins = (
         values.join(edges, KEYS)

@@ -19,7 +19,7 @@ from spanvigil.functions.scalars import (
 )
 from spanvigil.operators import drift
 from spanvigil.operators.attributes import feature_counts
-from spanvigil.operators.quantiles import weighted_quantiles
+from spanvigil.operators.condensed import attribute_quantiles, quantile_at
 from spanvigil.operators.values import error_keys, error_value
 from spanvigil.settings import DEFAULT_CHECKS
 
@@ -54,17 +54,14 @@ def half_profile(split_spans: DataFrame, services: DataFrame) -> DataFrame:
     )
 
 
-def latency_p95(counts: DataFrame) -> DataFrame:
+def latency_p95(counts: DataFrame, quantiles: DataFrame | None = None) -> DataFrame:
     """Exact p95 latency of each half, one row per service."""
-    halves = (
-        counts.where("attr = 'latency_ms' AND x IS NOT NULL")
-        .select("service", "x", F.explode(F.create_map(F.lit("earlier"), "n_earlier", F.lit("recent"), "n_recent")).alias("half", "w"))
-    )
-    per_half = weighted_quantiles(halves, ["service", "half"], "x", "w", [0.95])
-    value = F.element_at("quantiles", 1)
-    return per_half.groupBy("service").agg(
-        F.max(F.when(F.col("half") == "earlier", value)).alias("p95_earlier"),
-        F.max(F.when(F.col("half") == "recent", value)).alias("p95_recent"),
+    quantiles = attribute_quantiles(counts.where("attr = 'latency_ms'")) if quantiles is None else quantiles
+    value = quantile_at(0.95)
+    halves = quantiles.where("attr = 'latency_ms' AND part <> ''")
+    return halves.groupBy("service").agg(
+        F.max(F.when(F.col("part") == "_earlier", value)).alias("p95_earlier"),
+        F.max(F.when(F.col("part") == "_recent", value)).alias("p95_recent"),
     )
 
 
@@ -84,10 +81,11 @@ def vanished_attribute(counts: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def battery_inputs(
-    profile: DataFrame, counts: DataFrame, services: DataFrame, psi: DataFrame | None = None
+    profile: DataFrame, counts: DataFrame, services: DataFrame, quantiles: DataFrame | None = None
 ) -> DataFrame:
-    """Everything the checks read, one row per service."""
-    psi = drift.two_sample_psi(feature_counts(counts)) if psi is None else psi
+    """Everything the checks read, one row per service.  ``quantiles``: a table of
+    ``condensed.attribute_quantiles``, where there is one."""
+    psi = drift.two_sample_psi(feature_counts(counts), quantiles)
     inputs = drift.worst_attribute(psi.where(F.startswith("attr", F.lit("input."))))
     outputs = (
         psi.where(F.startswith("attr", F.lit("output.")))
@@ -96,7 +94,7 @@ def battery_inputs(
     )
     return (
         profile.join(services.drop("error_attribute").withColumnRenamed("lookback_minutes", "lookback"), "service")
-        .join(latency_p95(counts), "service", "left")
+        .join(latency_p95(counts, quantiles), "service", "left")
         .join(inputs.select("service", F.col("attr").alias("drift_attr"), F.col("psi").alias("drift_psi")), "service", "left")
         .join(outputs.select("service", F.col("o.attr").alias("out_attr"), F.col("o.psi").alias("out_psi")), "service", "left")
         .join(vanished_attribute(counts, profile), "service", "left")

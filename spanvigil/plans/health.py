@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanvigil.functions.scalars import psi_band, round_to, worse_ratio
 from spanvigil.operators import custom_metrics as cm
 from spanvigil.operators import decision, drift, reliability, segments
-from spanvigil.operators.condensed import condensed_counts
+from spanvigil.operators.condensed import attribute_quantiles, condensed_counts
 from spanvigil.operators.baselines import expected_values
 from spanvigil.operators.halves import with_halves
 from spanvigil.session import materialise
@@ -65,6 +65,7 @@ def health_tables(
     split = with_halves(window)
     # Read by nearly every check below, so both are computed once.
     counts = condensed_counts(split, services, specs)
+    quantiles = materialise(attribute_quantiles(counts))
     profile = materialise(reliability.half_profile(split, services))
     baselines = materialise(baselines)
 
@@ -76,13 +77,13 @@ def health_tables(
         .withColumn("band", psi_band(F.col("psi"), F.col("psi_warning"), F.col("psi_critical")))
         .drop("psi_warning", "psi_critical")
     )
-    inputs = reliability.battery_inputs(profile, counts, services)
+    inputs = reliability.battery_inputs(profile, counts, services, quantiles)
     signals = reliability.reliability_signals(inputs, as_of).unionByName(
         reliability.version_drift(
             segments.live_version(counts), baselines.select("service", "baseline_version")
         )
     )
-    metrics = cm.custom_metrics(counts, profile, specs)
+    metrics = cm.custom_metrics(counts, profile, specs, quantiles)
 
     facts = (
         services.select(

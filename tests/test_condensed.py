@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from spanvigil import settings as st
 from spanvigil.operators import condensed, custom_metrics, drift, reliability
 from spanvigil.operators.attributes import attribute_counts, configured_counts
+from spanvigil.operators.baselines import resolve_baselines
 from spanvigil.operators.halves import with_halves
+from spanvigil.plans.health import health_tables
 from spanvigil.session import materialise
 
 SPECS = [
@@ -86,3 +88,31 @@ def test_configured_counts_hold_only_what_settings_name(spark, split, both):
     assert {r["attr"] for r in found} == {"input.tier", "input.few", "latency_ms", "model_version"}
     expected = both[0].where("attr IN ('input.tier', 'input.few', 'latency_ms', 'model_version')").select(*columns).collect()
     assert sorted(map(str, found)) == sorted(map(str, expected))
+
+
+def test_the_snapshot_reads_the_spans_three_times(spark, make_spans, now):
+    spans = materialise(make_spans([(59 - i * 0.9, {"inputs": {"a": str(i)}, "evals": {"error": float(i)}, "latency": float(i)}) for i in range(60)]))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    services = st.services_frame(spark, [st.ServiceSettings("svc", lookback_minutes=60, segments=("input.a",))])
+    specs = st.metric_specs_frame(spark, SPECS)
+    tables = health_tables(spans.mapInArrow(counted, spans.schema), services, specs, resolve_baselines(services), F.lit(now), 60)
+    row = tables.snapshot.collect()[0]
+    assert row["n_spans"] == 60 and read.value == 3 * 60
+
+
+def test_one_quantile_table_serves_all_checks(both):
+    whole, table, profile, specs = both
+    shared = materialise(condensed.attribute_quantiles(table))
+    features = table.where("attr LIKE 'input.%' OR attr LIKE 'output.%'")
+    for found, expected in (
+        (drift.two_sample_psi(features, shared), drift.two_sample_psi(features)),
+        (reliability.latency_p95(table, shared), reliability.latency_p95(whole)),
+        (custom_metrics.custom_metrics(table, profile, specs, shared), custom_metrics.custom_metrics(whole, profile, specs)),
+    ):
+        assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
