@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,49 @@ def peek_latest(messages: DataFrame, n: int) -> DataFrame:
     )
 
 
+def newest_offsets(begins: Mapping[str, Mapping[int, int]], ends: Mapping[str, Mapping[int, int]], n: int) -> dict[str, str]:
+    """Reader options for the newest messages of some topics.
+
+    ``begins`` and ``ends`` are the first kept and the next free offset per topic and
+    partition.  Each partition gives its last ``max(1, n div partitions + 1)``
+    offsets, none before its first kept one; only those are fetched.
+    """
+    since: dict[str, dict[str, int]] = {}
+    for topic, partitions in ends.items():
+        share = max(1, n // max(1, len(partitions)) + 1)
+        since[topic] = {str(p): max(begins.get(topic, {}).get(p, 0), end - share) for p, end in sorted(partitions.items())}
+    until = {topic: {str(p): end for p, end in sorted(partitions.items())} for topic, partitions in ends.items()}
+    return {"startingOffsets": json.dumps(since), "endingOffsets": json.dumps(until)}
+
+
+def message_spans(frames: DataFrame, service: str | None = None, field_maps: DataFrame | None = None) -> DataFrame:
+    """Spans of a topic's frames (``value`` and, if there, ``timestamp`` and ``service``).
+
+    The service is the given one, else the frame's, else the message's own field,
+    else its topic.  A message without a time of its own takes the frame's.
+    """
+    decoded = decode(frames)
+    known = [F.col(c) for c in ("service",) if c in frames.columns]
+    topic = [F.col(c) for c in ("topic",) if c in frames.columns]
+    name = F.lit(service) if service is not None else F.coalesce(*known, field("service"), *topic, F.lit(""))
+    arrived = F.col("timestamp").cast("timestamp") if "timestamp" in frames.columns else F.lit(None).cast("timestamp")
+    kept = decoded.select(name.alias("service"), arrived.alias("_arrived"), "msg")
+    mapped = map_default(kept) if field_maps is None else map_configured(kept, field_maps)
+    at = F.coalesce("start_time", "_arrived")
+    return mapped.select(
+        "service",
+        at.alias("start_time"),
+        at.alias("end_time"),
+        "status_code",
+        F.nullif("request_id", F.lit("")).alias("request_id"),
+        F.nullif("model_version", F.lit("")).alias("model_version"),
+        "inputs",
+        "outputs",
+        "evals",
+        F.lit(None).cast("double").alias("latency_ms"),
+    )
+
+
 def field(name: Column | str) -> Column:
     return F.try_element_at("msg", F.lit(name) if isinstance(name, str) else name)
 

@@ -16,6 +16,7 @@ from pyspark.sql.types import MapType, StringType
 
 from spanvigil.functions.scalars import assert_table_identifier, safe_double
 from spanvigil.settings import TIMESTAMP_FIELDS
+from spanvigil.sources.messages import message_spans
 
 SPAN_SCHEMA = (
     "service string, start_time timestamp, end_time timestamp, status_code string, "
@@ -172,7 +173,8 @@ def spans_from_flat(frame: DataFrame) -> DataFrame:
 def read_predictions(spark: SparkSession, source: str, location: str, **options: str) -> DataFrame:
     """Frame of a prediction source by kind: parquet, orc, json or csv folders, a
     catalog table, JDBC or Kafka (batch).  A missing location gives an empty
-    spans frame, so the service shows up as one without data.
+    spans frame, so the service shows up as one without data.  Messages of a topic
+    come as spans; ``messages.newest_offsets`` gives options that bound the read.
     """
     try:
         if source == "table":
@@ -185,7 +187,7 @@ def read_predictions(spark: SparkSession, source: str, location: str, **options:
             frame = spark.read.format(source).options(**options).load(location)
     except AnalysisException:
         return spark.createDataFrame([], SPAN_SCHEMA)
-    return frame if source == "kafka" else with_start_time(frame)
+    return message_spans(frame) if source == "kafka" else with_start_time(frame)
 
 
 def union_spans(frames: list[DataFrame]) -> DataFrame:
