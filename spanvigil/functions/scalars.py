@@ -141,3 +141,11 @@ def assert_table_identifier(name: str) -> str:
     if re.fullmatch(r"(?=_*[^\W_])\w+(\.(?=_*[^\W_])\w+)?", name or "") is None:
         raise ValueError(f"not a plain table name: {name!r}")
     return name
+
+
+_NAME_PART = r"_*[\p{L}\p{N}][\p{L}\p{N}_]*"
+
+
+def is_table_identifier(name: Column | str) -> Column:
+    """The same rule for a column of names; NULL is no name."""
+    return F.coalesce(F.rlike(name, F.lit(rf"\A{_NAME_PART}(\.{_NAME_PART})?\z")), F.lit(False))

@@ -54,9 +54,14 @@ def materialise(frame: DataFrame, *partition_by: str) -> DataFrame:
 _WRITTEN: dict[str, set[str]] = {}
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    delete_path(spark, path)
     _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
 
 

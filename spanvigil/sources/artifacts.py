@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +29,17 @@ INCIDENT_SCHEMA = (
 def training_data(spark: SparkSession, prefix: str, files: int | None = None) -> DataFrame:
     """All parquet files below a prefix; with ``files``, those of the first names.
 
-    The file choice is a filter on file metadata, so no other file's data is read.
+    The names come from a listing that opens no file, so only the chosen ones are
+    read; at most ``files`` names reach the driver.
     """
-    data = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(prefix)
-    if files is None:
-        return data
-    named = data.select("*", F.col("_metadata.file_path").alias("_file"))
-    first = named.select("_file").distinct().orderBy("_file").limit(files)
-    return named.join(first, "_file", "left_semi").drop("_file")
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if files is not None:
+        listed = reader.format("binaryFile").option("pathGlobFilter", "*.parquet").load(prefix).select("path")
+        chosen = [r["path"] for r in listed.orderBy("path").limit(files).collect()]
+        if chosen:
+            plain = [re.sub(r"([\\\[\]{}*?])", r"\\\1", path) for path in chosen]
+            return spark.read.option("mergeSchema", "true").parquet(*plain)
+    return spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(prefix)
 
 
 def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:

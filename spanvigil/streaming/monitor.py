@@ -39,7 +39,12 @@ def window_metrics(
 
 def silences(spans: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """One row whenever a service was silent for ``gap``: a session of spans that
-    closed.  Session state is kept by Spark, keyed by service."""
+    closed.  Session state is kept by Spark, keyed by service.
+
+    Spans are merged to sessions within each input partition before the shuffle, so
+    a hot service sends a few sessions a batch and not its spans.
+    """
+    spans.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         spans.withWatermark("start_time", delay)
         .groupBy(F.session_window("start_time", gap).alias("session"), "service")
