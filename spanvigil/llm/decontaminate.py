@@ -29,6 +29,8 @@ SEED = 5
 COVERAGE = 0.5
 #: Benchmark bytes that one pass holds in memory.
 BLOCK_BYTES = 8 << 20
+#: Pairs of equal seeds that a task holds at a time.
+PAIRS_HELD = 1 << 18
 
 RESULT = "doc_id long, item_id long, item_words long, covered_words long, tiles long, coverage double"
 
@@ -65,7 +67,13 @@ class BenchmarkBlock:
             self.seeds[length] = values[order], owner[order], place[order]
 
     def pairs(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Items that share seeds with a text: (item, seed length, item places, text places)."""
+        """Items that share seeds with a text: (item, seed length, item places, text
+        places) of the places where a run of seeds begins.
+
+        Seed pairs are made for some text places at a time and joined to runs at once,
+        so a text and an item that repeat one word hold a row per diagonal and not one
+        per pair of places.
+        """
         for length, (values, owner, place) in self.seeds.items():
             found = rolling(self.spread[codes], length)
             low = np.searchsorted(values, found)
@@ -74,25 +82,38 @@ class BenchmarkBlock:
                 continue
             low, high = low[hit], np.searchsorted(values, found[hit], side="right")
             n = high - low
-            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            text_at, item_at, items = np.repeat(hit, n), place[at], owner[at]
-            for item in np.unique(items):
-                own = items == item
-                yield int(item), length, item_at[own], text_at[own]
+            share = np.cumsum(n) // PAIRS_HELD
+            parts = []
+            for cut in np.split(np.arange(len(hit)), np.flatnonzero(share[1:] != share[:-1]) + 1):
+                own = n[cut]
+                at = np.repeat(low[cut] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                parts.append(_joined(owner[at], place[at], np.repeat(hit[cut], own), np.ones(len(at), np.int64)))
+            items, i, j, _ = parts[0] if len(parts) == 1 else _joined(*(np.concatenate(column) for column in zip(*parts)))
+            begins = np.flatnonzero(np.r_[True, items[1:] != items[:-1]])
+            for first, last in zip(begins, np.r_[begins[1:], len(items)]):
+                yield int(items[first]), length, i[first:last], j[first:last]
+
+
+def _joined(items: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of seeds (item, item place, text place, seeds) with those that continue
+    another one joined to it; ordered by item, diagonal and place."""
+    order = np.lexsort((i, j - i, items))
+    items, i, j, n = items[order], i[order], j[order], n[order]
+    apart = (items[1:] != items[:-1]) | ((j - i)[1:] != (j - i)[:-1]) | (i[1:] != (i + n)[:-1])
+    begins = np.flatnonzero(np.r_[True, apart])
+    return items[begins], i[begins], j[begins], np.add.reduceat(n, begins)
 
 
 def _runs(item: np.ndarray, text: np.ndarray, i: np.ndarray, j: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """Maximal common runs (length, item start, text start) from seed places."""
-    diagonal = j - i
-    order = np.lexsort((i, diagonal))
-    i, j, diagonal = i[order], j[order], diagonal[order]
-    begins = np.flatnonzero(np.r_[True, (diagonal[1:] != diagonal[:-1]) | (i[1:] != i[:-1] + 1)])
-    ends = np.r_[begins[1:], len(i)]
+    """Maximal common runs (length, item start, text start): the words that agree from
+    each start on, words and not only hashes being compared."""
     runs = []
-    for a, b in zip(begins, ends):
-        length = int(b - a) + seed - 1
-        if np.array_equal(item[i[a] : i[a] + length], text[j[a] : j[a] + length]):  # words, not only hashes
-            runs.append((length, int(i[a]), int(j[a])))
+    for a, b in zip(i.tolist(), j.tolist()):
+        length = min(len(item) - a, len(text) - b)
+        differ = np.flatnonzero(item[a : a + length] != text[b : b + length])
+        length = int(differ[0]) if len(differ) else length
+        if length >= seed:
+            runs.append((length, a, b))
     return runs
 
 
@@ -160,7 +181,7 @@ def contaminated_pairs(
 
     Words are compared with A-Z lowered.  An item shorter than a seed must occur
     whole.  Null or empty texts and items match nothing; an item of any length is
-    compared with whole texts.  Repeated rows of either table give a row each; null
+    compared with whole texts, however often either repeats its words.  Repeated rows of either table give a row each; null
     keys stay null.  Without documents or items the result is empty.
     """
     blocks = pieces(text_bytes(benchmark, item_text), block_bytes, least=1)
