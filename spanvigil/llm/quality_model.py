@@ -1,6 +1,6 @@
 """Supervised subword embeddings: a quality score for every document.
 
-Words and their character n-grams share one hashed table of vectors.  A document
+Words, their character n-grams and word pairs have rows in one hashed table of vectors.  A document
 is the mean of the vectors of all of them, and a softmax on it gives the classes'
 probabilities.  Vectors and softmax are learned together by stochastic gradient
 descent in numpy, on a bounded sample of labelled documents.
@@ -13,17 +13,20 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanvigil.llm.text import fold, utf8
+from spanvigil.llm.text import each, fold, utf8
 
-BUCKETS = 1 << 17
+#: Table rows of words with their n-grams, and of word pairs.
+BUCKETS, PAIRS = 1 << 17, 1 << 17
+#: A pair counts about as much as all features of a word do.
+PAIR_WEIGHT = 8
 DIMENSIONS = 10
 GRAMS = (3, 4)
 EPOCHS = 5
@@ -32,7 +35,7 @@ RATE = 0.6
 SAMPLE = 3_000
 FOLDS, HELD_FOLD = 5, 0
 THRESHOLD = 0.3
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 
 
 def word_features(word: bytes) -> list[int]:
@@ -44,20 +47,22 @@ def word_features(word: bytes) -> list[int]:
     return rows
 
 
-#: A word that repeats the one before it: a word pair whose two ends are equal.  All
-#: such pairs share one table row, and each counts like a word with its n-grams.
-_REPEAT = BUCKETS
-_REPEAT_WEIGHT = 8
+def pair_rows(codes: np.ndarray) -> np.ndarray:
+    """Table row of each pair of neighbouring words, from the words' codes.
 
-
-def repeats(words: list[bytes]) -> int:
-    return sum(map(eq, words, words[1:]))
+    Pairs of equal words share the last row, so that words never learned from still
+    count as repeated.
+    """
+    x = codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return BUCKETS + np.where(codes[:-1] == codes[1:], PAIRS, (x >> np.uint64(32)).astype(np.int64) % PAIRS)
 
 
 def document_features(text: bytes, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct table rows of a text with their shares of all its features."""
     words = text.split()
-    rows: list[int] = [_REPEAT] * (_REPEAT_WEIGHT * repeats(words))
+    rows: list[int] = []
     for word in words:
         found = known.get(word)
         if found is None:
@@ -65,8 +70,9 @@ def document_features(text: bytes, known: dict[bytes, list[int]]) -> tuple[np.nd
                 known.clear()
             found = known[word] = word_features(word)
         rows += found
-    distinct, counts = np.unique(np.array(rows, np.int32), return_counts=True)
-    return distinct, (counts / max(len(rows), 1)).astype(np.float32)
+    pairs = pair_rows(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
+    distinct, counts = np.unique(np.concatenate([np.array(rows, np.int64), np.repeat(pairs, PAIR_WEIGHT)]), return_counts=True)
+    return distinct, (counts / max(len(rows) + PAIR_WEIGHT * len(pairs), 1)).astype(np.float32)
 
 
 class QualityModel:
@@ -74,7 +80,7 @@ class QualityModel:
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.table = rng.uniform(-1, 1, (BUCKETS + 1, DIMENSIONS)).astype(np.float32) / DIMENSIONS
+        self.table = rng.uniform(-1, 1, (BUCKETS + PAIRS + 1, DIMENSIONS)).astype(np.float32) / DIMENSIONS
         self.weights = rng.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32) / DIMENSIONS
         self.bias = np.zeros(2, np.float32)
 
@@ -109,27 +115,28 @@ def _score(parts: np.ndarray, start: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = parts.tolist()
         place: dict[bytes, int] = {}
-        sums: list[float] = []
-        counts: list[int] = []
+        sums, counts, codes = array("d"), array("q"), array("Q")
         for batch in batches:
             scores = []
-            for text in batch.column(1).to_pylist():
-                words = text.split()
+            for (text,) in each(batch, 1):
                 at = []
-                for word in words:
+                for word in text.split():
                     n = place.get(word)
                     if n is None:
                         rows = word_features(word)
                         n = place[word] = len(sums)
                         sums.append(sum([values[r] for r in rows]))
                         counts.append(len(rows))
+                        codes.append(zlib.crc32(word))
                     at.append(n)
-                again = _REPEAT_WEIGHT * repeats(words)
-                total = sum([sums[n] for n in at]) + again * values[_REPEAT]
-                odds = start + (total / (sum([counts[n] for n in at]) + again) if at else 0.0)
+                odds = start
+                if at:
+                    pairs = pair_rows(np.frombuffer(codes, np.uint64)[np.array(at)])
+                    total = sum([sums[n] for n in at]) + PAIR_WEIGHT * float(parts[pairs].sum())
+                    odds += total / (sum([counts[n] for n in at]) + PAIR_WEIGHT * len(pairs))
                 scores.append(1 / (1 + math.exp(-max(min(odds, 500.0), -500.0))))
                 if len(sums) > _REMEMBERED:
-                    place, sums, counts = {}, [], []
+                    place, sums, counts, codes = {}, array("d"), array("q"), array("Q")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
