@@ -125,3 +125,26 @@ def test_interval_joins(spark):
     onsets = spark.createDataFrame([("r", "2024-01-10 12:00:00")], "repo string, o string").select("repo", F.to_timestamp("o").alias("onset"))
     risky = spark.createDataFrame([("r", "x")], "repo string, file string")
     assert sorted(r["sha"] for r in changes.changes_before_onset(commits, onsets, risky).collect()) == ["b", "c"]
+
+
+def test_counted_snapshots(spark):
+    """Counts of overlapping windows are those of the listed spans, with requests that
+    come again in, around and outside windows, at their ends, and without an id."""
+    spans = spark.range(4000).select(
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("service"),
+        F.when(F.col("id") % 7 > 0, (F.xxhash64("id") % 150).cast("string")).alias("request_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(40 * 96)) * 900).alias("start_time"),
+    )
+    runs = spark.range(60).select(
+        F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("service"),
+        F.col("id").alias("run_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 54000 + F.col("id") % 5).alias("onset"),
+        F.when(F.col("id") % 9 > 0, F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 54900)).alias("resolved_at"),
+    )
+    listed = validation.incident_snapshots(spans, runs).groupBy("service", "run_id", "phase").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("request_id").alias("n_distinct")
+    )
+    counted = validation.incident_snapshots(spans, runs, count="request_id")
+    assert sorted(counted.collect()) == sorted(listed.collect())
+    plan = counted._jdf.queryExecution().analyzed().toString()
+    assert "start_time" not in plan  # the result is made of sums, no longer of spans

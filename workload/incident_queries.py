@@ -337,8 +337,8 @@ SELECT run_id, phase, count(*) AS n, count(DISTINCT request_id) AS n_requests FR
 JOIN spans s ON s.service = w.service AND s.start_time >= f AND s.start_time < t GROUP BY run_id, phase""", "incidents", "spans"))
 def incident_snapshots(spark, d):
     rows = incident_rows(spark, d).select(F.concat(F.lit("svc"), (F.col("run_id") % 3).cast("string")).alias("service"), "run_id", F.col("started_at").alias("onset"), F.col("finished_at").alias("resolved_at"))
-    found = validation.incident_snapshots(views.spans(spark, d).select("service", "start_time", "request_id"), rows)
-    return found.groupBy("run_id", "phase").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("request_id").alias("n_requests"))
+    found = validation.incident_snapshots(views.spans(spark, d).select("service", "start_time", "request_id"), rows, count="request_id")
+    return found.select("run_id", "phase", "n", F.col("n_distinct").alias("n_requests"))
 
 
 # --- trends ----------------------------------------------------------------------------
