@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType
 
 from spanvigil.functions.scalars import safe_double, segment_key
 from spanvigil.operators.values import error_keys, error_value, split_name, value_of
@@ -77,6 +78,22 @@ def _metric_entries(specs: DataFrame) -> DataFrame:
     return wanted.groupBy("service").agg(F.collect_list(fields).alias("_metrics"))
 
 
+def _entry(key: Column, value: Column, measured: bool = False) -> Column:
+    """An attribute as text, or as the number it is: that saves printing and reading it."""
+    none = F.lit(None).cast("double")
+    if not measured:
+        return F.struct(key.alias("key"), value.alias("value"), none.alias("x"))
+    finite = F.abs(value) < F.lit(float("inf"))  # NaN is above infinity
+    return F.struct(key.alias("key"), F.when(~finite, value.cast("string")).alias("value"), F.when(finite, value).alias("x"))
+
+
+def _entries(spans: DataFrame, name: str) -> Column:
+    held = spans.schema[name].dataType
+    measured = isinstance(held, MapType) and isinstance(held.valueType, DoubleType)
+    column = F.col(name) if measured else F.col(name).cast("map<string,string>")
+    return F.transform(F.map_entries(column), lambda e: _entry(e["key"], e["value"], measured))
+
+
 def attribute_rows(
     split_spans: DataFrame, services: DataFrame, specs: DataFrame | None = None, maps: tuple[str, ...] = tuple(MAPS), own: bool = True
 ) -> DataFrame:
@@ -89,16 +106,17 @@ def attribute_rows(
     under ``metric:<name>``; its value may be missing.  ``segment`` is '' elsewhere.
     ``maps`` and ``own`` leave out what is not asked for before anything is exploded.
     """
-    empty = F.expr("CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRING>>)")
-    entries = [F.coalesce(F.map_entries(F.col(name).cast("map<string,string>")), empty) for name in maps]
+    empty = F.expr("CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRING, x: DOUBLE>>)")
+    entries = [F.coalesce(_entries(split_spans, name), empty) for name in maps]
     ends, size = [], F.lit(0)
     for name in maps:
         size = size + F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0))
         ends.append(size)
     if own:
-        latency = F.struct(F.lit("latency_ms").alias("key"), F.col("latency_ms").cast("string").alias("value"))
-        version = F.struct(F.lit("model_version").alias("key"), F.col("model_version").alias("value"))
-        entries.append(F.array(latency, version))
+        measured = isinstance(split_spans.schema["latency_ms"].dataType, DoubleType)
+        latency = _entry(F.lit("latency_ms"), F.col("latency_ms"), measured)
+        entries.append(F.array(latency, _entry(F.lit("model_version"), F.col("model_version"))))
+        size = size + 2
     spans = split_spans if "error" in split_spans.columns else with_error(split_spans, services)
     metrics = empty
     if specs is not None:
@@ -106,10 +124,7 @@ def attribute_rows(
 
         def entry(m: Column) -> Column:
             segment = value_of(m["segment_by_kind"], m["segment_by_key"])
-            return F.struct(
-                F.concat(m["name"], F.lit(_SEPARATOR), segment).alias("key"),
-                value_of(m["attribute_kind"], m["attribute_key"]).alias("value"),
-            )
+            return _entry(F.concat(m["name"], F.lit(_SEPARATOR), segment), value_of(m["attribute_kind"], m["attribute_key"]))
 
         found = F.filter(F.transform("_metrics", entry), lambda e: e["key"].isNotNull())
         metrics = F.coalesce(found, empty)
@@ -118,28 +133,42 @@ def attribute_rows(
         "half",
         "error",
         F.array(*ends).alias("_ends"),
-        F.size(F.concat(*entries)).alias("_plain"),
+        size.alias("_plain"),
         F.concat(*entries, metrics).alias("_entries"),
     )
     at, key = F.col("_at"), F.col("_e.key")
     prefix = F.lit("")
     for i in reversed(range(len(maps))):
         prefix = F.when(at < F.get("_ends", i), MAPS[maps[i]]).otherwise(prefix)
-    rows = listed.select("*", F.posexplode("_entries").alias("_at", "_e"))
+    # The outer form, as the plain one has Spark build the entries once more to see whether there are any.
+    rows = listed.select("*", F.posexplode_outer("_entries").alias("_at", "_e"))
     metric = at >= F.col("_plain")
-    named = rows.where(metric | F.col("_e.value").isNotNull()).select(
+    named = rows.where(metric | F.col("_e.value").isNotNull() | F.col("_e.x").isNotNull()).select(
         "service",
         "half",
         "error",
         F.when(metric, F.concat(F.lit(METRIC), F.substring_index(key, _SEPARATOR, 1))).otherwise(F.concat(prefix, key)).alias("attr"),
         F.when(metric, key.substr(F.locate(_SEPARATOR, key) + 1, F.length(key))).otherwise("").alias("segment"),
         F.col("_e.value").alias("value"),
+        F.col("_e.x").alias("_x"),
     )
-    named = named.withColumn("segment", F.when(F.col("segment") != "", segment_key(F.col("segment"))).otherwise(F.col("segment")))
     # A version is a name, even where it looks like a number: 1.10 is not 1.1.
     version = F.col("attr") == "model_version"
-    numbered = named.withColumn("x", F.when(~version, safe_double(F.col("value"))))
-    return numbered.withColumn("value", F.when(F.col("x").isNull(), F.col("value")))
+    numbered = named.withColumns(
+        {
+            "_segment_number": F.when(F.col("segment") != "", safe_double(F.col("segment"))),
+            "x": F.coalesce("_x", F.when(~version, safe_double(F.col("value")))),
+        }
+    )
+    return numbered.select(
+        "service",
+        "half",
+        "error",
+        "attr",
+        F.when(F.col("segment") != "", segment_key(F.col("segment"), F.col("_segment_number"))).otherwise(F.col("segment")).alias("segment"),
+        F.when(F.col("x").isNull(), F.col("value")).alias("value"),
+        "x",
+    )
 
 
 def value_key() -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanvigil.operators.attributes import GROUP, attribute_rows, configured_names, summed, value_key
-from spanvigil.operators.quantiles import doubles, range_of, weighted_quantiles
+from spanvigil.operators.quantiles import doubles, weighted_quantiles, with_range
 from spanvigil.session import drop_table, materialise
 from spanvigil.settings import NUMERIC_SHARE, PSI_BINS
 
@@ -72,8 +72,8 @@ def attribute_profile(rows: DataFrame, services: DataFrame) -> DataFrame:
 def range_counts(rows: DataFrame, profile: DataFrame) -> DataFrame:
     """The count table with a row per range of a continuous attribute and a row per
     value of any other; what is no number in a continuous one is range -1."""
-    place = F.when(F.col("continuous"), F.when(F.col("x").isNull(), -1).otherwise(range_of(F.col("cuts"), F.col("x"), BITS)))
-    placed = rows.join(profile, GROUP).withColumn("range", place)
+    place = F.when(F.col("continuous"), F.when(F.col("x").isNull(), -1).otherwise(F.col("_at")))
+    placed = with_range(rows.join(profile, GROUP), "_at", "cuts", "x", BITS).withColumn("range", place)
     kept = F.when(~F.col("continuous"), value_key()).alias("kept")
     return placed.groupBy(*GROUP, kept, "range").agg(*summed()).withColumnRenamed("kept", "value")
 

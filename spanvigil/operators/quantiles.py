@@ -29,6 +29,15 @@ def range_of(cuts: Column, value: Column, bits: int = RANGE_BITS) -> Column:
     )
 
 
+def with_range(frame: DataFrame, out: str, cuts: str, value: str, bits: int = RANGE_BITS) -> DataFrame:
+    """Add ``range_of`` as a column, a step of the search at a time: compiled, where a
+    lambda is interpreted for every step of every row."""
+    at, placed = F.col(out), frame.withColumn(out, F.lit(0))
+    for step in (1 << bit for bit in reversed(range(bits))):
+        placed = placed.withColumn(out, F.when(F.element_at(cuts, at + step) < F.col(value), at + step).otherwise(at))
+    return placed
+
+
 def doubles(numbers: Sequence[float]) -> Column:
     return F.expr(f"array({', '.join(f'{float(number)!r}D' for number in numbers)})")
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanvigil import settings as st
-from spanvigil.operators import condensed, custom_metrics, drift, reliability
+from spanvigil.operators import attributes, condensed, custom_metrics, drift, reliability
 from spanvigil.operators.attributes import attribute_counts, configured_counts
 from spanvigil.operators.baselines import resolve_baselines
 from spanvigil.operators.halves import with_halves
@@ -116,3 +116,24 @@ def test_one_quantile_table_serves_all_checks(both):
         (custom_metrics.custom_metrics(table, profile, specs, shared), custom_metrics.custom_metrics(whole, profile, specs)),
     ):
         assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_spans_are_taken_apart_once(spark, make_spans):
+    """Entries are built once a span; measured numbers are not printed and read again;
+    no range is searched by an interpreted step."""
+    services = st.services_frame(spark, [st.ServiceSettings("svc", lookback_minutes=60, segments=("input.region",))])
+    specs = st.metric_specs_frame(spark, [st.MetricSpec("svc", "m", "input.a", agg="p50", segment_by="input.region")])
+    evals = {"error": 0.1, "nan": float("nan"), "inf": float("-inf"), "none": None, "big": 1e300}
+    rows = [(i, {"inputs": {"region": "1.50", "a": "7"}, "outputs": None, "evals": evals if i else None, "latency": -0.0 if i else None, "version": "1.10"}) for i in range(2)]
+    frame = make_spans(rows).withColumn("half", F.lit("earlier"))
+    found = attributes.attribute_rows(frame, services, specs)
+    named = {(r["attr"], r["segment"]): (r["value"], r["x"]) for r in found.where("error IS NOT NULL").collect()}
+    assert named == {
+        ("input.region", ""): (None, 1.5), ("input.a", ""): (None, 7.0), ("eval.error", ""): (None, 0.1), ("eval.nan", ""): ("NaN", None),
+        ("eval.inf", ""): ("-Infinity", None), ("eval.big", ""): (None, 1e300), ("latency_ms", ""): (None, 0.0), ("model_version", ""): ("1.10", None), ("metric:m", "1.5"): (None, 7.0),
+    }
+    assert sorted(r["attr"] for r in found.where("error IS NULL").collect()) == ["input.a", "input.region", "metric:m", "model_version"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("map_entries(inputs") == 1
+    profile = condensed.attribute_profile(found, services)
+    ranges = condensed.range_counts(found.select("service", "attr", "segment", "half", "error", "value", "x"), profile)
+    assert "range" in ranges.columns and "aggregate(" not in ranges._jdf.queryExecution().analyzed().toString()
