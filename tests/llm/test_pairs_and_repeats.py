@@ -5,6 +5,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from spanvigil.llm import decontaminate, quality_model
 
@@ -68,3 +69,27 @@ def test_repeated_rows_and_ties_of_items(spark):
     got = sorted((str(r.doc_id), str(r.item_id), r.covered_words) for r in rows)
     expected = sorted([(d, i, 12) for d in ("1", "1", "None", "2") for i in ("5", "5", "6")] + [("2", "None", 6)])
     assert got == expected
+
+
+def test_sums_of_many_new_words_equal_their_features():
+    parts = np.random.default_rng(5).normal(size=quality_model.BUCKETS + quality_model.PAIRS + 1)
+    words = [b"a", b"<>", b"b>", "ü中".encode(), b"\xff\x00\x80", b"long" * 500, *(b"w%d" % n for n in range(300))]
+    sums, counts = quality_model.word_sums(words, parts)
+    plain = [quality_model.word_features(word) for word in words]
+    assert counts.tolist() == [len(rows) for rows in plain]
+    assert np.allclose(sums, [parts[rows].sum() for rows in plain], rtol=1e-12, atol=1e-12)
+
+
+def test_quality_scores_do_not_depend_on_what_is_worked_on_together(monkeypatch):
+    parts = np.random.default_rng(6).normal(size=quality_model.BUCKETS + quality_model.PAIRS + 1)
+    texts = [b"", b"one", *(b" ".join(b"w%d" % (n * k % 97) for k in range(n)) for n in range(40)), b" ", b"w1 w1 w1"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([False] * len(texts))], names=["a", "b", "c"])
+
+    def scores(batches) -> list[float]:
+        return [x for out in quality_model._score(parts, 0.25)(iter(batches)) for x in out.column(2).to_pylist()]
+
+    together = scores([batch])
+    for name, bound in (("_GROUP_BYTES", 1), ("_GROUP_WORDS", 3), ("_REMEMBERED", 5)):
+        monkeypatch.setattr(quality_model, name, bound)
+        assert np.allclose(scores([batch.slice(0, 0), batch.slice(0, 7), batch.slice(7)]), together, rtol=1e-12)
+    assert together[0] == together[-2] == 1 / (1 + np.exp(-0.25))
