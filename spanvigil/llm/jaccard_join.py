@@ -50,6 +50,9 @@ PERCENT = 80
 #: Text bytes of a chunk of documents, and of the texts behind one block of columns.
 CHUNK_BYTES = 8 << 20
 BLOCK_BYTES = 32 << 20
+#: Text bytes behind one task that writes a table of pairs, edges or labels: a few
+#: rows need not be written by as many tasks as the session has shuffle partitions.
+TASK_BYTES = 2 << 20
 
 _CHUNK = "chunk long, ids array<long>, sets array<long>, sizes array<int>, heads binary"
 
@@ -256,14 +259,14 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _compared(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, chunks: DataFrame, tasks: int) -> DataFrame:
     """Pairs of sets (a, b) with their distance and whether they link."""
     sets = chunks.select("sets", "sizes", "heads").mapInArrow(_members, "node long, members binary")
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
     # The many-sided end first: its set moves once per pair, the centre's once in all.
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return materialise(both.mapInArrow(_overlaps, "a long, b long, distance double, linked boolean"))
+    return materialise(both.coalesce(tasks).mapInArrow(_overlaps, "a long, b long, distance double, linked boolean"))
 
 
 def _apart(index: DataFrame, labels: DataFrame) -> DataFrame:
@@ -273,11 +276,11 @@ def _apart(index: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(split.select("token"), "token", "left_semi")
 
 
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+def _untested(pairs: DataFrame, tested: DataFrame, tasks: int) -> DataFrame:
     """Pairs, once each way round, that have not been compared."""
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return materialise(once.join(done, ["a", "b"], "left_anti"))
+    return materialise(once.join(done, ["a", "b"], "left_anti").coalesce(tasks))
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:
@@ -292,7 +295,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     an empty result; other columns are not read.
     """
     rows = docs.select(F.col(key).cast("long").alias("_id"), utf8(text).alias("_text"))
-    blocks = pieces(text_bytes(docs, text), BLOCK_BYTES)
+    total = text_bytes(docs, text)
+    blocks, tasks = pieces(total, BLOCK_BYTES), pieces(total, TASK_BYTES)
     heads = materialise(rows.mapInArrow(_chunks(width, CHUNK_BYTES), _CHUNK))
     left = materialise(_with_frequencies(heads, blocks, _survivors, "node long").distinct())
     members = materialise(
@@ -306,7 +310,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
     wanted = classes.join(left, "node", "left_semi").select(F.col("first_id").alias("_id"))
     texts = rows.join(wanted.hint("merge"), "_id", "left_semi").select("_id", "_text")
-    chunks = materialise(texts.mapInArrow(_chunks(width, CHUNK_BYTES, whole=True), _CHUNK))
+    chunks = materialise(texts.coalesce(tasks).mapInArrow(_chunks(width, CHUNK_BYTES, whole=True), _CHUNK))
     index = materialise(_with_frequencies(chunks, blocks, _index, _INDEX).distinct())
 
     # A link needs an overlap of 80 / 180 of both sizes.  Where a pair's rarest common
@@ -323,37 +327,45 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         )
     )
     star = index.join(centres, "token").where("node <> other").where(able)
-    first = _compared(star.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), chunks)
-    tested, labels = first, materialise(connected_components(first.where("linked")))
+    first = _compared(star.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), chunks, tasks)
+    tested, labels = first, materialise(connected_components(first.where("linked"), tasks=tasks).coalesce(tasks))
 
-    for number in range(ROUNDS):
-        apart = _apart(index, labels)
+    def joined(links: DataFrame) -> DataFrame:
+        """The labels with further links; a component so far is the star of its label."""
+        so_far = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        return connected_components(so_far.unionByName(links.where("linked").select("a", "b")), tasks=tasks)
+
+    for number in range(ROUNDS + 1):
+        apart = materialise(_apart(index, labels).coalesce(tasks))
+        if number == ROUNDS:
+            break
         main = apart.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(
             F.max(F.struct("n", "label"))["label"].alias("main")
         )
-        marked = materialise(apart.join(main, "token"))
+        marked = apart.join(main, "token")
         picked = marked.where("label = main").groupBy("token").agg(
             F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "size", "place")).alias("row")
         )
         again = picked.select("token", *[F.col(f"row.{c}").alias(f"other_{c}") for c in ("node", "size", "place")])
         met = marked.where("label <> main").join(again, "token").where(able)
         pairs = met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
-        found = _compared(_untested(pairs, tested), chunks)
+        found = _compared(_untested(pairs, tested, tasks), chunks, tasks)
         tested = tested.unionByName(found)
         if found.where("linked").isEmpty():
             break
-        labels = materialise(connected_components(tested.where("linked")))
+        labels = materialise(joined(found).coalesce(tasks))
 
     # Distances to the column's first centre; unknown where a bound spared the comparison.
     to_centre = first.select(F.col("a").alias("node"), F.col("b").alias("other"), "distance")
-    apart = _apart(index, labels).join(centres.select("token", "other"), "token").join(to_centre, ["node", "other"], "left")
-    apart = materialise(apart.withColumn("distance", F.when(F.col("node") == F.col("other"), F.lit(0.0)).otherwise(F.col("distance"))).drop("other"))
+    apart = apart.join(centres.select("token", "other"), "token").join(to_centre, ["node", "other"], "left")
+    from_centre = F.when(F.col("node") == F.col("other"), F.lit(0.0)).otherwise(F.col("distance"))
+    apart = materialise(apart.withColumn("distance", from_centre).drop("other").coalesce(tasks))
     others = apart.select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "size", "place", "label", "distance")])
     near = f"coalesce(abs(distance - other_distance), 0) <= {(100 - PERCENT) / 100 + 1e-9}"
     met = apart.join(others, "token").where("node < other_node and label <> other_label").where(able).where(near)
-    late = _compared(_untested(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), tested), chunks)
+    late = _compared(_untested(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), tested, tasks), chunks, tasks)
     if not late.where("linked").isEmpty():
-        labels = connected_components(tested.unionByName(late).where("linked"))
+        labels = joined(late)
     ids = labels.join(classes, "node").groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_node = labels.join(ids, "label").select("node", "component_id")
     of_class = classes.join(of_node, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("_component"))

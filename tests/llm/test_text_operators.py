@@ -11,8 +11,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from spanvigil.llm import jaccard_join, lattice_score, mixing, quality_rules, substring_dedup
+from spanvigil.llm import components, jaccard_join, lattice_score, mixing, quality_rules, substring_dedup
 from spanvigil.llm.components import connected_components
+from spanvigil.session import materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -153,6 +154,24 @@ def test_components(spark):
     assert got == {**{n: 0 for n in range(31)}, 100: 100, 150: 100, 200: 100, 300: 300, 301: 300}
 
 
+def test_stars_take_no_round_and_few_files(spark, monkeypatch):
+    tables = []
+
+    def noted(frame):
+        tables.append(materialise(frame))
+        return tables[-1]
+
+    monkeypatch.setattr(components, "materialise", noted)
+    stars = spark.createDataFrame([(n, n % 3) for n in range(3, 90)] + [(4, 1), (1, 4)], "a long, b long")
+    got = {r.node: r.label for r in connected_components(stars, tasks=2).collect()}
+    assert got == {n: n % 3 for n in range(90)}
+    assert len(tables) == 1 and len(tables[0].inputFiles()) <= 2
+    tables.clear()
+    path = spark.createDataFrame([(n, n + 1) for n in range(40)], "a long, b long")
+    assert {r.label for r in connected_components(path, tasks=2).collect()} == {0}
+    assert len(tables) > 2 and connected_components(path.limit(0)).count() == 0
+
+
 # --- substring dedup --------------------------------------------------------------
 def dedup_brute(rows):
     first: dict = {}
