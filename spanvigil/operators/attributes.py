@@ -80,18 +80,25 @@ def _metric_entries(specs: DataFrame) -> DataFrame:
 
 def _entry(key: Column, value: Column, measured: bool = False) -> Column:
     """An attribute as text, or as the number it is: that saves printing and reading it."""
-    none = F.lit(None).cast("double")
-    if not measured:
-        return F.struct(key.alias("key"), value.alias("value"), none.alias("x"))
-    finite = F.abs(value) < F.lit(float("inf"))  # NaN is above infinity
-    return F.struct(key.alias("key"), F.when(~finite, value.cast("string")).alias("value"), F.when(finite, value).alias("x"))
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    if measured:
+        return F.struct(key.alias("key"), text.alias("value"), value.alias("x"))
+    return F.struct(key.alias("key"), value.cast("string").alias("value"), number.alias("x"))
 
 
-def _entries(spans: DataFrame, name: str) -> Column:
-    held = spans.schema[name].dataType
-    measured = isinstance(held, MapType) and isinstance(held.valueType, DoubleType)
-    column = F.col(name) if measured else F.col(name).cast("map<string,string>")
-    return F.transform(F.map_entries(column), lambda e: _entry(e["key"], e["value"], measured))
+def _entries(spans: DataFrame, name: str) -> tuple[Column, Column]:
+    """A map's entries, and from their column the same with ``key, value, x``.
+
+    They are zipped, as a lambda would be interpreted for each of them; the empty
+    array is filled with nulls.  Numbers stand in ``x``, the infinite too.
+    """
+    held, listed = spans.schema[name].dataType, F.col(f"_{name}")
+    texts, numbers = F.expr("CAST(array() AS ARRAY<STRING>)"), F.expr("CAST(array() AS ARRAY<DOUBLE>)")
+    if isinstance(held, MapType) and isinstance(held.valueType, DoubleType):
+        zipped = F.arrays_zip(listed["key"].alias("key"), texts.alias("value"), listed["value"].alias("x"))
+        return F.map_entries(name), zipped
+    zipped = F.arrays_zip(listed["key"].alias("key"), listed["value"].alias("value"), numbers.alias("x"))
+    return F.map_entries(F.col(name).cast("map<string,string>")), zipped
 
 
 def attribute_rows(
@@ -107,7 +114,8 @@ def attribute_rows(
     ``maps`` and ``own`` leave out what is not asked for before anything is exploded.
     """
     empty = F.expr("CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRING, x: DOUBLE>>)")
-    entries = [F.coalesce(_entries(split_spans, name), empty) for name in maps]
+    taken = {name: _entries(split_spans, name) for name in maps}
+    entries = [F.coalesce(zipped, empty) for _, zipped in taken.values()]
     ends, size = [], F.lit(0)
     for name in maps:
         size = size + F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0))
@@ -126,9 +134,8 @@ def attribute_rows(
             segment = value_of(m["segment_by_kind"], m["segment_by_key"])
             return _entry(F.concat(m["name"], F.lit(_SEPARATOR), segment), value_of(m["attribute_kind"], m["attribute_key"]))
 
-        found = F.filter(F.transform("_metrics", entry), lambda e: e["key"].isNotNull())
-        metrics = F.coalesce(found, empty)
-    listed = spans.select(
+        metrics = F.coalesce(F.transform("_metrics", entry), empty)
+    listed = spans.withColumns({f"_{name}": whole for name, (whole, _) in taken.items()}).select(
         "service",
         "half",
         "error",
@@ -143,14 +150,16 @@ def attribute_rows(
     # The outer form, as the plain one has Spark build the entries once more to see whether there are any.
     rows = listed.select("*", F.posexplode_outer("_entries").alias("_at", "_e"))
     metric = at >= F.col("_plain")
-    named = rows.where(metric | F.col("_e.value").isNotNull() | F.col("_e.x").isNotNull()).select(
+    x = F.col("_e.x")
+    finite = F.abs(x) < F.lit(float("inf"))  # NaN is above infinity
+    named = rows.where(F.when(metric, key.isNotNull()).otherwise(F.col("_e.value").isNotNull() | x.isNotNull())).select(
         "service",
         "half",
         "error",
         F.when(metric, F.concat(F.lit(METRIC), F.substring_index(key, _SEPARATOR, 1))).otherwise(F.concat(prefix, key)).alias("attr"),
         F.when(metric, key.substr(F.locate(_SEPARATOR, key) + 1, F.length(key))).otherwise("").alias("segment"),
-        F.col("_e.value").alias("value"),
-        F.col("_e.x").alias("_x"),
+        F.when(finite | x.isNull(), F.col("_e.value")).otherwise(x.cast("string")).alias("value"),
+        F.when(finite, x).alias("_x"),
     )
     # A version is a name, even where it looks like a number: 1.10 is not 1.1.
     version = F.col("attr") == "model_version"

@@ -139,18 +139,19 @@ def condensed_counts(
     profile = materialise(attribute_profile(rows, services))
     ranges = materialise(range_counts(rows, profile))
     wanted = materialise(wanted_ranges(ranges))
-    # A range holds what is above the cut before it, up to its own.
-    at = F.col("range").cast("int")
-    bounds = F.struct(F.get("cuts", at - 1).alias("above"), F.get("cuts", at).alias("to"))
-    sought = materialise(wanted.join(profile, GROUP).groupBy(*GROUP).agg(F.collect_list(bounds).alias("wanted")))
-
-    def holds(r: Column) -> Column:
-        return (r["above"].isNull() | (r["above"] < F.col("x"))) & (r["to"].isNull() | (F.col("x") <= r["to"]))
+    held = F.transform(F.sequence(F.lit(0), F.lit((1 << BITS) - 1)), lambda r: F.array_contains("ranges", r))
+    listed = wanted.groupBy(*GROUP).agg(F.collect_list(F.col("range").cast("int")).alias("ranges"))
+    sought = materialise(listed.join(profile, GROUP).select(*GROUP, "cuts", held.alias("held")))
+    placed = with_range(rows.where("x IS NOT NULL").join(sought, GROUP), "_at", "cuts", "x", BITS)
+    # Always true, and not for Spark to tell: it would copy the whole search into the
+    # filter, every step of it several times.
+    as_placed = F.monotonically_increasing_id() >= 0
+    found = placed.withColumn("_held", F.element_at("held", F.col("_at") + 1) & as_placed).where("_held")
 
     earlier, recent = F.col("half") == "earlier", F.col("half") == "recent"
     one = lambda condition: F.when(condition, 1).otherwise(0).cast("long")
     x = F.col("x")
-    single = rows.where("x IS NOT NULL").join(sought, GROUP).where(F.exists("wanted", holds)).select(
+    single = found.select(
         *GROUP,
         F.lit(None).cast("string").alias("value"),
         "x",

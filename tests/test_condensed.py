@@ -137,3 +137,20 @@ def test_spans_are_taken_apart_once(spark, make_spans):
     profile = condensed.attribute_profile(found, services)
     ranges = condensed.range_counts(found.select("service", "attr", "segment", "half", "error", "value", "x"), profile)
     assert "range" in ranges.columns and "aggregate(" not in ranges._jdf.queryExecution().analyzed().toString()
+
+
+def test_rows_are_placed_and_found_without_lambdas(spark, split, monkeypatch):
+    """What runs for each attribute or number is compiled, and a search stands once in a plan."""
+    services = st.services_frame(spark, [st.ServiceSettings("svc", segments=("input.tier",))])
+    written = []
+
+    def noted(frame):
+        written.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return materialise(frame)
+
+    monkeypatch.setattr(condensed, "MANY_VALUES", 64)
+    monkeypatch.setattr(condensed, "materialise", noted)
+    condensed.condensed_counts(split, services)
+    rows, last = written[0], written[-1]
+    assert "lambda" not in rows
+    assert "exists(" not in last and "lambda" not in last and last.count("element_at(cuts") == condensed.BITS
